@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, sharding
+from . import chat_format, fingerprint, mixing, quality_rules, sharding
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op1_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(turns.unionByName(own)).drop("n_examples")
 
 
+def op2_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_interleave(read(spark, sf_dir, "documents"), shards=40)
 
@@ -32,6 +36,6 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_target_chat, op4_stratified_interleave, op5_threshold_rules, op8_pareto_mix)
+    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op4_stratified_interleave, op5_threshold_rules, op8_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {}
