@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, mixing, quality_rules, sharding
+from . import chat_format, fingerprint, mixing, ngram_join, quality_rules, sharding
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op2_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFram
     return fingerprint.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_interleave(read(spark, sf_dir, "documents"), shards=40)
 
@@ -36,6 +40,6 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op4_stratified_interleave, op5_threshold_rules, op8_pareto_mix)
+    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op8_pareto_mix)
 }
 ORACLE_SQL: dict[str, str] = {}
