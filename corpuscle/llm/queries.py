@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, mixing, ngram_join, quality_cnn, quality_rules, sharding
+from . import chat_format, fingerprint, language_id, mixing, ngram_join, pii, quality_cnn, quality_rules, sharding
 from .common import read
 
 
@@ -48,7 +48,11 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(docs, quality_cnn.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op8_pareto_mix, op9_byte_cnn)
+    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
 }
 ORACLE_SQL: dict[str, str] = {}
