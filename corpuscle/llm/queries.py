@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, mixing, ngram_join, pii, quality_cnn, quality_rules, sharding
+from . import chat_format, fingerprint, language_id, mixing, ngram_join, packing, pii, quality_cnn, quality_rules, sharding
 from .common import read
 
 
@@ -38,6 +38,12 @@ def op6_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    length, digest = (F.octet_length("ids") / 4).cast("bigint"), F.crc32("ids")
+    return pieces.select("doc_id", "start", length.alias("length"), digest.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -53,6 +59,6 @@ def op10_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
+    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
 }
 ORACLE_SQL: dict[str, str] = {}
