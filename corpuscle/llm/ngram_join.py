@@ -53,6 +53,10 @@ def _class_key(shingles: np.ndarray) -> bytes:
     return parts[0].to_bytes(8, "big") + parts[1].to_bytes(8, "big")
 
 
+def _half(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
     raw, offsets = texts_of(batch.column(column))
     for i, j in slices(offsets, BATCH_BYTES):
@@ -64,7 +68,7 @@ def _profile(n: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int8()), pa.int32(), pa.binary()]
         names = ["doc_id", "class", "size", "bins", "block", "counts"]
         for batch in batches:
             keys, sizes, bins = [], [], []
@@ -72,7 +76,7 @@ def _profile(n: int) -> Callable:
                 sizes.append(len(found))
                 keys.append(_class_key(found) if len(found) else None)
                 hist = np.bincount((found & _U(BINS - 1)).astype(np.int64), minlength=BINS)
-                bins.append(hist.astype(np.int16) if len(found) and hist.max() < 1 << 15 else None)
+                bins.append(hist.astype(np.int8) if len(found) and hist.max() < 1 << 7 else None)
                 counts += np.bincount((found >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32) if len(found) > 20_000 else 0
                 if len(found) <= 20_000:
                     np.add.at(counts, (found >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -98,13 +102,13 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(n: int, percent: int, sketch: object) -> Callable:
-    """(token, class, size, place) of each class's prefix, once for each class and task."""
+    """(token, half, place) of each class's prefix, once for each class and task; half: the first 8 bytes of the class key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, keys, sizes, places = [], [], [], []
+            tokens, halves, places = [], [], []
             for _, found in _sets(batch, 0, n):
                 if not len(found):
                     continue
@@ -115,12 +119,10 @@ def _prefixes(n: int, percent: int, sketch: object) -> Callable:
                 length = len(found) + (-percent * len(found)) // 100 + 1
                 order = np.lexsort((found, counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
                 tokens.append(found[order].view(np.int64))
-                keys += [key] * length
-                sizes.append(np.full(length, len(found), np.int64))
+                halves.append(np.full(length, _half(key), np.int64))
                 places.append(np.arange(length, dtype=np.int64))
             if tokens:
-                arrays = [np.concatenate(tokens), pa.array(keys, pa.binary()), np.concatenate(sizes), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=["token", "class", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, halves, places)], names=["token", "half", "place"])
 
     return run
 
@@ -153,11 +155,10 @@ def _needed(percent: int, s: Column, t: Column) -> Column:
     return F.ceil(percent * (s + t) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _possible(percent: int) -> Column:
-    """Length and positional filter for holders p and m of one shingle."""
-    s, t = F.col("p.size"), F.col("m.size")
+def _possible(percent: int, s: Column, at: Column, t: Column, place: Column) -> Column:
+    """Length and positional filter for sets of sizes s and t that hold one shingle at the given places."""
     length = 100 * F.least(s, t) >= percent * F.greatest(s, t)
-    upto = F.least(F.col("p.place"), F.col("m.place")) + 1 + F.least(s - F.col("p.place"), t - F.col("m.place")) - 1
+    upto = F.least(at, place) + 1 + F.least(s - at, t - place) - 1
     return length & (upto >= _needed(percent, s, t))
 
 
@@ -176,45 +177,56 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = checkpoint(texts.mapInArrow(_profile(n), "doc_id bigint, class binary, size bigint, bins array<smallint>, block int, counts binary"))
+    profile = checkpoint(texts.mapInArrow(_profile(n), "doc_id bigint, class binary, size bigint, bins array<tinyint>, block int, counts binary"))
     rows = profile.where("block is null").select("doc_id", "class", "size", "bins")
     blocks = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_add_up, "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for block, part in blocks.collect():  # 2^20 counters together
         counts[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(part, np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("bins").alias("bins"))
-
-    posted = texts.select("text").mapInArrow(_prefixes(n, percent, sketch), "token bigint, class binary, size bigint, place bigint")
-    posted = posted.repartition("token").dropDuplicates(["token", "class"])
-    held = posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1")
-    held = checkpoint(held)
-    weight = held.groupBy("class").agg(F.sum("holders").alias("weight"))
-    facts = checkpoint(weight.join(classes, "class").select("class", "weight", "bins", "first"))
-    by_token = Window.partitionBy("token").orderBy(F.desc("weight"), "class")
-    ranked = checkpoint(held.join(facts.select("class", "weight"), "class").withColumn("rank", F.row_number().over(by_token)).drop("weight"))
-
-    groups = facts.select("class", F.col("class").alias("comp"))
+    half = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("bigint")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bins").alias("bins"))
+
+    posted = texts.select("text").mapInArrow(_prefixes(n, percent, sketch), "token bigint, half bigint, place bigint")
+    posted = posted.repartition("token").dropDuplicates(["token", "half"])
+    held = checkpoint(posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1"))
+    # from here on classes have short numbers; halves that two classes have in common stand for both
+    weight = held.groupBy("half").agg(F.sum("holders").alias("weight"))
+    facts = checkpoint(classes.withColumn("half", half).join(weight, "half").withColumn("id", F.monotonically_increasing_id()))
+    by_token = Window.partitionBy("token").orderBy(F.desc("weight"), "id")
+    ranked = held.join(facts.select("half", "id", "size", "weight"), "half").select("token", "id", "size", "place", "holders", "weight")
+    ranked = ranked.withColumns({"rank": F.row_number().over(by_token), "lead": F.first(F.struct("id", "size", "place")).over(by_token)}).drop("weight")
+    ranked = checkpoint(ranked)
+    del held, posted, weight
+
+    groups = facts.select("id", F.col("id").alias("comp"))
     checked: DataFrame | None = None
     linked = False
     low = 0
     for high in (*FIRST_PIVOTS, None):
-        live = ranked.join(groups, "class")
-        mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.count(F.lit(1)).alias("_n")).where("_l <> _h")
-        live = live.join(mixed.select("token", "_n"), "token")
-        meet = (F.col("p.token") == F.col("m.token")) & (F.col("p.salt") == F.col("m.salt")) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.comp") != F.col("m.comp")) & _possible(percent)
-        if high is None:  # few shingles are left, and some with very many holders: let no more through than must be
-            live = live.join(facts.select("class", "bins"), "class")
-            meet &= _bins_allow(percent, "p", "m")
-        pivots = live.where(f"rank > {low}" + (f" and rank <= {high}" if high else ""))
-        salts = F.when(F.lit(high is None) & (F.col("_n") > SALTED_FROM), F.ceil(F.col("_n") / SALTED_FROM).cast("int")).otherwise(F.lit(1))
-        spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        salted = live.withColumn("salt", F.pmod(F.hash("class"), salts))
-        pairs = spread.alias("p").join(salted.alias("m"), meet).select(F.least("p.class", "m.class").alias("a"), F.greatest("p.class", "m.class").alias("b")).distinct()
+        if low == 0:  # all against the first holder, who stands in their rows
+            fits = _possible(percent, F.col("size"), F.col("place"), F.col("lead.size"), F.col("lead.place"))
+            pairs = ranked.where("rank > 1").where(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+        else:
+            live = ranked.where(F.col("holders") > low + 1).drop("lead").join(groups, "id")
+            mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h")
+            live = live.join(mixed.select("token"), "token", "left_semi")
+            meet = (F.col("p.token") == F.col("m.token")) & (F.col("p.salt") == F.col("m.salt")) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.comp") != F.col("m.comp"))
+            meet &= _possible(percent, *(F.col(c) for c in ("p.size", "p.place", "m.size", "m.place")))
+            if high is None:  # few shingles are left, and some with very many holders: let no more through than must be
+                live = live.join(facts.select("id", "bins"), "id")
+                meet &= _bins_allow(percent, "p", "m")
+            live = checkpoint(live)
+            pivots = live.where(f"rank > {low}" + (f" and rank <= {high}" if high else ""))
+            salts = F.when(F.lit(high is None) & (F.col("holders") > SALTED_FROM), F.ceil(F.col("holders") / SALTED_FROM).cast("int")).otherwise(F.lit(1))
+            spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            salted = live.withColumn("salt", F.pmod(F.hash("id"), salts))
+            pairs = spread.alias("p").join(salted.alias("m"), meet).select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
+        pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         if high is not None:
-            x, y = facts.select(F.col("class").alias("a"), "bins").alias("x"), facts.select(F.col("class").alias("b"), "bins").alias("y")
+            x, y = facts.select(F.col("id").alias("a"), "bins").alias("x"), facts.select(F.col("id").alias("b"), "bins").alias("y")
             pairs = pairs.join(x, "a").join(y, "b").where(_bins_allow(percent, "x", "y")).select("a", "b")
         pairs = checkpoint(pairs)
         low = high
@@ -226,15 +238,14 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
         if edges.isEmpty():
             continue
         linked = True
-        named = groups.select(F.col("class").alias("a"), F.col("comp").alias("ca"))
-        other = groups.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
+        named, other = groups.toDF("a", "ca"), groups.toDF("b", "cb")
         roots = components(edges.join(named, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        groups = checkpoint(groups.join(roots, F.col("comp") == F.col("node"), "left").select("class", F.coalesce("root", "comp").alias("comp")))
+        groups = checkpoint(groups.join(roots, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
 
     own = classes.select("class", F.col("first").alias("class_id"))
     if linked:
-        roots = groups.join(facts.select("class", "first"), "class").groupBy("comp").agg(F.min("first").alias("least"))
-        reached = groups.join(roots, "comp").select("class", "least")
+        named = groups.join(facts.select("id", "class", "first"), "id")
+        reached = named.join(named.groupBy("comp").agg(F.min("first").alias("least")), "comp").select("class", "least")
         own = own.join(reached, "class", "left").select("class", "class_id", F.coalesce("least", "class_id").alias("component_id"))
     else:
         own = own.withColumn("component_id", F.col("class_id"))
@@ -244,12 +255,41 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 def _verified(texts: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, percent: int, n_pairs: int) -> DataFrame:
     """The pairs of classes that link, by their whole shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = wanted.join(facts.select("class", "first"), "class").select(F.col("first").alias("_id"))
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "class", "first"), "id"))
+    ids = wanted.select(F.col("first").alias("_id"))
     ids = F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids
     some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = some.mapInArrow(_candidate_sets(n), "class binary, shingles binary").dropDuplicates(["class"]).join(wanted, "class", "left_semi")
-    sets = checkpoint(sets)
-    x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a binary, b binary")
+    sets = some.mapInArrow(_candidate_sets(n), "class binary, shingles binary").dropDuplicates(["class"])
+    sets = checkpoint(sets.join(wanted.select("class", "id"), "class").select("id", "shingles"))
+    return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``ngram_jaccard_groups``, the one of the smallest doc_id, with all columns of ``docs``.
+
+    Of rows equal in doc_id and text one stays. A component of rows that all lack a doc_id keeps them. Ids to drop are
+    broadcast up to BROADCAST_IDS of them, and joined by a shuffle beyond it.
+    """
+    groups = checkpoint(ngram_jaccard_groups(docs, n, percent).select("doc_id", "component_id"))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    # an id that names a component as well, of another row, is dropped by its row's text and not by its number
+    both = gone.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), F.col("_gone").eqNullSafe(F.col("doc_id")), "left_semi")
+    repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    if not repeated.isEmpty() or not both.isEmpty():
+        return _keep_one_of_repeated(docs, n, percent)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def _keep_one_of_repeated(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """keep_one for tables in which doc_ids repeat: rows are numbered first, in the order of doc_id and text."""
+    names = docs.columns
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    numbered = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit(""))), 256).alias("_same"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), key.alias("_key"))
+    ids = numbered.select("_same", "_id").distinct().orderBy(F.col("_id").isNull(), "_id", "_same").withColumn("_n", F.monotonically_increasing_id())
+    ids = checkpoint(ids.select("_same", "_n"))
+    rows = numbered.join(ids, "_same")
+    once = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_n").orderBy("_key"))).where("_k = 1").select("_n", "_row", "_text")
+    groups = ngram_jaccard_groups(once.select(F.col("_n").alias("doc_id"), F.col("_text").alias("text")), n, percent)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_n"))
+    return once.join(kept, "_n", "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in names])
