@@ -51,38 +51,65 @@ def pareto_key(u: Column, p: Column) -> Column:
     return (u / (1 - u)) / (inside / (1 - inside))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 29, buckets: int = BUCKETS, walks: int = WALKS
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies * size) of every row of doc_id, text, source."""
-    rows = checkpoint(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), unit_hash(F.lit(seed), F.col("doc_id")).alias("_u"))
-    )
+def _sizes(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def _walked(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, buckets: int, walks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with _taken, and for each source its target, whole copies, and each walk's last u and longest size."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)))
-    targets = checkpoint(targets.withColumn("_due", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))))
+    first = F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))
+    told = checkpoint(targets.withColumns({"_due": first, "_p": F.when(F.col("source_size") > 0, first / F.col("source_size")), "_walks": F.array().cast("array<struct<last:double,due:double>>")}))
     state = rows.withColumn("_taken", F.lit(False))
-    due = targets.select("source", F.when(F.col("source_size") > 0, F.col("_due") / F.col("source_size")).alias("_p"), "_due")
     for _ in range(walks):
-        open_ = state.join(due.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        due = told.select(F.col("source").alias("_s"), "_p", "_due")
+        open_ = state.join(due, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
         fits = ~F.col("_taken") & (F.col("size") > 0) & (F.col("size") <= F.col("_due"))
         # the bucket follows u, and so the Pareto key, which grows with u within a source
         along = open_.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_q": pareto_key(F.col("_u"), F.col("_p"))})
         summed = running_sum(
             along, ["source"], F.floor(F.col("_u") * buckets), [F.col("_q"), F.col("_u"), F.col("doc_id"), F.col("size")], F.when(F.col("_fits"), F.col("size")).otherwise(F.lit(0)), "_sum"
         )
-        state = checkpoint(
-            summed.withColumns({"_new": F.col("_fits") & (F.col("_sum") <= F.col("_due"))}).select("doc_id", "source", "size", "_u", (F.col("_taken") | F.col("_new")).alias("_taken"))
-        )
-        spent = state.where("_taken").groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_spent"))
-        due = checkpoint(
-            targets.join(spent, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-                "source", F.when(F.col("source_size") > 0, F.col("_due") / F.col("source_size")).alias("_p"), (F.col("_due") - F.coalesce("_spent", F.lit(0))).alias("_due")
-            )
-        )
-    told = targets.withColumnRenamed("source", "_s")
+        new = F.col("_fits") & (F.col("_sum") <= F.col("_due"))
+        state = checkpoint(summed.select("doc_id", "source", "size", "_u", (F.col("_taken") | new).alias("_taken"), new.alias("_new")))
+        spent = state.where("_new").groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_spent"), F.max("_u").alias("_last"))
+        state = state.drop("_new")
+        walk = F.array(F.struct(F.coalesce("_last", F.lit(-1.0)).alias("last"), F.col("_due").alias("due")))
+        told = told.join(spent, F.col("source").eqNullSafe(F.col("_s")), "left")
+        told = checkpoint(told.withColumn("_walks", F.concat("_walks", walk)).withColumn("_due", F.col("_due") - F.coalesce("_spent", F.lit(0))).drop("_s", "_spent", "_last"))
+    return state, told
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 29, buckets: int = BUCKETS, walks: int = WALKS
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies * size) of every row of doc_id, text, source."""
+    rows = checkpoint(docs.select("doc_id", "source", _sizes(F.col("text")).alias("size"), unit_hash(F.lit(seed), F.col("doc_id")).alias("_u")))
+    state, told = _walked(rows, weights, share, most, buckets, walks)
+    copies = F.col("_whole") + F.col("_taken").cast("int")
+    told = told.select(F.col("source").alias("_s"), "source_size", "target", "_whole")
     return state.join(told, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("_whole") + F.col("_taken").cast("int")).cast("int").alias("copies"),
-        ((F.col("_whole") + F.col("_taken").cast("int")) * F.col("size")).cast("bigint").alias("taken"),
-    )
+        "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken")
+    )
+
+
+def repeat(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 29, buckets: int = BUCKETS, walks: int = WALKS) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it.
+
+    What a walk takes of a source is all that fits up to its last u, so each row's copies follow from its own size and u and
+    a few numbers of its source, and no text is shuffled. Rows that share a doc_id at that last u are taken together. The
+    sources' numbers are broadcast up to 10,000 sources, and joined by a shuffle beyond it.
+    """
+    rows = checkpoint(docs.select("doc_id", "source", _sizes(F.col("text")).alias("size"), unit_hash(F.lit(seed), F.col("doc_id")).alias("_u")))
+    _, told = _walked(rows, weights, share, most, buckets, walks)
+    told = told.select(F.col("source").alias("_s"), "_whole", "_walks")
+    told = F.broadcast(told) if told.count() <= 10_000 else told
+    names = docs.columns
+    sized = docs.select(F.struct(*names).alias("_row"), F.col("source").alias("_o"), _sizes(F.col("text")).alias("_size"), unit_hash(F.lit(seed), F.col("doc_id")).alias("_u"))
+    joined = sized.join(told, F.col("_o").eqNullSafe(F.col("_s")))
+    taken = F.exists("_walks", lambda w: (F.col("_size") > 0) & (F.col("_u") <= w["last"]) & (F.col("_size") <= w["due"]))
+    copies = F.col("_whole").cast("int") + taken.cast("int")
+    # a row without words takes part with its whole copies only
+    many = joined.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    return many.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -205,24 +205,39 @@ def mask_text(text: str, found: frozenset[str] | set[str]) -> str:
     return "".join([*out, text[done:]])
 
 
-def mask(docs: DataFrame) -> DataFrame:
+def mask(docs: DataFrame, most_broadcast: int = BROADCAST_VALUES) -> DataFrame:
     """The rows with personal data in their text masked, and n_chars, where there is one, counted anew."""
-    spark = docs.sparkSession
     found = checkpoint(bootstrap(scan(docs)).select("value"))
-    if found.count() > BROADCAST_VALUES:
-        raise NotImplementedError("more found values than may be broadcast")
-    known = spark.sparkContext.broadcast(frozenset(r["value"] for r in found.collect()))
-    at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    if found.count() <= most_broadcast:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r["value"] for r in found.collect()))
+        return docs.mapInArrow(_masker(docs.columns, known, len(docs.columns)), docs.schema)
+    # too many values for every task: each text gets its own
+    said = docs.select(F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text")).mapInPandas(_candidate_values, "_hash bigint, value string")
+    own = said.join(found, "value", "left_semi").groupBy("_hash").agg(F.collect_set("value").alias("_values"))
+    with_own = docs.withColumn("_hash", F.xxhash64("text")).join(own, "_hash", "left").select(*docs.columns, "_values")
+    return with_own.mapInArrow(_masker(docs.columns, None, len(docs.columns)), docs.schema)
+
+
+def _candidate_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(h, t[a:b].lower()) for h, t in zip(batch["_hash"], batch["text"], strict=True) if t and _SIGN.search(t) for a, b in candidates(t, base_spans(t))]
+        yield pd.DataFrame(rows, columns=["_hash", "value"])
+
+
+def _masker(names: list[str], known: object, width: int) -> object:
+    """Masks the text of each row with the values known to all, or with those in the row's last column."""
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else mask_text(t, known.value) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            values = [known.value] * batch.num_rows if known is not None else [frozenset(v or ()) for v in batch.column(width).to_pylist()]
+            texts = [None if t is None else mask_text(t, v) for t, v in zip(batch.column(at).to_pylist(), values, strict=True)]
+            columns = list(batch.columns)[:width]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if count is not None:
                 old = batch.column(count)
                 columns[count] = pa.array([o if t is None else len(t) for o, t in zip(old.to_pylist(), texts, strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
