@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import metrics_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import REGISTRY, Query
 
 

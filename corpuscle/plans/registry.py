@@ -30,3 +30,18 @@ class Registry:
 
 
 REGISTRY = Registry({}, {})
+
+
+def shared(name: str, sql: str, duck: str | None = None) -> None:
+    """Register a query that is plain SQL in both engines. Tables are named in braces; ``duck`` replaces the twin where dialects differ."""
+    import re
+
+    from ..sources.tables import table
+
+    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+    query.__name__ = name
+    REGISTRY.add(name, re.sub(r"\{(\w+)\}", r"\1", duck or sql))(query)
