@@ -28,7 +28,7 @@ from .common import slices, texts_of
 
 LENGTH, END_ID = 1024, 0
 DIMENSIONS, CELL_BITS, VECTOR_BITS = 4, 10, 10
-SAMPLE = 0.02
+SAMPLE, UNIT = 0.02, 2048
 PIECE = 1 << 18
 
 
@@ -194,7 +194,8 @@ def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = No
         return curve.withColumn("place", F.shiftleft("curve", 22) + F.col("tie"))
 
     chance = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(10_000))
-    borders = keyed(rows.where(chance < int(SAMPLE * 10_000))).select("place") if n > 1 else None
+    units = F.sequence(F.lit(0), F.floor(F.octet_length("text") / UNIT).cast("int"))  # a document counts by its size
+    borders = keyed(rows.where(chance < int(SAMPLE * 10_000))).select("place", F.explode(units)) if n > 1 else None
     cuts = borders.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n + 1000)).first()[0] if borders is not None else None
     cuts = sorted({*(cuts or [])})
     where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("place")))
