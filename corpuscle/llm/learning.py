@@ -19,11 +19,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int = PER_LABEL) -> pd.DataFrame:
     """At most ``per_label`` texts of each label, chosen by a hash of doc_id: columns doc_id, label, text; in a fixed order.
 
-    ``labelled`` has doc_id and the label; null labels and held-out rows are left out. Of a text longer than the bound,
+    ``labelled`` has doc_id and the label, of which there are few kinds; null labels and held-out rows are left out. Of a text longer than the bound,
     windows spread evenly over the whole are kept. The ids are a bounded number, so they may be broadcast.
     """
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", label).distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_label)
+    usable = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", label)
+    counts = usable.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    # about twice as many as are wanted have so small a hash; only those are ranked
+    unit = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    likely = usable.join(F.broadcast(counts), label).where(unit * F.col("_n") <= 2 * per_label + 50).select("doc_id", label).distinct()
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)), "doc_id"))
+    chosen = likely.withColumn("_rank", rank).where(F.col("_rank") <= per_label)
     ids = [(int(r["doc_id"]), r[label]) for r in chosen.collect()]  # bounded: per_label ids of each label
     if not ids:
         return pd.DataFrame({"doc_id": [], label: [], "text": []})
