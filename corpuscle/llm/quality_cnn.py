@@ -53,22 +53,24 @@ def _windows(net: Network, raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(seen.transpose(0, 1, 3, 2)).reshape(len(raw), -1, WIDTH * EMBED)
 
 
-def _segments(net: Network, raw: np.ndarray) -> np.ndarray:
-    """Pooled activations of each segment of padded bytes, whose length is a multiple of SEGMENT."""
-    x = np.append(raw, np.zeros(WIDTH, np.uint8))
-    act = _windows(net, x[None])[0][: len(raw) // STRIDE] @ net.filters
-    return act.reshape(-1, SEGMENT // STRIDE, FILTERS).max(1)
-
-
 def chunk_logits(net: Network, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all chunks of the texts, and the borders of the texts among them."""
+    """Logits of all chunks of the texts, and the borders of the texts among them.
+
+    A text fills whole segments with zeros behind it; a segment's windows look into the next segment of its own text only.
+    """
     size = np.diff(offsets)
     count = (size + WIDTH + SEGMENT - 1) // SEGMENT
     borders = np.append(0, np.cumsum(count))
     padded = np.zeros(int(borders[-1]) * SEGMENT, np.uint8)
-    where = np.arange(len(raw)) + np.repeat(borders[:-1] * SEGMENT - offsets[:-1], size)
-    padded[where] = raw
-    pooled = np.concatenate([_segments(net, padded[i : i + PIECE]) for i in range(0, len(padded), PIECE)]) if len(padded) else np.zeros((0, FILTERS), np.float32)
+    padded[np.arange(len(raw)) + np.repeat(borders[:-1] * SEGMENT - offsets[:-1], size)] = raw
+    rows = padded.reshape(-1, SEGMENT)
+    ahead = np.zeros((len(rows), WIDTH - STRIDE), np.uint8)
+    ahead[:-1] = rows[1:, : WIDTH - STRIDE]
+    ahead[borders[1:] - 1] = 0
+    rows = np.concatenate([rows, ahead], 1)
+    step = PIECE // SEGMENT
+    parts = [(_windows(net, rows[i : i + step]) @ net.filters).max(1) for i in range(0, len(rows), step)]
+    pooled = np.concatenate(parts) if parts else np.zeros((0, FILTERS), np.float32)
     nxt = np.arange(1, len(pooled) + 1)
     nxt[borders[1:] - 1] -= 1  # a text's last segment is followed by none
     chunks = np.maximum(pooled, pooled[nxt])
