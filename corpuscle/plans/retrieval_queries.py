@@ -424,3 +424,23 @@ shared(
 def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = V.weighted_mean(F.col("embedding"), F.lit(2.0), F.col("next"), F.lit(1.0))
     return _next(spark, sf_dir).select("vec_id", F.transform(merged, lambda x: F.round(x, 6)).alias("v"))
+
+
+@add("v7_cell_index_topk", f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM dn")
+def cell_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir)
+    return V.cell_topk(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", K)
+
+
+@add("v20_seeded_fallback_vector")
+def seeded_fallback_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.hash_embed(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", size=384).drop("text")
+
+
+@add("r9_batch_rerank")
+def batch_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plugins import batched
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = batched(lambda texts: [min(1.0, len(t) / 5000) for t in texts], "text", "rerank_score", "double", size=50, on_error=0.0)(_sparse(spark, sf_dir).join(docs, "doc_id")).drop("text")
+    return R.topk(scored.withColumn("score", F.coalesce("rerank_score", F.lit(0.0))), ["query_id"], 5).select("query_id", "doc_id", "score", "rank")
