@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, fingerprint, language_id, mixing, ngram_join, packing, pii, quality_cnn, quality_rules, sharding
 from .common import read
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def op10_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
 }
-ORACLE_SQL: dict[str, str] = {}
+
