@@ -123,8 +123,12 @@ def replay(df: DataFrame, key: str, order: list[str], columns: list[str], make:
     return df.groupBy(key).applyInPandas(run, f"{fields}, {outcome} string")
 
 
-def stream_tokens(stream: DataFrame, key: str = "stream_id", size: int = 10, timeout_ms: float = 100.0) -> DataFrame:
-    """A stream of (key, seq, token, ms) as flushed chunks (key, chunk); state survives restarts in the state store."""
+def stream_tokens(stream: DataFrame, key: str = "stream_id", size: int = 10, timeout_ms: float = 100.0, idle_flush: bool = True) -> DataFrame:
+    """A stream of (key, seq, token, ms) as flushed chunks (key, chunk); state survives restarts in the state store.
+
+    With ``idle_flush`` a processing-time timer flushes a key that falls silent, so such a query never runs out of work;
+    without it the query holds back the last tokens of a key, and ends where its trigger ends.
+    """
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rule = TokenBuffer(size, timeout_ms)
@@ -137,11 +141,12 @@ def stream_tokens(stream: DataFrame, key: str = "stream_id", size: int = 10, tim
             state.remove()
         else:
             state.update((json.dumps(asdict(rule)),))
-            state.setTimeoutDuration(max(1, int(timeout_ms)))
+            if idle_flush:
+                state.setTimeoutDuration(max(1, int(timeout_ms)))
         yield pd.DataFrame({key: [keys[0]] * len(out), "chunk": out})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, chunk string", "rule string", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, chunk string", "rule string", "append", "ProcessingTimeTimeout" if idle_flush else "NoTimeout")
 
 
 def stream_sessions(stream: DataFrame, key: str, time: str, idle_seconds: int = 3600) -> DataFrame:

@@ -147,7 +147,7 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "stream_id string, seq long, token string, ms double")
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    query = X.stream_tokens(stream, size=4, timeout_ms=60_000).writeStream.format("memory").queryName("chunks").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query = X.stream_tokens(stream, size=4, timeout_ms=60_000, idle_flush=False).writeStream.format("memory").queryName("chunks").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     got = sorted((r.stream_id, r.chunk) for r in spark.sql("select * from chunks").collect())
     batch = X.replay(df, "stream_id", ["seq"], ["token", "ms"], lambda: X.TokenBuffer(4, 60_000), "chunk").where("chunk is not null")
