@@ -197,7 +197,7 @@ shared(
 shared(
     "a21_health_from_metrics",
     """SELECT user_id, CASE WHEN peak > 1000 AND share > 0.1 THEN 'memory,errors' WHEN peak > 1000 THEN 'memory' WHEN share > 0.1 THEN 'errors' ELSE '' END AS issues
-    FROM (SELECT user_id, max(value) * 10 AS peak, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS share FROM {events} GROUP BY user_id) x""",
+    FROM (SELECT user_id, max(value) * 10 AS peak, avg(CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS share FROM {events} GROUP BY user_id) x""",
 )
 shared(
     "a22_report",
@@ -209,12 +209,12 @@ shared("a23_node_health", f"SELECT user_id, {_STATUS} AS status FROM ({_FAILS})
 shared("a24_cluster_health", f"SELECT CASE max(CASE WHEN bad = n THEN 2 WHEN bad > 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status, count(*) AS nodes FROM ({_FAILS}) x")
 shared(
     "a25_cache_statistics",
-    "SELECT event_type, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN value > 10 THEN 0 ELSE 1 END) AS misses, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM {events} GROUP BY event_type",
-    "SELECT event_type, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN value > 10 THEN 0 ELSE 1 END) AS BIGINT) AS misses, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM events GROUP BY event_type",
+    "SELECT event_type, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN value > 10 THEN 0 ELSE 1 END) AS misses, round(avg(CASE WHEN value > 10 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate FROM {events} GROUP BY event_type",
+    "SELECT event_type, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN value > 10 THEN 0 ELSE 1 END) AS BIGINT) AS misses, round(avg(CASE WHEN value > 10 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate FROM events GROUP BY event_type",
 )
 shared(
     "a26_deployment_stats",
-    "SELECT o_orderpriority AS service, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 6) AS mean_duration FROM {orders} GROUP BY o_orderpriority",
+    "SELECT o_orderpriority AS service, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS success_rate, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 6) AS mean_duration FROM {orders} GROUP BY o_orderpriority",
 )
 shared(
     "a27_migration_stats",
