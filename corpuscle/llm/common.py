@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +15,35 @@ from pyspark.sql import functions as F
 
 #: A word of the query contracts: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch at most.
+BATCH_RECORDS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Python a few megabytes at a time: batches count in the JVM and in every worker."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_RECORDS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over batches that gives free memory back to the system when its task ends, since workers live on."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names (a temporary one where none is set)."""
     spark = df.sparkSession

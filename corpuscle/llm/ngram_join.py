@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, slices, texts_of
+from .common import checkpoint, mix64, slices, small_batches, texts_of, tidy
 from .components import components
 from .shingles import shingle_sets
 
@@ -175,11 +175,11 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     Texts link when ``100 * intersection >= percent * union`` of their sets of n-word shingles. class_id is the smallest
     doc_id with the same set, component_id the smallest that links reach.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = checkpoint(texts.mapInArrow(_profile(n), "doc_id bigint, class binary, size bigint, bins array<tinyint>, block int, counts binary"))
+    profile = checkpoint(texts.mapInArrow(tidy(_profile(n)), "doc_id bigint, class binary, size bigint, bins array<tinyint>, block int, counts binary"))
     rows = profile.where("block is null").select("doc_id", "class", "size", "bins")
-    blocks = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_add_up, "block int, counts binary")
+    blocks = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(tidy(_add_up), "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for block, part in blocks.collect():  # 2^20 counters together
         counts[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(part, np.uint32)
@@ -187,7 +187,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     half = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("bigint")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bins").alias("bins"))
 
-    posted = texts.select("text").mapInArrow(_prefixes(n, percent, sketch), "token bigint, half bigint, place bigint")
+    posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch)), "token bigint, half bigint, place bigint")
     posted = posted.repartition("token").dropDuplicates(["token", "half"])
     held = checkpoint(posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1"))
     # from here on classes have short numbers; halves that two classes have in common stand for both
@@ -259,9 +259,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, perc
     ids = wanted.select(F.col("first").alias("_id"))
     ids = F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids
     some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = some.mapInArrow(_candidate_sets(n), "class binary, shingles binary").dropDuplicates(["class"])
+    sets = some.mapInArrow(tidy(_candidate_sets(n)), "class binary, shingles binary").dropDuplicates(["class"])
     sets = checkpoint(sets.join(wanted.select("class", "id"), "class").select("id", "shingles"))
-    return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
+    return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -16,6 +16,7 @@ Null text: empty, one piece with the end id. Equal rows are packed each. Null do
 from __future__ import annotations
 
 import base64
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, small_batches, texts_of, tidy
 
 LENGTH, END_ID = 1024, 0
 DIMENSIONS, CELL_BITS, VECTOR_BITS = 4, 10, 10
@@ -149,12 +150,18 @@ class _Packer:
             yield from self.close(length)
 
 
+@functools.lru_cache(1)
+def _coder(ranks: bytes) -> object:
+    """The tokenizer of a worker process, made once."""
+    return tokenizer(ranks)
+
+
 _NAMES = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def _pack(ranks: object, kind: pa.DataType) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(ranks.value)
+        coder = _coder(ranks.value)
         kinds = (kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,7 +189,7 @@ def _pack(ranks: object, kind: pa.DataType) -> object:
 
 def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = None) -> DataFrame:
     """doc_id, start, ids (little-endian unsigned 32-bit, binary), doc_tokens, sequence_id, offset: the pieces of all rows of doc_id, text."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     with open(ranks_path or default_ranks(), "rb") as file:  # on the driver; tasks get the bytes
         ranks = spark.sparkContext.broadcast(file.read())
@@ -190,7 +197,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = No
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 22) - 1))).alias("tie"))
 
     def keyed(some: DataFrame) -> DataFrame:
-        curve = some.mapInArrow(_with_keys, f"doc_id {kind}, text string, tie bigint, curve bigint")
+        curve = some.mapInArrow(tidy(_with_keys), f"doc_id {kind}, text string, tie bigint, curve bigint")
         return curve.withColumn("place", F.shiftleft("curve", 22) + F.col("tie"))
 
     chance = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(10_000))
@@ -202,7 +209,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = No
     dealt = keyed(rows).select("doc_id", "text", "place", where.alias("range"))
     placed = dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "place", "doc_id", "text")
     schema = f"doc_id {kind}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return placed.select("doc_id", "text", "range").mapInArrow(_pack(ranks, _arrow_type(docs)), schema)
+    return placed.select("doc_id", "text", "range").mapInArrow(tidy(_pack(ranks, _arrow_type(docs))), schema)
 
 
 def _arrow_type(docs: DataFrame) -> pa.DataType:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches, tidy
 
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.6, 0.8
 KINDS = ("email", "ip", "card", "phone")
@@ -156,7 +156,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan(docs: DataFrame) -> DataFrame:
     """Base counts, base spans and mentions of every row of doc_id, text; written down, with a number for each row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return checkpoint(rows.mapInPandas(_scan, SCHEMA))
+    return checkpoint(small_batches(rows).mapInPandas(tidy(_scan), SCHEMA))
 
 
 def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
@@ -210,12 +210,12 @@ def mask(docs: DataFrame, most_broadcast: int = BROADCAST_VALUES) -> DataFrame:
     found = checkpoint(bootstrap(scan(docs)).select("value"))
     if found.count() <= most_broadcast:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r["value"] for r in found.collect()))
-        return docs.mapInArrow(_masker(docs.columns, known, len(docs.columns)), docs.schema)
+        return docs.mapInArrow(tidy(_masker(docs.columns, known, len(docs.columns))), docs.schema)
     # too many values for every task: each text gets its own
     said = docs.select(F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text")).mapInPandas(_candidate_values, "_hash bigint, value string")
     own = said.join(found, "value", "left_semi").groupBy("_hash").agg(F.collect_set("value").alias("_values"))
     with_own = docs.withColumn("_hash", F.xxhash64("text")).join(own, "_hash", "left").select(*docs.columns, "_values")
-    return with_own.mapInArrow(_masker(docs.columns, None, len(docs.columns)), docs.schema)
+    return with_own.mapInArrow(tidy(_masker(docs.columns, None, len(docs.columns))), docs.schema)
 
 
 def _candidate_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
