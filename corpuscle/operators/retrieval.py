@@ -14,7 +14,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
     """key, dl, term: a row for each distinct term of each document (so a term's frequency is 1)."""
-    return docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    # the outer form keeps the optimizer from testing the token list, that is from splitting each text again, before it
+    return docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term")).where("term is not null")
 
 
 def idf_table(posted: DataFrame, n_docs: int) -> DataFrame:
