@@ -3,10 +3,13 @@
 Base spans (email, ip, card, phone) are found by rule and are the seeds. Every other token that looks like an identifier
 (five digits or more, or a digit and an @) is a candidate. Seeds and candidates are mentions; a mention's lexical patterns
 are the one and two words before it, the word after it, and the words on both sides. Patterns and instances (the values mentioned) form a
-graph, which Spark scores in rounds: a pattern's confidence is the sum of its instances' scores over their number plus
-one, seeds scoring 1; a candidate's score is the chance that not all of its trusted patterns are wrong, 1 - prod(1 - conf).
-A pattern is trusted from MIN_SEEDS distinct seeds and MIN_CONFIDENCE on; candidates of MIN_SCORE or more after the
-last round are found, and their mentions become spans of kind ``id``, wherever they stand.
+graph, which Spark scores in rounds. Known instances are the seeds, scoring 1, the candidates accepted so far (of MIN_SCORE
+or more), with their score, and the refused ones, scoring 0: what a base rule looked at and turned down, see refused().
+All others are unknown and count neither way. A pattern's confidence is the sum of its known instances' scores over their
+number plus one; a candidate's score is the chance that not all of its trusted patterns are wrong, 1 - prod(1 - conf). A
+pattern is trusted from MIN_SEEDS distinct seeds or accepted candidates and MIN_CONFIDENCE on, so each round can trust
+contexts that only identifiers of the rounds before have. Candidates of MIN_SCORE or more after the last round are found,
+and their mentions become spans of kind ``id``, wherever they stand. Refused tokens are scored like other candidates.
 
 Scale: one pass over the texts gives a narrow row a document, with its mentions; the graph has edges for mentions only. Its
 rounds are sums grouped by pattern and by instance, pre-aggregated, so a frequent word is no single task's load. Search
@@ -33,7 +36,7 @@ ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.6, 0.8
 KINDS = ("email", "ip", "card", "phone")
 #: As many found values at most (8 bytes each) are broadcast to mask texts; beyond it the spans are joined by a shuffle.
 BROADCAST_VALUES = 1_000_000
-SCHEMA = "row bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, mentions array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
+SCHEMA = "row bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, mentions array<struct<start:bigint,end:bigint,seed:boolean,refused:boolean,value:string,patterns:array<string>>>"
 
 #: The contract's patterns. An address is looked for from its @, see emails().
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -132,11 +135,19 @@ def candidates(text: str, spans: dict[str, list[Span]]) -> list[Span]:
     return out
 
 
+def refused(token: str) -> bool:
+    """Whether a candidate has the form of a card or an ip as a whole and is none: a known non-identifier."""
+    if _CARD.fullmatch(token):
+        digits = token.replace("-", "")
+        return 13 <= len(digits) <= 19 and not luhn(digits)
+    return bool(_IP.fullmatch(token)) and not ips(token)
+
+
 def mentions(text: str, spans: dict[str, list[Span]]) -> list[dict]:
     if not _SIGN.search(text):
         return []
     found = [(a, b, True) for kind in spans for a, b in spans[kind]] + [(a, b, False) for a, b in candidates(text, spans)]
-    return [{"start": a, "end": b, "seed": seed, "value": text[a:b].lower(), "patterns": patterns(text, a, b)} for a, b, seed in found]
+    return [{"start": a, "end": b, "seed": seed, "refused": not seed and refused(text[a:b]), "value": text[a:b].lower(), "patterns": patterns(text, a, b)} for a, b, seed in found]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,16 +172,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
     """value, score of the candidates found, from the mentions' graph."""
-    said = scanned.where(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).select("m.seed", "m.value", F.explode("m.patterns").alias("pattern"))
-    edges = checkpoint(said.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    said = scanned.where(F.size("mentions") > 0).select(F.explode("mentions").alias("m")).select("m.seed", "m.refused", "m.value", F.explode("m.patterns").alias("pattern"))
+    edges = checkpoint(said.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("refused").alias("refused")))
     scores = edges.where("not seed").select("value").distinct().withColumn("score", F.lit(0.0))
     for _ in range(rounds):
-        known = edges.join(scores, "value", "left").withColumn("score", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))))
+        score = F.when(F.col("seed"), F.lit(1.0)).when(F.col("refused"), F.lit(0.0)).when(F.col("score") >= min_score, F.col("score"))
+        known = edges.join(scores, "value", "left").withColumn("score", score)  # null where unknown
         trusted = (
             known.groupBy("pattern")
-            .agg(F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count_if("seed").alias("_seeds"))
-            .select("pattern", (F.col("_s") / (F.col("_n") + 1)).alias("confidence"), "_seeds")
-            .where((F.col("_seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
+            .agg(F.sum("score").alias("_s"), F.count("score").alias("_n"), F.count_if(F.col("score") > 0).alias("_support"))
+            .select("pattern", (F.col("_s") / (F.col("_n") + 1)).alias("confidence"), "_support")
+            .where((F.col("_support") >= min_seeds) & (F.col("confidence") >= min_confidence))
         )
         unseen = edges.where("not seed").join(trusted, "pattern")
         scores = checkpoint(unseen.groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score")))

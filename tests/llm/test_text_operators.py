@@ -325,6 +325,23 @@ def test_contexts_discover_identifiers(spark):
     assert len(got[202]) == 2 and sum(map(len, got.values())) == len(rows)
 
 
+def test_found_identifiers_make_further_contexts_trusted(spark):
+    a, b, c = ([f"{k}{i}77{i}881" for i in range(20)] for k in ("ida", "idb", "idc"))
+    texts = [f"please write to agent{i}@mail{i}.example.com or call" for i in range(6)] + [f"please write to {v} or call" for v in a]
+    texts += [f"his badge number {v} belongs here" for v in a[:4] + b]  # 4 found in the first round, 20 unseen
+    texts += [f"her locker code {v} opens this" for v in b[:4] + c]  # 4 found in the second round, 20 unseen
+    texts += [f"some release tag {10**6 + i} came along" for i in range(20)]
+    number = lambda i: next(n for n in range(10**15 + 10 * i, 10**15 + 10 * i + 10) if not pii.luhn(str(n)))
+    texts += [f"invoice total was 10.0.0.{i} units altogether" for i in range(3)] + [f"invoice total was {v} units altogether" for v in (*map(number, range(9)), 7654321)]
+    scanned = pii.scan(docs_of(spark, list(enumerate(texts))))
+    found = [{r.value for r in pii.bootstrap(scanned, rounds=k).collect()} for k in (1, 2, 3)]
+    assert found == [set(a), {*a, *b}, {*a, *b, *c}]
+
+
+def test_refused_tokens():
+    assert [pii.refused(t) for t in ("4111111111111112", "4111-1111-1111-1112", "1.2.3.999", "4111111111111111", "123456789", "id4111111111111112", "1.2.3.4", "1" * 20)] == [True] * 3 + [False] * 5
+
+
 def test_masking_by_broadcast_and_by_join(spark):
     rows = pii_rows()
     docs = docs_of(spark, rows).withColumn("n_chars", F.length("text").cast("bigint"))
