@@ -267,25 +267,26 @@ def _verified(texts: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, perc
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``ngram_jaccard_groups``, the one of the smallest doc_id, with all columns of ``docs``.
 
-    Of rows equal in doc_id and text one stays. A component of rows that all lack a doc_id keeps them. Ids to drop are
-    broadcast up to BROADCAST_IDS of them, and joined by a shuffle beyond it.
+    Of rows equal in doc_id and text one stays, of a component of rows that all lack a doc_id the first by text. Ids to drop
+    are broadcast up to BROADCAST_IDS of them, and joined by a shuffle beyond it.
     """
     groups = checkpoint(ngram_jaccard_groups(docs, n, percent).select("doc_id", "component_id"))
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     # an id that names a component as well, of another row, is dropped by its row's text and not by its number
     both = gone.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), F.col("_gone").eqNullSafe(F.col("doc_id")), "left_semi")
     repeated = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if not repeated.isEmpty() or not both.isEmpty():
+    unnamed = groups.where("component_id is null").limit(2).count() > 1  # in one component or in two: ids do not tell
+    if unnamed or not repeated.isEmpty() or not both.isEmpty():
         return _keep_one_of_repeated(docs, n, percent)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def _keep_one_of_repeated(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """keep_one for tables in which doc_ids repeat: rows are numbered first, in the order of doc_id and text."""
+    """keep_one for tables in which doc_ids repeat or several are null: rows are numbered first, in the order of doc_id and text."""
     names = docs.columns
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    numbered = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit(""))), 256).alias("_same"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), key.alias("_key"))
+    numbered = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))), 256).alias("_same"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), key.alias("_key"))
     ids = numbered.select("_same", "_id").distinct().orderBy(F.col("_id").isNull(), "_id", "_same").withColumn("_n", F.monotonically_increasing_id())
     ids = checkpoint(ids.select("_same", "_n"))
     rows = numbered.join(ids, "_same")

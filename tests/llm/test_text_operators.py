@@ -205,6 +205,18 @@ def test_keep_one_of_each_group(spark):
     assert sorted((r.doc_id, r.text or "") for r in again.collect()) == sorted([(r.doc_id, r.text or "") for r in kept.collect()] + [(0, "an id that stands for two texts")])
 
 
+def test_keep_one_of_rows_without_doc_id(spark):
+    rng = random.Random(15)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    alone = [(None, a), (None, a), (None, a + " more"), (None, b), (1, c)]
+    want = [("None", a), ("None", b), ("1", c)]
+    for more, kept in (([], []), ([(2, d), (2, d)], [("2", d)])):
+        got = ngram_join.keep_one(docs_of(spark, alone + more)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted(want + kept)
+    named = docs_of(spark, [(5, "x y"), (None, "5:x y"), (None, b)])  # an id and a text that read like another text
+    assert sorted(r.text for r in ngram_join.keep_one(named).collect()) == sorted(["x y", "5:x y", b])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aAbé \t\x0b\x1f\n", max_size=30), max_size=6), st.integers(1, 4))
 def test_shingle_sets_match_words(texts, n):
