@@ -46,6 +46,16 @@ def test_prune_looks_at_dropped_rows_too(spark):
     assert [r.vec_id for r in V.prune(e, "vec_id", "embedding", math.cos(math.radians(10)) - 1e-5).collect()] == [0]
 
 
+def test_prune_queries_at_the_threshold_of_the_reference(spark, tmp_path):
+    from corpuscle.plans import catalog
+
+    rows = [(i, [math.cos(math.radians(a)), math.sin(math.radians(a))], 0) for i, a in enumerate((0, 5, 40))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept = {n: sorted(r.vec_id for r in catalog.queries()[n](spark, str(tmp_path)).collect()) for n in ("v13_near_duplicate_prune", "v13_near_duplicate_prune_faithful")}
+    assert kept == {"v13_near_duplicate_prune": [0], "v13_near_duplicate_prune_faithful": [0, 2]}
+    assert catalog.queries()["v14_index_optimise_faithful"](spark, str(tmp_path)).first().kept == 2
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.6, 0.95])
 def test_similar_pairs_lose_none(spark, threshold):
     rng = np.random.default_rng(1)
