@@ -56,6 +56,14 @@ def test_prune_queries_at_the_threshold_of_the_reference(spark, tmp_path):
     assert catalog.queries()["v14_index_optimise_faithful"](spark, str(tmp_path)).first().kept == 2
 
 
+def test_passage_position_takes_the_first_hit_or_falls_back(spark):
+    from corpuscle.plans.join_queries import position
+
+    cases = [("a b c d e", "x A, b! c d z a b c d e y"), ("a b c d e", "e a x c x x x"), ("a b c", "b c a c"), ("a b c d e", "b e"), ("a b", "y z")]
+    got = [tuple(r) for r in position(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, _q string, _d string")).orderBy("id").select("start", "share", "loose").collect()]
+    assert got == [(1, 0.8, None), (1, 0.4, None), (1, 0.333333, None), (None, 0.0, 2), (None, 0.0, 0)]
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.6, 0.95])
 def test_similar_pairs_lose_none(spark, threshold):
     rng = np.random.default_rng(1)
