@@ -61,7 +61,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def expand(rendered: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
-    """One row an example: conv_id, example, context_chars, context (null where shared), target, trainable, end_chars."""
+    """One row an example: conv_id, example, context_chars, context (null where shared), target, trainable, end_chars, last."""
     size = F.length("formatted")
     n = F.size("spans")
     last = F.when(n > 0, F.element_at("spans", -1)["end"] + len(END)).otherwise(F.lit(0))
@@ -71,9 +71,9 @@ def expand(rendered: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
     )
     rest = F.array(F.struct(last.alias("context_chars"), F.substring(F.col("formatted"), last + 1, size).alias("target"), F.lit(False).alias("trainable"), size.alias("end_chars")))
     head = F.when(size <= inline_chars, F.col("formatted"))  # what a row repeats is bounded
-    rows = rendered.select("conv_id", head.alias("_head"), F.concat(pieces, F.when(last < size, rest).otherwise(F.array().cast("array<struct<context_chars:int,target:string,trainable:boolean,end_chars:int>>"))).alias("_p"))
-    return rows.select("conv_id", "_head", F.posexplode("_p").alias("example", "p")).select(
-        "conv_id", "example", F.col("p.context_chars"), F.substring(F.col("_head"), F.lit(1), F.col("p.context_chars")).alias("context"), F.col("p.target"), F.col("p.trainable"), F.col("p.end_chars")
+    rows = rendered.select("conv_id", head.alias("_head"), size.alias("_size"), F.concat(pieces, F.when(last < size, rest).otherwise(F.array().cast("array<struct<context_chars:int,target:string,trainable:boolean,end_chars:int>>"))).alias("_p"))
+    return rows.select("conv_id", "_head", "_size", F.posexplode("_p").alias("example", "p")).select(
+        "conv_id", "example", F.col("p.context_chars"), F.substring(F.col("_head"), F.lit(1), F.col("p.context_chars")).alias("context"), F.col("p.target"), F.col("p.trainable"), F.col("p.end_chars"), (F.col("p.end_chars") == F.col("_size")).alias("last")
     )
 
 
@@ -98,12 +98,13 @@ def parse(formatted: Column) -> Column:
 def digests(turns: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
     """What the output says when read back, a row for each conversation."""
     rendered = render(turns)
-    read = rendered.select("conv_id", parse(F.col("formatted")).alias("t")).select(
+    examples = expand(rendered, inline_chars)
+    said = F.concat("context", "target", F.when(F.col("trainable"), F.lit(END)).otherwise(F.lit("")))  # of the last example: all turns
+    read = context_of(examples.where("last"), rendered).select("conv_id", parse(said).alias("t")).select(
         "conv_id",
         F.size("t").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
     )
-    examples = expand(rendered, inline_chars)
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("trainable"), F.struct("example", F.col("target"))))), lambda x: unescape(x["target"])), "")
     learned = examples.groupBy(F.col("conv_id").alias("_c")).agg(loss.alias("loss"), F.sum(F.when(F.col("trainable"), F.lit(1)).otherwise(0)).alias("n_examples"), F.sum(F.col("end_chars") - F.when(F.col("trainable"), F.lit(0)).otherwise(F.col("context_chars"))).alias("chars"))
     return read.join(learned, F.col("conv_id").eqNullSafe(F.col("_c"))).select(

@@ -53,6 +53,14 @@ def test_chat_examples_hold_all_preceding_turns(spark):
         assert rows[-1].context + rows[-1].target == whole and not rows[-1].trainable
 
 
+def test_chat_digests_read_the_examples_contexts(spark, monkeypatch):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    want, expand = chat_format.digests(turns).first(), chat_format.expand
+    monkeypatch.setattr(chat_format, "expand", lambda *a: expand(*a).withColumn("context", F.replace("context", F.lit("q"), F.lit("lost"))))
+    got = chat_format.digests(turns).first()
+    assert got.turns_sha256 != want.turns_sha256 and got.loss_sha256 == want.loss_sha256
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(empty).count() == 0
