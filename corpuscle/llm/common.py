@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word of the query contracts: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A checkpoint that took so many seconds leaves shuffle files worth dropping at once.
+COLLECT_AFTER_S = 2.0
 #: Rows in an Arrow batch at most.
 BATCH_RECORDS = 1000
 
@@ -23,13 +26,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session set to hand Python a few megabytes at a time: batches count in the JVM and in every worker."""
-    conf = df.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to hand Python a few megabytes at a time: batches count in the JVM and in every worker.
+
+    For the programs that own a session (the registered queries, the pipeline's stages); operators leave sessions alone.
+    """
+    conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_RECORDS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return df
 
 
 def tidy(function: Callable) -> Callable:
@@ -45,18 +50,30 @@ def tidy(function: Callable) -> Callable:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names (a temporary one where none is set)."""
+    """Cut the lineage with a reliable checkpoint in the folder that shared_folder names."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscle-"))
+        context.setCheckpointDir(shared_folder(spark))
+    begun = time.monotonic()
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only the lineage just cut still needed
+    if time.monotonic() - begun > COLLECT_AFTER_S:
+        gc.collect()
+        spark._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only the lineage just cut still needed
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set: a temporary one in local mode, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="corpuscle-")
+
+
 def unit_hash(*parts: Column) -> Column:
     """A reproducible uniform number in (0, 1) from the MD5 of the parts, the same in any SQL engine."""
     key = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])

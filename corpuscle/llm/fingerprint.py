@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, tidy
+from .common import mix64, tidy
 
 COARSE, FINE, FEW = 64, 16, 8
 SHORT_CHARS = 512
@@ -249,7 +249,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text, for rows of doc_id, text; columns as in SCHEMA."""
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"))
     cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] if n > 1 else [0.5], 10 * n + 1000)).first()[0]

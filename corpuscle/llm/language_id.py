@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches, texts_of, tidy
+from .common import slices, texts_of, tidy
 from .learning import held_out, logistic, sample
 
 BITS = 13
@@ -160,4 +160,4 @@ def identify(docs: DataFrame, model: Model | None = None, per_label: int = 400)
     model = model or train(docs, per_label)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"), held_out().alias("held_out"))
-    return small_batches(rows).mapInArrow(tidy(predict(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(tidy(predict(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")

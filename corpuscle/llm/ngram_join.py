@@ -3,20 +3,24 @@
 Texts with equal shingle sets form a class, which is joined once. The shingles of a class are put in one order for all,
 rare ones first, and the first ``n - ceil(t * n) + 1`` of them are its prefix: two classes of similarity t or more share
 a shingle of their prefixes. Candidates from shared shingles pass the length filter (the smaller set has at least t times
-the larger one's size), the positional filter (what the places of the shared shingle leave possible) and the suffix filter
-(the sets' histograms over 128 hash ranges bound their overlap). What remains is verified, once per pair, on whole sets.
+the larger one's size), the positional filter (what the places of the shared shingle leave possible) and, in place of the
+recursive suffix filter, a bound on the sets' symmetric difference: the bits in which their parities over 1024 hash ranges
+differ. What remains is verified, once per pair, on whole sets.
 
 All links are needed only as far as they join components, so a shared shingle is not expanded into all pairs: its holders
 are ranked by how much they share with others, and are compared with the first one, next with the following four, then
-with all that remain, each time only across components found so far, and only while a shingle has holders in two. No pair
-of classes in different components is left out, so the components are exactly those of the join.
+with all that remain, each time only across components found so far, and only while a shingle has holders in two. In the
+last round holders meet by bands of size, and a pair only where none of the few shingles before, in either one's order, is
+common to both: such a pair has met there already. So a shingle all of whose holders share the one before it is left out
+as a whole. No pair of classes in different components is lost, and the components are exactly those of the join.
 
 The order: a shingle's rarity is its count over all documents in a sketch of 2^20 counters (4 MB whatever the input);
 counters can only be too high. Any order gives the same result; a coarse one only makes prefixes less selective.
 
 Scale: three passes over the texts in numpy (counts; prefixes; sets of candidates only). What is shuffled are prefixes
-(about a tenth of the shingles at 0.9) and a narrow row with a histogram per document. Copies post their prefix once per task.
-A shingle held by very many classes is split by salt in the last round. Components never leave Spark.
+(about a tenth of the shingles at 0.9) and a narrow row with parities per document. Copies post their prefix once per task
+and find their class once per task. Holders of a shingle that the sketch counts far above its median are spread over salts
+from the start, so no task gets all holders of a frequent shingle. Components never leave Spark.
 
 Null or empty texts and texts without a word have no shingles, and are a component of their own. Repeated doc_ids are
 separate rows, each in the component of its text. Tables without rows give no rows. Other columns are ignored.
@@ -24,21 +28,27 @@ separate rows, each in the component of its text. Tables without rows give no ro
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, slices, small_batches, texts_of, tidy
+from .common import checkpoint, mix64, slices, texts_of, tidy
 from .components import components
 from .shingles import shingle_sets
 
-SKETCH_BITS, BLOCK_BITS = 20, 16
-BINS = 128
+SKETCH_BITS, BLOCK_BITS = 20, 12
+#: 64-bit words of a set's parities.
+PARITY_WORDS = 16
 FIRST_PIVOTS = (1, 5)
-SALTED_FROM = 256
+#: Holders of a shingle in one salt, about, and how many shingles before a common one are looked at.
+SALTED_FROM, BEFORE = 512, 6
 #: As many candidate ids at most are broadcast to pick their texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 BATCH_BYTES = 1 << 19
@@ -63,30 +73,40 @@ def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.
         yield from enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), i)
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 64 * PARITY_WORDS hash ranges, as signed 64-bit words."""
+    odd = np.bincount((shingles & _U(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _profile(n: int) -> Callable:
-    """Row for each document (doc_id, class, size, bins), and at the end of a task its shingle counts by block."""
+    """Row for each document (doc_id, class, size, parities, task), and at the end of a task its shingle counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int8()), pa.int32(), pa.binary()]
-        names = ["doc_id", "class", "size", "bins", "block", "counts"]
+        task = TaskContext.get().partitionId()
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "class", "size", "parities", "task", "block", "counts"]
         for batch in batches:
-            keys, sizes, bins = [], [], []
+            keys, sizes, parities = [], [], []
             for _, found in _sets(batch, 1, n):
                 sizes.append(len(found))
                 keys.append(_class_key(found) if len(found) else None)
-                hist = np.bincount((found & _U(BINS - 1)).astype(np.int64), minlength=BINS)
-                bins.append(hist.astype(np.int8) if len(found) and hist.max() < 1 << 7 else None)
-                counts += np.bincount((found >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32) if len(found) > 20_000 else 0
-                if len(found) <= 20_000:
-                    np.add.at(counts, (found >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                parities.append(_parities(found) if len(found) else None)
+                at = (found >> _U(64 - SKETCH_BITS)).astype(np.int64)
+                if len(found) > 20_000:
+                    counts += np.bincount(at, minlength=len(counts)).astype(np.uint32)
+                else:
+                    np.add.at(counts, at, 1)
             none = [None] * len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip((keys, sizes, bins, none, none), kinds[1:], strict=True)]], names=names)
+            columns = (keys, sizes, parities, [task] * len(keys), none, none)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(columns, kinds[1:], strict=True)]], names=names)
         width = 1 << BLOCK_BITS
         blocks = [(b, counts[b * width : (b + 1) * width]) for b in range(len(counts) // width)]
         blocks = [(b, c.tobytes()) for b, c in blocks if c.any()]
         none = [None] * len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((none, none, none, none, [b for b, _ in blocks], [c for _, c in blocks]), kinds, strict=True)], names=names)
+        columns = (none, none, none, none, none, [b for b, _ in blocks], [c for _, c in blocks])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -101,14 +121,19 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["block", "counts"])
 
 
-def _prefixes(n: int, percent: int, sketch: object) -> Callable:
-    """(token, half, place) of each class's prefix, once for each class and task; half: the first 8 bytes of the class key."""
+def _salts(counts: np.ndarray, usual: int, each: int) -> np.ndarray:
+    """Over how many salts the holders of shingles of these counts are spread; one for all that are not far above the usual."""
+    return np.maximum(1, -(-(counts.astype(np.int64) - 2 * usual) // each))
+
+
+def _prefixes(n: int, percent: int, sketch: object, usual: int, each: int) -> Callable:
+    """(token, salt, salts, half, place) of each class's prefix, once for each class and task; half: the first 8 bytes of the class key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, halves, places = [], [], []
+            tokens, salts, of, halves, places = [], [], [], [], []
             for _, found in _sets(batch, 0, n):
                 if not len(found):
                     continue
@@ -117,12 +142,17 @@ def _prefixes(n: int, percent: int, sketch: object) -> Callable:
                     continue
                 seen.add(key)
                 length = len(found) + (-percent * len(found)) // 100 + 1
-                order = np.lexsort((found, counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
+                count = counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((found, count))[:length]
                 tokens.append(found[order].view(np.int64))
+                of.append(_salts(count[order], usual, each))
+                salts.append((int.from_bytes(key[8:], "big") >> 2) % of[-1])
                 halves.append(np.full(length, _half(key), np.int64))
                 places.append(np.arange(length, dtype=np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, halves, places)], names=["token", "half", "place"])
+                columns = [np.concatenate(c) for c in (tokens, salts, of, halves, places)]
+                columns[1:3] = [c.astype(np.int32) for c in columns[1:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "half", "place"])
 
     return run
 
@@ -162,11 +192,26 @@ def _possible(percent: int, s: Column, at: Column, t: Column, place: Column) ->
     return length & (upto >= _needed(percent, s, t))
 
 
-def _bins_allow(percent: int, one: str, other: str) -> Column:
-    """Suffix filter: the smaller count of each hash range, summed up, bounds the overlap. Sets without a histogram pass."""
-    total = lambda side: F.aggregate(f"{side}.bins", F.lit(0), lambda a, b: a + b)
-    overlap = F.aggregate(F.zip_with(f"{one}.bins", f"{other}.bins", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return F.coalesce(overlap >= _needed(percent, total(one), total(other)), F.lit(True))
+def _parities_allow(percent: int, one: str, other: str) -> Column:
+    """In place of the suffix filter: bits in which the sets' parities differ are a lower bound of their symmetric difference."""
+    s, t = F.col(f"{one}.size"), F.col(f"{other}.size")
+    differ = [F.bit_count(F.col(f"{one}.parities")[i].bitwiseXOR(F.col(f"{other}.parities")[i])) for i in range(PARITY_WORDS)]
+    return functools.reduce(operator.add, differ) <= s + t - 2 * _needed(percent, s, t)
+
+
+def _band(percent: int) -> Column:
+    """A number in which the sizes of two sets of enough similarity differ by one at most."""
+    return F.floor(F.ln("size") / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
+
+
+def _meetings(live: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The rows of the last round: those whose pairs have not all met at the shingle before, with that and some before it."""
+    own = Window.partitionBy("id").orderBy("place")
+    rows = live.join(facts.select("id", "parities"), "id").withColumns({"last": F.lag("token").over(own), "before": F.collect_list("token").over(own.rowsBetween(-BEFORE, -1))})
+    rows = checkpoint(rows.withColumn("band", _band(percent)))
+    alike = rows.groupBy("token").agg(F.min("last").alias("_l"), F.max("last").alias("_h"), F.count("last").alias("_n"), F.count(F.lit(1)).alias("_all"), F.max("salts").alias("_s"))
+    fresh = alike.where("_n < _all or _l <> _h").select("token", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"))
+    return rows.join(fresh, ["token", "salt"], "left_semi")
 
 
 def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -175,27 +220,28 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     Texts link when ``100 * intersection >= percent * union`` of their sets of n-word shingles. class_id is the smallest
     doc_id with the same set, component_id the smallest that links reach.
     """
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = checkpoint(texts.mapInArrow(tidy(_profile(n)), "doc_id bigint, class binary, size bigint, bins array<tinyint>, block int, counts binary"))
-    rows = profile.where("block is null").select("doc_id", "class", "size", "bins")
-    blocks = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(tidy(_add_up), "block int, counts binary")
+    profile = checkpoint(texts.mapInArrow(tidy(_profile(n)), "doc_id bigint, class binary, size bigint, parities array<bigint>, task int, block int, counts binary"))
+    rows = profile.where("block is null").select("doc_id", "class", "size", "parities", "task")
+    blocks = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(tidy(_add_up), "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for block, part in blocks.collect():  # 2^20 counters together
         counts[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(part, np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     half = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("bigint")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bins").alias("bins"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("parities").alias("parities"))
 
-    posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch)), "token bigint, half bigint, place bigint")
-    posted = posted.repartition("token").dropDuplicates(["token", "half"])
-    held = checkpoint(posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1"))
+    posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch, int(np.median(counts)), SALTED_FROM)), "token bigint, salt int, salts int, half bigint, place bigint")
+    posted = posted.repartition("token", "salt").dropDuplicates(["token", "salt", "half"])
+    held = posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where("holders > 1 or salts > 1")
+    held = checkpoint(held)
     # from here on classes have short numbers; halves that two classes have in common stand for both
-    weight = held.groupBy("half").agg(F.sum("holders").alias("weight"))
+    weight = held.groupBy("half").agg(F.sum(F.col("holders") * F.col("salts")).alias("weight"))
     facts = checkpoint(classes.withColumn("half", half).join(weight, "half").withColumn("id", F.monotonically_increasing_id()))
-    by_token = Window.partitionBy("token").orderBy(F.desc("weight"), "id")
-    ranked = held.join(facts.select("half", "id", "size", "weight"), "half").select("token", "id", "size", "place", "holders", "weight")
-    ranked = ranked.withColumns({"rank": F.row_number().over(by_token), "lead": F.first(F.struct("id", "size", "place")).over(by_token)}).drop("weight")
+    by_token = Window.partitionBy("token", "salt").orderBy(F.desc("weight"), "id")
+    ranked = held.join(facts.select("half", "id", "size", "weight"), "half").select("token", "salt", "salts", "id", "size", "place", "holders", "weight")
+    ranked = ranked.withColumns({"rank": (F.row_number().over(by_token) - 1) * F.col("salts") + F.col("salt"), "lead": F.first(F.struct("id", "size", "place")).over(by_token)}).drop("weight")
     ranked = checkpoint(ranked)
     del held, posted, weight
 
@@ -204,30 +250,29 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     linked = False
     low = 0
     for high in (*FIRST_PIVOTS, None):
-        if low == 0:  # all against the first holder, who stands in their rows
+        if low == 0:  # all against the first holder, who stands in their rows; salted ones wait for the next round
             fits = _possible(percent, F.col("size"), F.col("place"), F.col("lead.size"), F.col("lead.place"))
-            pairs = ranked.where("rank > 1").where(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+            pairs = ranked.where("salts = 1 and rank > 0").where(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            live = ranked.where(F.col("holders") > low + 1).drop("lead").join(groups, "id")
-            mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h")
-            live = live.join(mixed.select("token"), "token", "left_semi")
-            meet = (F.col("p.token") == F.col("m.token")) & (F.col("p.salt") == F.col("m.salt")) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.comp") != F.col("m.comp"))
+            live = ranked.where(F.col("holders") * F.col("salts") > low + 1).drop("lead").join(groups, "id")
+            mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.max("salts").alias("_s")).where("_l <> _h")
+            live = live.join(mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt")), ["token", "salt"], "left_semi")
+            on = [F.col(f"p.{c}") == F.col(f"m.{c}") for c in ("token", "salt", "band")[: 2 + (high is None)]]
+            meet = functools.reduce(operator.and_, on) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.comp") != F.col("m.comp"))
             meet &= _possible(percent, *(F.col(c) for c in ("p.size", "p.place", "m.size", "m.place")))
-            if high is None:  # few shingles are left, and some with very many holders: let no more through than must be
-                live = live.join(facts.select("id", "bins"), "id")
-                meet &= _bins_allow(percent, "p", "m")
-            live = checkpoint(live)
-            pivots = live.where(f"rank > {low}" + (f" and rank <= {high}" if high else ""))
-            salts = F.when(F.lit(high is None) & (F.col("holders") > SALTED_FROM), F.ceil(F.col("holders") / SALTED_FROM).cast("int")).otherwise(F.lit(1))
-            spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-            salted = live.withColumn("salt", F.pmod(F.hash("id"), salts))
-            pairs = spread.alias("p").join(salted.alias("m"), meet).select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
+            if high is None:  # all against all: let no more through than must be
+                meet &= ~F.arrays_overlap("p.before", "m.before") & _parities_allow(percent, "p", "m")
+            live = checkpoint(live if high else _meetings(live, facts, percent))
+            pivots = live.where(F.col("rank") >= F.when(F.col("salts") > 1, F.lit(0 if low == FIRST_PIVOTS[0] else low)).otherwise(F.lit(low)))
+            pivots = pivots.where(F.col("rank") < high) if high else pivots.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+            spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            pairs = spread.alias("p").join(live.alias("m"), meet).select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         if high is not None:
-            x, y = facts.select(F.col("id").alias("a"), "bins").alias("x"), facts.select(F.col("id").alias("b"), "bins").alias("y")
-            pairs = pairs.join(x, "a").join(y, "b").where(_bins_allow(percent, "x", "y")).select("a", "b")
+            x, y = facts.select(F.col("id").alias("a"), "size", "parities").alias("x"), facts.select(F.col("id").alias("b"), "size", "parities").alias("y")
+            pairs = pairs.join(x, "a").join(y, "b").where(_parities_allow(percent, "x", "y")).select("a", "b")
         pairs = checkpoint(pairs)
         low = high
         n_pairs = pairs.count()
@@ -249,7 +294,9 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
         own = own.join(reached, "class", "left").select("class", "class_id", F.coalesce("least", "class_id").alias("component_id"))
     else:
         own = own.withColumn("component_id", F.col("class_id"))
-    named = rows.select("doc_id", "class", F.col("size").alias("n_shingles")).join(own, "class", "left")
+    # a class meets each task that read it once, and the task's rows by both, so that its copies are spread
+    own = rows.where("class is not null").select("class", "task").distinct().join(own, "class")
+    named = rows.select("doc_id", "class", "task", F.col("size").alias("n_shingles")).join(own, ["class", "task"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, texts_of, tidy
+from .common import slices, texts_of, tidy
 
 LENGTH, END_ID = 1024, 0
 DIMENSIONS, CELL_BITS, VECTOR_BITS = 4, 10, 10
@@ -189,7 +189,7 @@ def _pack(ranks: object, kind: pa.DataType) -> object:
 
 def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = None) -> DataFrame:
     """doc_id, start, ids (little-endian unsigned 32-bit, binary), doc_tokens, sequence_id, offset: the pieces of all rows of doc_id, text."""
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     with open(ranks_path or default_ranks(), "rb") as file:  # on the driver; tasks get the bytes
         ranks = spark.sparkContext.broadcast(file.read())

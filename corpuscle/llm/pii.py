@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, tidy
+from .common import checkpoint, tidy
 
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.6, 0.8
 KINDS = ("email", "ip", "card", "phone")
@@ -167,7 +167,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan(docs: DataFrame) -> DataFrame:
     """Base counts, base spans and mentions of every row of doc_id, text; written down, with a number for each row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return checkpoint(small_batches(rows).mapInPandas(tidy(_scan), SCHEMA))
+    return checkpoint(rows.mapInPandas(tidy(_scan), SCHEMA))
 
 
 def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, tidy
+from .common import texts_of, tidy
 from .learning import PER_LABEL, held_out, logistic, sample
 
 WIDTH, EMBED, FILTERS, STRIDE = 6, 6, 24, 2
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of doc_id, text."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", held_out().alias("held_out"), docs["text"].cast("string").alias("text"))
-    scored = small_batches(rows).mapInArrow(tidy(_score(net, 2)), f"doc_id {kind}, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(_score(net, 2)), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -187,4 +187,4 @@ def keep_good(docs: DataFrame, net: Network | None) -> DataFrame:
             yield batch.filter(pa.array(score_texts(net, raw, offsets) >= THRESHOLD))
 
     at = docs.columns.index("text")
-    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

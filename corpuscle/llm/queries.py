@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, fingerprint, language_id, mixing, ngram_join, packing, pii, quality_cnn, quality_rules, sharding
-from .common import read
+from .common import read, small_batches
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -59,7 +60,17 @@ def op10_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+
+def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
+    f.__name__: _configured(f) for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
 }
 
