@@ -6,14 +6,13 @@ gives the text back exactly and no text can open or close a turn. Every assistan
 own: all preceding turns and its opening are context, and only its text is trainable. What follows the last assistant turn
 makes one last, untrainable row, so the output holds every turn.
 
-Examples share their context. In a conversation of up to ``inline_chars`` rendered characters each example carries its
-context as text; in a longer one the context is the first ``context_chars`` characters of the conversation's rendering,
-which is kept once, since to repeat it would grow with the square of the conversation. ``context_of`` resolves either.
+Every example carries its whole context as text, whatever its length, so the output grows with the square of a
+conversation's turns, as the expansion does by its nature. Contexts are cut one row at a time and never kept together.
 
 Rows are ordered by turn, equal turns by role and text; a null turn comes first, null role and text are empty, a null
 conv_id is a conversation of its own. Repeated rows are repeated turns. Tables without rows give no rows.
 
-Scale: one shuffle by conv_id. A digest over a conversation needs its turns in one place, so one row holds one
+Scale: one shuffle by conv_id, which expansion and digests keep. A digest over a conversation needs its turns in one place, so one row holds one
 conversation's text; that bounds a conversation, not the number of them.
 """
 
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Openings of control strings of this template and of common public ones.
 CONTROL = r"\\|<(?=\||/?s>|</?SYS>>|/?(?:start|end)_of_turn>|/?think>)|\[(?=/?INST\])"
-INLINE_CHARS = 1 << 16
 
 
 def escape(text: Column) -> Column:
@@ -60,28 +58,17 @@ def render(turns: DataFrame) -> DataFrame:
     )
 
 
-def expand(rendered: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
-    """One row an example: conv_id, example, context_chars, context (null where shared), target, trainable, end_chars, last."""
+def expand(rendered: DataFrame) -> DataFrame:
+    """One row an example: conv_id, example, context, target, trainable, last. The rest after the last reply is not trainable."""
     size = F.length("formatted")
-    n = F.size("spans")
-    last = F.when(n > 0, F.element_at("spans", -1)["end"] + len(END)).otherwise(F.lit(0))
-    pieces = F.transform(
-        "spans",
-        lambda s: F.struct(s["start"].alias("context_chars"), F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]).alias("target"), F.lit(True).alias("trainable"), (s["end"] + len(END)).alias("end_chars")),
+    last = F.when(F.size("spans") > 0, F.element_at("spans", -1)["end"] + len(END)).otherwise(F.lit(0))
+    replies = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("trainable"), (s["end"] + len(END) == size).alias("last")))
+    rest = F.array(F.struct(last.alias("start"), size.alias("end"), F.lit(False).alias("trainable"), F.lit(True).alias("last")))
+    pieces = F.concat(replies, F.when(last < size, rest).otherwise(F.array().cast("array<struct<start:int,end:int,trainable:boolean,last:boolean>>")))
+    text = lambda start, end: F.substring(F.col("formatted"), start + 1, end - start)
+    return rendered.select("conv_id", "formatted", F.posexplode(pieces).alias("example", "p")).select(
+        "conv_id", "example", text(F.lit(0), F.col("p.start")).alias("context"), text(F.col("p.start"), F.col("p.end")).alias("target"), "p.trainable", "p.last"
     )
-    rest = F.array(F.struct(last.alias("context_chars"), F.substring(F.col("formatted"), last + 1, size).alias("target"), F.lit(False).alias("trainable"), size.alias("end_chars")))
-    head = F.when(size <= inline_chars, F.col("formatted"))  # what a row repeats is bounded
-    rows = rendered.select("conv_id", head.alias("_head"), size.alias("_size"), F.concat(pieces, F.when(last < size, rest).otherwise(F.array().cast("array<struct<context_chars:int,target:string,trainable:boolean,end_chars:int>>"))).alias("_p"))
-    return rows.select("conv_id", "_head", "_size", F.posexplode("_p").alias("example", "p")).select(
-        "conv_id", "example", F.col("p.context_chars"), F.substring(F.col("_head"), F.lit(1), F.col("p.context_chars")).alias("context"), F.col("p.target"), F.col("p.trainable"), F.col("p.end_chars"), (F.col("p.end_chars") == F.col("_size")).alias("last")
-    )
-
-
-def context_of(examples: DataFrame, rendered: DataFrame) -> DataFrame:
-    """The examples with every context as text, also the shared ones."""
-    whole = rendered.select("conv_id", F.col("formatted").alias("_f"))
-    joined = examples.alias("e").join(whole.alias("w"), F.col("e.conv_id").eqNullSafe(F.col("w.conv_id")))
-    return joined.select(*[F.col(f"e.{c}") for c in examples.columns if c != "context"], F.coalesce(F.col("e.context"), F.substring(F.col("_f"), F.lit(1), F.col("e.context_chars"))).alias("context"))
 
 
 def parse(formatted: Column) -> Column:
@@ -95,20 +82,19 @@ def parse(formatted: Column) -> Column:
     return F.transform(parts, one)
 
 
-def digests(turns: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
-    """What the output says when read back, a row for each conversation."""
-    rendered = render(turns)
-    examples = expand(rendered, inline_chars)
-    said = F.concat("context", "target", F.when(F.col("trainable"), F.lit(END)).otherwise(F.lit("")))  # of the last example: all turns
-    read = context_of(examples.where("last"), rendered).select("conv_id", parse(said).alias("t")).select(
+def digests(turns: DataFrame) -> DataFrame:
+    """What the examples say when read back, a row for each conversation. formatted_chars counts the characters of all examples and of the rest once."""
+    closed = F.when(F.col("trainable"), F.lit(END)).otherwise(F.lit(""))
+    shown = F.concat(F.when(F.col("trainable"), F.col("context")).otherwise(F.lit("")), "target", closed)
+    said = F.when(F.col("last"), F.concat("context", "target", closed))  # the last example holds all turns
+    reply = F.when(F.col("trainable"), F.struct("example", F.col("target")))
+    read = expand(render(turns)).select("conv_id", said.alias("said"), reply.alias("reply"), F.length(shown).alias("chars"))
+    whole = read.groupBy("conv_id").agg(F.first("said", ignorenulls=True).alias("said"), F.sort_array(F.collect_list("reply")).alias("replies"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.transform("replies", lambda x: unescape(x["target"])), "")
+    parsed = whole.select("conv_id", parse(F.col("said")).alias("t"), loss.alias("loss"), "formatted_chars", F.size("replies").cast("bigint").alias("n_examples"))
+    return parsed.select(
         "conv_id",
         F.size("t").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-    )
-    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("trainable"), F.struct("example", F.col("target"))))), lambda x: unescape(x["target"])), "")
-    learned = examples.groupBy(F.col("conv_id").alias("_c")).agg(loss.alias("loss"), F.sum(F.when(F.col("trainable"), F.lit(1)).otherwise(0)).alias("n_examples"), F.sum(F.col("end_chars") - F.when(F.col("trainable"), F.lit(0)).otherwise(F.col("context_chars"))).alias("chars"))
-    return read.join(learned, F.col("conv_id").eqNullSafe(F.col("_c"))).select(
-        "conv_id", "n_turns", "turns_sha256",
-        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"),
-        F.col("chars").cast("bigint").alias("formatted_chars"), F.col("n_examples").cast("bigint").alias("n_examples"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars", "n_examples",
     )
