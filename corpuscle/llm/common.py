@@ -80,22 +80,24 @@ def unit_hash(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all earlier rows of the same key and the row itself, exactly.
+def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str, peers: bool = False) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all earlier rows of the same key and the row itself, exactly;
+    with ``peers``, rows equal in ``order`` count together.
 
     ``bucket`` is a number that does not fall along ``order``. Rows are summed up within (key, bucket), and the totals of
     the buckets, at most one row a bucket and key, give each bucket its start. So a key that holds a third of all rows
     spreads over its buckets. Adds ``<name>_total`` too, the sum over the whole key.
     """
     df = df.withColumns({"_b": bucket.cast("bigint"), "_v": value})
-    keyed = [F.coalesce(F.col(k).cast("string"), F.lit("\x00null")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    keyed = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("null")).alias(f"_k{i}") for i, k in enumerate(keys)]
     names = [f"_k{i}" for i in range(len(keys))]
     totals = df.groupBy(*keyed, "_b").agg(F.sum("_v").alias("_sum"))
     start = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *names, "_b", F.coalesce(F.sum("_sum").over(start), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(*names)).alias(f"{name}_total")
     )
-    within = Window.partitionBy(*names, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*names, "_b").orderBy(*order)
+    within = (ordered.rangeBetween if peers else ordered.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumns({n: c for n, c in zip(names, keyed, strict=True)})
     return (
         rows.withColumn("_within", F.sum("_v").over(within))
@@ -105,6 +107,16 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     )
 
 
+def place_among(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at most the value, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    borders = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # a constant, folded once
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    here = lambda at, step: (at + step <= len(cuts)) & (F.get(borders, at + step - 1) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(here(at, step), at + step).otherwise(at))
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows, and the n + 1 offsets into them; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -51,16 +51,18 @@ def mixture() -> str:
     walks, before = [], "w0"
     for k in range(1, mixing.WALKS + 1):
         walks.append(
-            f"""s{k} AS (SELECT *, sum(CASE WHEN NOT taken AND size > 0 AND size <= due THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS c FROM {before}),
+            f"""s{k} AS (SELECT *, sum(CASE WHEN NOT taken AND size > 0 AND size <= due THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q) AS c FROM {before}),
     n{k} AS (SELECT * EXCLUDE (c), NOT taken AND size > 0 AND size <= due AND c <= due AS fresh FROM s{k}),
     w{k} AS (SELECT * EXCLUDE (fresh) REPLACE (taken OR fresh AS taken, due - coalesce(sum(size) FILTER (fresh) OVER (PARTITION BY source), 0) AS due) FROM n{k})"""
         )
         before = f"w{k}"
     return f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS size, {_unit(29)} AS u FROM documents),
-    a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+    a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, greatest(count(*) FILTER (size > 0), 1) AS docs, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
     o AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER v, 0) AS room, sum(w) OVER () - coalesce(sum(w) OVER v, 0) AS weight FROM a WINDOW v AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    l AS (SELECT max(room / weight) FILTER (room / weight * w <= cap) AS x FROM o), t AS (SELECT source, source_size, CASE WHEN x IS NULL THEN cap ELSE least(cap, x * w) END AS target FROM o, l),
-    p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM t), w0 AS (SELECT d.*, source_size, target, whole, greatest(0, target - whole * source_size) AS due, false AS taken FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    l AS (SELECT max(room / weight) FILTER (room / weight * w <= cap) AS x FROM o), t AS (SELECT source, source_size, source_size / docs AS mean, CASE WHEN x IS NULL THEN cap ELSE least(cap, x * w) END AS target FROM o, l),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM t), f0 AS (SELECT *, greatest(0, target - whole * source_size) AS due, least(greatest(greatest(0, target - whole * source_size) / source_size, 1e-12), 1 - 1e-12) AS f FROM p),
+    o0 AS (SELECT d.*, source_size, target, whole, due, f / (1 - f) * sqrt(greatest(mean, 1) / greatest(size, 1)) AS odds FROM d JOIN f0 ON d.source IS NOT DISTINCT FROM f0.source),
+    q0 AS (SELECT *, least(greatest(odds / (1 + odds), 1e-12), 1 - 1e-12) AS p FROM o0), w0 AS (SELECT * EXCLUDE (odds, p), u / (1 - u) / (p / (1 - p)) AS q, false AS taken FROM q0),
     {', '.join(walks)}
     SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST((whole + CAST(taken AS INTEGER)) * size AS BIGINT) AS taken FROM {before}"""
 
