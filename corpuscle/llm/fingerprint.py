@@ -4,12 +4,13 @@ A text is parsed into phrases whose borders depend on a few neighbouring symbols
 what they hold, are the symbols of the next level, up to one name for the whole text. On each level runs of one symbol
 become one symbol; then deterministic coin tossing (each symbol is labelled by the lowest bit in which it differs from its
 left neighbour, and by that bit's value, again and again until the labels are below 8) gives labels that differ between
-neighbours, and a phrase starts at each local maximum of the labels. Equal substrings thus get equal phrases but for a few
+neighbours (as far as the low 16 bits of their names differ), and a phrase starts at each local maximum of the labels. Equal substrings thus get equal phrases but for a few
 symbols at their ends, wherever they stand.
 
 A fingerprint is the name of the whole text and two bottom-k sketches of the bag of phrase names: of the levels from 3 up (about
-thirty characters a phrase and more), and, of texts of at most 512 characters, of levels 1 and 2. Two fingerprints' likeness is the Jaccard similarity of the bags that the
-sketches of the higher levels estimate; where they hold fewer than 8 names together, that of both sketches pooled; 1 for equal texts.
+thirty characters a phrase and more), and of levels 1 and 2. Two fingerprints' likeness is the mean of the Jaccard
+similarities of the bags that the two pairs of sketches estimate, weighted by the n names that the sketches of the higher
+levels hold together, and by FEW for the lower ones, which so count where higher names are few; 1 for equal texts.
 
 Scale: a text's fingerprint needs that text alone. Pairing each document with the next one by doc_id takes one shuffle of the
 texts into ranges of doc_id, whose borders come from approximate quantiles; the first document of each range is copied to
@@ -30,10 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, tidy
+from .common import mix64, place_among, tidy
 
-COARSE, FINE, FEW = 64, 16, 8
-SHORT_CHARS = 512
+COARSE, FINE, FEW = 64, 16, 4
 BATCH_CHARS = 1 << 17
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -138,14 +138,13 @@ def _bag(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def parse_texts(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text: the name of the whole, the bag of phrase names of the higher levels, and of the lower ones if short."""
+    """For each text: the name of the whole, the bag of phrase names of the higher levels, and of the lower ones."""
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(t) for t in texts], np.int64)
     ids = np.flatnonzero(size)
     root = [0] * len(texts)
     higher: list[list[np.ndarray]] = [[] for _ in texts]
     lower: list[list[np.ndarray]] = [[] for _ in texts]
-    short = size <= SHORT_CHARS
     starts = np.append(0, np.cumsum(size[ids]))
     symbols, level = _CHARS[data & np.uint32(0xFFFF)], 0
     if len(data) and data.max() > 0xFFFF:
@@ -155,8 +154,8 @@ def parse_texts(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         symbols, starts = _phrases(symbols, starts)
         level += 1
         size = np.diff(starts)
-        kept, some = (higher, np.ones(len(ids), bool)) if level > 2 else (lower, short[ids])
-        for i, a, b in zip(ids[some].tolist(), starts[:-1][some].tolist(), starts[1:][some].tolist(), strict=True):
+        kept = higher if level > 2 else lower
+        for i, a, b in zip(ids.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             kept[i].append(symbols[a:b])
         done = size == 1
         for i, a in zip(ids[done].tolist(), starts[:-1][done].tolist(), strict=True):
@@ -198,9 +197,8 @@ def likeness(one: str, other: str) -> float:
     if one == other:
         return 1.0
     (_, coarse1, fine1), (_, coarse2, fine2) = _split(one), _split(other)
-    if len(set(coarse1) | set(coarse2)) >= FEW:
-        return _jaccard(coarse1, coarse2, COARSE)
-    return _jaccard(coarse1 + fine1, coarse2 + fine2, FINE)
+    n = len(set(coarse1) | set(coarse2))
+    return (n * _jaccard(coarse1, coarse2, COARSE) + FEW * _jaccard(fine1, fine2, FINE)) / (n + FEW)
 
 
 def edited(text: str, following: str) -> str:
@@ -254,7 +252,7 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFra
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"))
     cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] if n > 1 else [0.5], 10 * n + 1000)).first()[0]
     cuts = sorted({*cuts}) if cuts and n > 1 else []
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("_key")))
+    where = place_among(cuts, F.col("_key"))
     firsts = sorted((r["_range"], r["_first"]) for r in rows.groupBy(where.alias("_range")).agg(F.min("_key").alias("_first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first range follows the last
     copies = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.lit(None).cast("map<bigint,int>")

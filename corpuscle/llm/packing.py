@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, tidy
+from .common import place_among, slices, texts_of, tidy
 
 LENGTH, END_ID = 1024, 0
 DIMENSIONS, CELL_BITS, VECTOR_BITS = 4, 10, 10
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = No
     borders = keyed(rows.where(chance < int(SAMPLE * 10_000))).select("place", F.explode(units)) if n > 1 else None
     cuts = borders.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n + 1000)).first()[0] if borders is not None else None
     cuts = sorted({*(cuts or [])})
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("place")))
+    where = place_among(cuts, F.col("place"))
     dealt = keyed(rows).select("doc_id", "text", "place", where.alias("range"))
     placed = dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "place", "doc_id", "text")
     schema = f"doc_id {kind}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
