@@ -6,7 +6,7 @@ bigrams to 4-grams, predicts that bit. A text's margins are decoded by loss: the
 of log(1 + exp(-bit * margin)), each bit weighted by its accuracy on the training sample. Where the second language's loss
 is close, the text is flagged as ambiguous.
 
-Training: at most 400 documents of each language (a parameter), in windows of at most WINDOWS * WINDOW characters, never held-out
+Training: at most 400 documents of each language (a parameter), whole, never held-out
 ones. Prediction reads the whole text and nothing else: a text's n-grams are summed up piece by piece, so memory is bounded
 by a piece and not by the text.
 

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of each label at most, and characters of each at most (as windows spread over the text), in a training sample.
-PER_LABEL, WINDOW, WINDOWS = 1500, 1536, 4
+#: Documents of each label at most in a training sample.
+PER_LABEL = 1500
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -19,8 +19,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int = PER_LABEL) -> pd.DataFrame:
     """At most ``per_label`` texts of each label, chosen by a hash of doc_id: columns doc_id, label, text; in a fixed order.
 
-    ``labelled`` has doc_id and the label, of which there are few kinds; null labels and held-out rows are left out. Of a text longer than the bound,
-    windows spread evenly over the whole are kept. The ids are a bounded number, so they may be broadcast.
+    ``labelled`` has doc_id and the label, of which there are few kinds; null labels and held-out rows are left out. Texts are
+    whole. The ids are a bounded number, so they may be broadcast.
     """
     usable = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", label)
     counts = usable.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -33,10 +33,7 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int = PE
     if not ids:
         return pd.DataFrame({"doc_id": [], label: [], "text": []})
     few = docs.sparkSession.createDataFrame(ids, schema=f"doc_id bigint, {label} {dict(labelled.dtypes)[label]}")
-    text, n = F.coalesce(F.col("text").cast("string"), F.lit("")), F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    step = F.floor((n - WINDOW) / (WINDOWS - 1)).cast("int")
-    cut = F.concat(*[F.substring(text, step * i + 1, F.lit(WINDOW)) for i in range(WINDOWS)])
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(n <= WINDOW * WINDOWS, text).otherwise(cut).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(few), "doc_id").select("doc_id", label, "text").toPandas()
     return got.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
 
