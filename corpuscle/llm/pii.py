@@ -34,8 +34,8 @@ from .common import checkpoint, tidy
 
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.6, 0.8
 KINDS = ("email", "ip", "card", "phone")
-#: As many found values at most (8 bytes each) are broadcast to mask texts; beyond it the spans are joined by a shuffle.
-BROADCAST_VALUES = 1_000_000
+#: Found values of as many bytes at most are broadcast to mask texts; beyond it each text's values are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 SCHEMA = "row bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, mentions array<struct<start:bigint,end:bigint,seed:boolean,refused:boolean,value:string,patterns:array<string>>>"
 
 #: The contract's patterns. An address is looked for from its @, see emails().
@@ -217,10 +217,10 @@ def mask_text(text: str, found: frozenset[str] | set[str]) -> str:
     return "".join([*out, text[done:]])
 
 
-def mask(docs: DataFrame, most_broadcast: int = BROADCAST_VALUES) -> DataFrame:
+def mask(docs: DataFrame, most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """The rows with personal data in their text masked, and n_chars, where there is one, counted anew."""
     found = checkpoint(bootstrap(scan(docs)).select("value"))
-    if found.count() <= most_broadcast:
+    if (found.agg(F.sum(F.octet_length("value"))).first()[0] or 0) <= most_broadcast:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r["value"] for r in found.collect()))
         return docs.mapInArrow(tidy(_masker(docs.columns, known, len(docs.columns))), docs.schema)
     # too many values for every task: each text gets its own

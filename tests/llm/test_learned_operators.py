@@ -127,3 +127,37 @@ def test_network_without_labels(spark):
     assert net is None
     assert [r.score for r in quality_cnn.classify(docs, net).collect()] == [0.5, 0.5]
     assert quality_cnn.keep_good(docs, net).count() == 2
+
+
+def test_decoding_matches_brute_force():
+    """The nearest codeword by loss weighted by each bit's trust, its share, and the ambiguity flag, one row at a time."""
+    rng = np.random.default_rng(4)
+    code = language_id.codewords(7)
+    trust = rng.random(code.shape[1])
+    model = language_id.Model([f"l{i}" for i in range(7)], code, np.zeros((1, code.shape[1])), np.zeros(code.shape[1]), trust / trust.sum())
+    margins = rng.normal(0, 2, (200, code.shape[1]))
+    place, score, ambiguous = language_id.decode(model, margins)
+    for k, row in enumerate(margins):
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-code[i, b] * row[b])) for b in range(code.shape[1])) for i in range(7)]
+        share = [np.exp(-4 * (v - min(loss))) for v in loss]
+        first, second = sorted(share, reverse=True)[:2]
+        assert place[k] == loss.index(min(loss)) and score[k] == pytest.approx(first / sum(share))
+        assert ambiguous[k] == (first / (first + second) < language_id.CLEAR)
+    exact = language_id.decode(model, 50.0 * code)
+    assert exact[0].tolist() == list(range(7)) and not exact[2].any()
+
+
+def test_learned_operators_on_empty_tables(spark):
+    none = table(spark, 1)[0].where("false")
+    assert language_id.identify(none).count() == 0
+    assert quality_cnn.train(none, none.select("doc_id", "quality")) is None
+    assert quality_cnn.classify(none, None).count() == 0 and quality_cnn.keep_good(none, None).columns == none.columns
+
+
+def test_training_samples_hold_whole_texts(spark):
+    from corpuscle.llm.learning import sample
+
+    long = "some words of a long text " * 4000
+    docs = spark.createDataFrame([(1, long, "a"), (4, None, "b")], "doc_id bigint, text string, lang string")
+    got = sample(docs, docs.select("doc_id", "lang"), "lang")
+    assert {r.doc_id: r.text for r in got.itertuples()} == {i: t for i, t in ((1, long), (4, "")) if not held(i)}

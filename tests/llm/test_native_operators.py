@@ -31,26 +31,38 @@ def test_chat_round_trip_and_loss(spark):
     want = collections.defaultdict(list)
     for conv, _, role, text in rows:
         want[conv].append((role or "", text or ""))
-    for limit in (1 << 16, 20):  # contexts inline, and shared
-        got = {r.conv_id: r for r in chat_format.digests(turns, limit).collect()}
-        assert got.keys() == want.keys()
-        for conv, said in want.items():
-            loss = "".join(t for r, t in said if r == "assistant")
-            assert got[conv].n_turns == len(said)
-            assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
-            assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-            assert got[conv].n_examples == sum(r == "assistant" for r, _ in said)
+    got = {r.conv_id: r for r in chat_format.digests(turns).collect()}
+    assert got.keys() == want.keys()
+    for conv, said in want.items():
+        loss = "".join(t for r, t in said if r == "assistant")
+        assert got[conv].n_turns == len(said)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[conv].n_examples == sum(r == "assistant" for r, _ in said)
 
 
 def test_chat_examples_hold_all_preceding_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "z")], "conv_id long, turn long, role string, text string")
     rendered = chat_format.render(turns)
     whole = rendered.first().formatted
-    for limit in (1 << 16, 5):
-        rows = sorted(chat_format.context_of(chat_format.expand(rendered, limit), rendered).collect(), key=lambda r: r.example)
-        assert [r.target for r in rows if r.trainable] == ["a", "b"]
-        assert all(whole.startswith(r.context + r.target) for r in rows)
-        assert rows[-1].context + rows[-1].target == whole and not rows[-1].trainable
+    rows = sorted(chat_format.expand(rendered).collect(), key=lambda r: r.example)
+    assert [r.target for r in rows if r.trainable] == ["a", "b"]
+    assert all(whole.startswith(r.context + r.target) for r in rows)
+    assert rows[-1].context + rows[-1].target == whole and not rows[-1].trainable
+    assert [r["last"] for r in rows] == [False, False, True]
+    chars = sum(len(r.context) + len(r.target) + len(chat_format.END) if r.trainable else len(r.target) for r in rows)
+    assert chat_format.digests(turns).first().formatted_chars == chars
+
+
+def test_chat_of_a_very_long_conversation(spark):
+    """Every example has its whole context, and every turn is read back, however long the conversation is."""
+    said = [("assistant" if i % 2 else "user", f"{i} " + "long text " * 2000) for i in range(60)]
+    turns = spark.createDataFrame([(7, i, r, t) for i, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    got = chat_format.digests(turns).first()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    sizes = [len(f"<|turn|>{r}<|text|>{t}<|end|>") for r, t in said]
+    assert got.formatted_chars == sum(sum(sizes[: i + 1]) for i in range(1, 60, 2))
+    assert chat_format.expand(chat_format.render(turns)).where("context is null or length(context) = 0").count() == 0
 
 
 def test_chat_digests_read_the_examples_contexts(spark, monkeypatch):
@@ -132,6 +144,36 @@ def test_mixing_repeats_rows_as_decided(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.repeat(docs_of(spark, [])).count() == 0
 
 
+def test_mixing_follows_the_pareto_key(spark):
+    """Inclusion odds differ by size, so the taken are the first by key, not by random number, and repeated rows go together."""
+    rows = [(i, "w " * (1 if i % 2 else 100), "a") for i in range(2000)] + [(5000, "w w", "b")] * 300
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs, weights=(1, 3), share=0.4).toPandas()
+    short, long = got[got["size"] == 1], got[got["size"] == 100]
+    assert (short["copies"] > 0).mean() > (long["copies"] > 0).mean() + 0.2
+    assert got[got["source"] == "b"]["copies"].nunique() == 1
+    assert mixing.repeat(docs, weights=(1, 3), share=0.4).count() == got["copies"].sum()
+    key = spark.createDataFrame([(0.25, 16.0, 4, 0.5)], "f double, mean double, size long, u double")
+    p = mixing.inclusion(key["size"], key["f"], key["mean"])
+    assert key.select(p.alias("p"), mixing.pareto_key(key["u"], p).alias("q")).first().asDict() == pytest.approx({"p": 0.4, "q": 1.5})
+
+
+def test_native_operators_on_a_very_long_text(spark):
+    long = "and the word " * 200_000
+    rows = [(1, long, "a"), (2, long, "a"), (3, "the short one", "a"), (4, None, None), (5, "x" * 3_000_000, "\x00null")]
+    docs = docs_of(spark, rows)
+    shards = {r.doc_id: r for r in sharding.stratified_interleave(docs, shards=2).collect()}
+    assert shards[1].size == len(long) + 16 and shards[1].text_crc32 == zlib.crc32(long.encode())
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert (mixed[1].size, mixed[5].size, mixed[4].size) == (600_000, 1, 0)
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert rules[1].n_words == rules[1].n_repeat_words == 600_000 and rules[5].word_chars == 3_000_000
+
+
+def test_quality_rules_of_nothing(spark):
+    assert quality_rules.quality_rules(docs_of(spark, [])).count() == 0
+
+
 def quality(text):
     words = WORD.findall(text)
     windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))

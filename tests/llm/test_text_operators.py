@@ -350,6 +350,34 @@ def test_found_identifiers_make_further_contexts_trusted(spark):
     assert found == [set(a), {*a, *b}, {*a, *b, *c}]
 
 
+def test_pattern_graph_scores_match_brute_force(spark):
+    rng = random.Random(21)
+    mentions = []
+    for _ in range(400):
+        value = rng.randrange(60)
+        kinds = [f"< {'abcdef'[rng.randrange(2 + value % 5)]}" for _ in range(rng.randint(1, 3))]
+        mentions.append({"start": 0, "end": 1, "seed": value < 15, "refused": 55 <= value, "value": f"v{value}", "patterns": sorted(set(kinds))})
+    schema = "mentions array<struct<start:bigint,end:bigint,seed:boolean,refused:boolean,value:string,patterns:array<string>>>"
+    scanned = spark.createDataFrame([(mentions[i : i + 4],) for i in range(0, 400, 4)], schema)
+    edges = {(p, m["value"]): m for m in mentions for p in m["patterns"]}
+    accepted: dict[str, float] = {}
+    for _ in range(3):
+        known = collections.defaultdict(list)
+        for (p, v), m in edges.items():
+            score = 1.0 if m["seed"] else 0.0 if m["refused"] else accepted.get(v)
+            if score is not None:
+                known[p].append(score)
+        trusted = {p: sum(k) / (len(k) + 1) for p, k in known.items() if sum(x > 0 for x in k) >= 3 and sum(k) / (len(k) + 1) >= 0.55}
+        wrong = collections.defaultdict(lambda: 1.0)
+        for (p, v), m in edges.items():
+            if not m["seed"] and p in trusted:
+                wrong[v] *= 1 - min(trusted[p], 0.999)
+        scores = {v: 1 - w for v, w in wrong.items()}
+        accepted = {v: x for v, x in scores.items() if x >= 0.7}
+    got = {r.value: r.score for r in pii.bootstrap(scanned, 3, 3, 0.55, 0.7).collect()}
+    assert got and got == pytest.approx(accepted)
+
+
 def test_refused_tokens():
     assert [pii.refused(t) for t in ("4111111111111112", "4111-1111-1111-1112", "1.2.3.999", "4111111111111111", "123456789", "id4111111111111112", "1.2.3.4", "1" * 20)] == [True] * 3 + [False] * 5
 
@@ -370,6 +398,21 @@ def test_masking_by_broadcast_and_by_join(spark):
 # pipeline
 
 
+def test_pipeline_of_nothing_and_of_very_long_texts(spark, tmp_path):
+    rng = random.Random(31)
+    long = " ".join(words(rng, 50) for _ in range(1200))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, rows in (("none", []), ("long", [(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", len(long) + 4), (3, "mail to a@b.cd " + long[::-1], "en", None, 1)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).select("doc_id", "doc_tokens", F.length("ids").alias("n")).collect()
+        assert {r.doc_id for r in got} <= {1, 3} and bool(got) == bool(rows)
+        for i in {r.doc_id for r in got}:
+            own = [r for r in got if r.doc_id == i]
+            assert sum(r.n for r in own) // 4 % own[0].doc_tokens == 0 and own[0].doc_tokens > 60_000
+
+
 def test_pipeline_stages_keep_columns_and_effects(spark, tmp_path):
     rng = random.Random(10)
     good = [" ".join("".join(rng.choices("th er on an ing ed the and of".split(), k=2)) for _ in range(rng.randint(20, 120))) for _ in range(120)]
