@@ -49,6 +49,8 @@ PARITY_WORDS = 16
 FIRST_PIVOTS = (1, 5)
 #: Holders of a shingle in one salt, about, and how many shingles before a common one are looked at.
 SALTED_FROM, BEFORE = 512, 6
+#: Salts that meet in one task of the last round, where each holder is compared with all.
+JOINED_SALTS = 16
 #: As many candidate ids at most are broadcast to pick their texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 BATCH_BYTES = 1 << 19
@@ -127,13 +129,16 @@ def _salts(counts: np.ndarray, usual: int, each: int) -> np.ndarray:
 
 
 def _prefixes(n: int, percent: int, sketch: object, usual: int, each: int) -> Callable:
-    """(token, salt, salts, half, place) of each class's prefix, once for each class and task; half: the first 8 bytes of the class key."""
+    """(token, spread, half, place) of each class's prefix, once for each class and task.
+
+    spread: the token's number of salts, and below its 31 low bits the class's salt; half: the first 8 bytes of the class key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, salts, of, halves, places = [], [], [], [], []
+            tokens, spreads, halves, places = [], [], [], []
             for _, found in _sets(batch, 0, n):
                 if not len(found):
                     continue
@@ -145,23 +150,24 @@ def _prefixes(n: int, percent: int, sketch: object, usual: int, each: int) -> Ca
                 count = counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((found, count))[:length]
                 tokens.append(found[order].view(np.int64))
-                of.append(_salts(count[order], usual, each))
-                salts.append((int.from_bytes(key[8:], "big") >> 2) % of[-1])
+                salts = _salts(count[order], usual, each)
+                spreads.append((salts << 31) + (int.from_bytes(key[8:], "big") >> 2) % salts)
                 halves.append(np.full(length, _half(key), np.int64))
                 places.append(np.arange(length, dtype=np.int64))
             if tokens:
-                columns = [np.concatenate(c) for c in (tokens, salts, of, halves, places)]
-                columns[1:3] = [c.astype(np.int32) for c in columns[1:3]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "salts", "half", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, spreads, halves, places)], names=["token", "spread", "half", "place"])
 
     return run
 
 
 def _candidate_sets(n: int) -> Callable:
+    """(id, shingles) of the texts (text, id, class) whose set is that of the class: of texts that share a doc_id, others may come along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for _, s in _sets(batch, 0, n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "shingles"])
+            wanted, ids = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            found = [(ids[i], s.tobytes()) for i, s in _sets(batch, 0, n) if len(s) and _class_key(s) == wanted[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -232,9 +238,11 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     half = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("bigint")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("parities").alias("parities"))
 
-    posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch, int(np.median(counts)), SALTED_FROM)), "token bigint, salt int, salts int, half bigint, place bigint")
-    posted = posted.repartition("token", "salt").dropDuplicates(["token", "salt", "half"])
-    held = posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where("holders > 1 or salts > 1")
+    posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch, int(np.median(counts)), SALTED_FROM)), "token bigint, spread bigint, half bigint, place bigint")
+    posted = posted.repartition("token", "spread").dropDuplicates(["token", "spread", "half"])
+    held = posted.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token", "spread")))
+    salts, salt = F.shiftright("spread", 31).cast("int"), F.col("spread").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    held = held.select("token", salt.alias("salt"), salts.alias("salts"), "half", "place", "holders").where("holders > 1 or salts > 1")
     held = checkpoint(held)
     # from here on classes have short numbers; halves that two classes have in common stand for both
     weight = held.groupBy("half").agg(F.sum(F.col("holders") * F.col("salts")).alias("weight"))
@@ -257,7 +265,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
             live = ranked.where(F.col("holders") * F.col("salts") > low + 1).drop("lead").join(groups, "id")
             mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.max("salts").alias("_s")).where("_l <> _h")
             live = live.join(mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt")), ["token", "salt"], "left_semi")
-            on = [F.col(f"p.{c}") == F.col(f"m.{c}") for c in ("token", "salt", "band")[: 2 + (high is None)]]
+            on = [F.col(f"p.{c}") == F.col(f"m.{c}") for c in ("token", "group", "band")[: 2 + (high is None)]]
             meet = functools.reduce(operator.and_, on) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.comp") != F.col("m.comp"))
             meet &= _possible(percent, *(F.col(c) for c in ("p.size", "p.place", "m.size", "m.place")))
             if high is None:  # all against all: let no more through than must be
@@ -265,8 +273,9 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
             live = checkpoint(live if high else _meetings(live, facts, percent))
             pivots = live.where(F.col("rank") >= F.when(F.col("salts") > 1, F.lit(0 if low == FIRST_PIVOTS[0] else low)).otherwise(F.lit(low)))
             pivots = pivots.where(F.col("rank") < high) if high else pivots.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
-            spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            pairs = spread.alias("p").join(live.alias("m"), meet).select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
+            together = F.col("salts") if high else F.ceil(F.col("salts") / JOINED_SALTS).cast("int")
+            spread = pivots.withColumn("group", F.explode(F.sequence(F.lit(0), together - 1)))
+            pairs = spread.alias("p").join(live.withColumn("group", F.pmod("salt", together)).alias("m"), meet).select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -302,12 +311,11 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 def _verified(texts: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, percent: int, n_pairs: int) -> DataFrame:
     """The pairs of classes that link, by their whole shingle sets."""
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "class", "first"), "id"))
-    ids = wanted.select(F.col("first").alias("_id"))
-    ids = F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids
-    some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = some.mapInArrow(tidy(_candidate_sets(n)), "class binary, shingles binary").dropDuplicates(["class"])
-    sets = checkpoint(sets.join(wanted.select("class", "id"), "class").select("id", "shingles"))
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "class", F.col("first").alias("_id")), "id"))
+    some = texts.join(F.broadcast(wanted) if 2 * n_pairs <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = checkpoint(some.select("text", "id", "class").mapInArrow(tidy(_candidate_sets(n)), "id bigint, shingles binary"))
+    if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
+        sets = checkpoint(sets.dropDuplicates(["id"]))
     return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint")
 
 
