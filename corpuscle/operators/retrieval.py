@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,30 +13,39 @@ from ..functions.text import index_tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
+    """key, dl, terms: each document's distinct terms, kept on the executors' disks, since an index is read several times and splitting texts is its main cost."""
+    return docs.select(key, tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms").persist(StorageLevel.DISK_ONLY)
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
     """key, dl, term: a row for each distinct term of each document (so a term's frequency is 1)."""
     # the outer form keeps the optimizer from testing the token list, that is from splitting each text again, before it
     return docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term")).where("term is not null")
 
 
-def idf_table(posted: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf; a negative idf becomes a quarter of the mean over all terms."""
-    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.withColumn("idf", F.log(F.lit(n_docs + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5))
-    average = raw.agg(F.avg("idf")).first()[0] or 0.0  # one number
-    return raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * average)).otherwise(F.col("idf")))
+def idf_table(index: DataFrame) -> DataFrame:
+    """term, df, idf of rows of dl, terms; a negative idf becomes a quarter of the mean over all terms."""
+    counts = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = index.agg(F.count(F.lit(1)).alias("_n"))  # one row, as is the mean
+    raw = counts.crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("_n") + F.lit(0.5) - F.col("df")) - F.log(F.col("df") + F.lit(0.5)))
+    mean = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0)).alias("_mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.lit(EPSILON) * F.col("_mean")).otherwise(F.col("idf")).alias("idf"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """query_id, doc_id, score (6 digits), rank of the best documents of each query, of those that share a term with it."""
-    sized = docs.select("doc_id", F.size(index_tokens(F.col("text"))).alias("dl"))
-    n, average = sized.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    posted = postings(docs)
+    """query_id, doc_id, score (6 digits), rank of the best documents of each query, of those that share a term with it.
+
+    Nothing runs before the result is asked for: the index's figures are one-row tables of the same plan.
+    """
+    index = tokenized(docs)
+    size = index.agg(F.avg("dl").alias("_average"))
     wanted = postings(queries, "query_id").select("query_id", "term")
+    weighed = wanted.join(idf_table(index), "term")
     # the index's lists are cut to the queries' terms before anything else is joined to them
-    lists = posted.join(wanted.select("term").distinct(), "term", "left_semi")
-    weighed = wanted.join(idf_table(posted, n), "term")
-    score = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(float(average or 1))))
+    lists = index.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(size))
+    average = F.when(F.col("_average") > 0, F.col("_average")).otherwise(F.lit(1.0))
+    score = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / average))
     scores = lists.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     return topk(scores, ["query_id"], k)
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK = 1024
+#: Query vectors of as many bytes at most are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def doubles(v: Column) -> Column:
@@ -67,69 +69,136 @@ def subspace_code(v: Column, parts: int, size: int) -> Column:
     return F.array(*[one(i) for i in range(parts)])
 
 
-def _blocks(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
-    """Rows of up to BLOCK vectors each: ids and their float matrix as binary. Partitions are blocked where they are."""
+def _blocks(df: DataFrame, key: str, vector: str, prefix: str, cell: str | None = None) -> DataFrame:
+    """Rows of up to BLOCK vectors each: ids and their float matrix as binary. Partitions are blocked where they are, by cell if there is one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                part = batch.iloc[at : at + BLOCK]
-                yield pd.DataFrame({f"{prefix}_ids": [part[key].tolist()], f"{prefix}_rows": [np.stack(part[vector]).astype(np.float32).tobytes()]})
+            for where, rows in batch.groupby(cell) if cell else [(None, batch)]:
+                for at in range(0, len(rows), BLOCK):
+                    part = rows.iloc[at : at + BLOCK]
+                    out = {f"{prefix}_ids": [part[key].tolist()], f"{prefix}_rows": [np.stack(part[vector]).astype(np.float64).tobytes()]}
+                    yield pd.DataFrame(({cell: [where]} if cell else {}) | out)
 
-    return df.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"{prefix}_ids array<bigint>, {prefix}_rows binary")
+    return df.select(key, vector, *[cell] * bool(cell)).where(F.col(vector).isNotNull()).mapInPandas(run, f"{f'{cell} int, ' if cell else ''}{prefix}_ids array<bigint>, {prefix}_rows binary")
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of a row of scores, ties by the smaller id."""
+    if len(scores) > 4 * k:
+        least = np.partition(scores, -k)[-k]
+        some = np.flatnonzero(scores >= least)
+        return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    return np.lexsort((ids, -scores))[:k]
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, doc_id, score (6 digits), rank: the k largest inner products of each query with the whole corpus.
 
-    Blocks of queries meet blocks of the corpus; each pair of blocks gives k candidates a query, and a window picks from them.
-    Ties: the smaller doc_id.
+    Queries of up to ``most_bytes`` together are broadcast as one matrix, and each partition of the corpus keeps its k best of
+    each; beyond it blocks of queries meet blocks of the corpus. A window picks from the candidates. Ties: the smaller doc_id.
     """
+    asked = queries.select(key, vector).where(F.col(vector).isNotNull())
+    size = asked.agg(F.sum(F.size(vector) * F.lit(8))).first()[0] or 0
+    if size <= most_bytes:
+        rows = asked.toPandas()
+        known = corpus.sparkSession.sparkContext.broadcast((rows[key].to_numpy(), np.stack(rows[vector]).astype(float) if len(rows) else np.zeros((0, 1))))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = known.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+            for batch in batches:
+                if not len(batch) or not len(names):
+                    continue
+                ids, scores = batch[key].to_numpy(), np.round(q @ np.stack(batch[vector]).astype(float).T, 6)
+                for i, (old_ids, old) in enumerate(best):
+                    at = _best(ids, scores[i], k)
+                    both, all_ = np.append(old, scores[i][at]), np.append(old_ids, ids[at])
+                    keep = np.lexsort((all_, -both))[:k]
+                    best[i] = (all_[keep], both[keep])
+            for name, (ids, scores) in zip(names, best, strict=True):
+                yield pd.DataFrame({"query_id": name, "doc_id": ids, "score": scores})
+
+        found = corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
+    else:
+        found = _block_pairs(corpus, asked, key, vector).mapInPandas(_meet(k), "query_id bigint, doc_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _meet(k: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                q, c = (np.frombuffer(x, np.float32).reshape(len(i), -1).astype(np.float64) for x, i in ((row.q_rows, row.q_ids), (row.c_rows, row.c_ids)))
+                q, c = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((row.q_rows, row.q_ids), (row.c_rows, row.c_ids)))
                 ids = np.asarray(row.c_ids)
                 scores = np.round(q @ c.T, 6)
                 for i, query in enumerate(row.q_ids):
-                    best = np.lexsort((ids, -scores[i]))[:k]
+                    best = _best(ids, scores[i], k)
                     yield pd.DataFrame({"query_id": query, "doc_id": ids[best], "score": scores[i][best]})
 
-    found = _block_pairs(corpus, queries, key, vector).mapInPandas(meet, "query_id bigint, doc_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return run
 
 
 def _block_pairs(corpus: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """Every block of queries with every block of the corpus; blocks, not rows, are paired, over a spread of salts."""
-    salts = 16
+    """Every block of queries with every block of the corpus; blocks, not rows, are paired, over as many salts as shuffles have partitions."""
+    salts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = _blocks(corpus, key, vector, "c").withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts)))
     q = _blocks(queries, key, vector, "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return c.join(q, "salt").drop("salt")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, pivots: int = 2, seed: int = 7) -> DataFrame:
-    """a < b with cosine of the threshold or more.
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells: int | None = None, seed: int = 7) -> DataFrame:
+    """a < b with cosine of the threshold or more, and the cosine (6 digits). Vectors of length 0 are similar to none.
 
-    Unit vectors so near have projections on any unit direction no further apart than sqrt(2 - 2 t), so rows meet only in
-    equal or neighbouring cells of a grid of that width over a few directions: an equi-join that loses no pair.
+    Unit vectors so near are at most r = sqrt(2 - 2 t) apart. Each vector lies in the cell of the nearest of a few of them,
+    the centres (chosen by a hash of the key, a bounded number). A vector within r of one of another cell is no further than r
+    from the plane between the two cells, so it visits the cells (of a higher number) whose plane is that near, and each pair
+    meets in one cell. Within a cell, blocks of vectors meet as matrices; a large cell is many blocks. No pair is lost. At the
+    thresholds of near duplicates few vectors visit another cell; at low ones cells prune little.
     """
-    width = float(np.sqrt(max(1e-6, 2 - 2 * threshold))) + 1e-6
-    size = len(df.select(vector).first()[0]) if not df.isEmpty() else 1
-    directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(size, pivots), pivots)))[0][:size].T
-    unit = df.select(key, normalise(F.col(vector)).alias("_v"))
-    cells = [F.floor(dot(F.col("_v"), F.array(*[F.lit(float(x)) for x in d])) / width).cast("int") for d in directions]
-    placed = unit.select(key, "_v", F.array(*cells).alias("_cell"))
-    near = placed
-    for i in range(pivots):
-        near = near.withColumn("_cell", F.explode(F.array(*[_moved("_cell", i, step) for step in (-1, 0, 1)])))
-    a, b = near.select(F.col(key).alias("a"), F.col("_v").alias("x"), "_cell"), placed.select(F.col(key).alias("b"), F.col("_v").alias("y"), "_cell")
-    return a.join(b, (a["_cell"] == b["_cell"]) & (F.col("a") < F.col("b")) & (F.round(dot(F.col("x"), F.col("y")), 6) >= threshold)).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("cosine"))
+    spark = df.sparkSession
+    least = threshold - 5e-7  # cosines are compared after rounding
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    unit = df.where(norm(F.col(vector)) > 0).select(F.col(key).cast("bigint").alias("_id"), normalise(F.col(vector)).alias("_v"))
+    if cells is None:
+        cells = int(min(1024, max(1, df.count() // (2 * BLOCK))))
+    hashed = unit.select("_v", F.xxhash64("_id", F.lit(seed)).alias("_h"), "_id")
+    centres = [r["_v"] for r in hashed.orderBy("_h", "_id").limit(cells).collect()]
+    if not centres:
+        return spark.createDataFrame([], f"a {dict(df.dtypes)[key]}, b {dict(df.dtypes)[key]}, cosine double")
+    c = np.unique(np.array(centres, float), axis=0)
+    apart = np.maximum(np.linalg.norm(c[:, None] - c[None], axis=2), 1e-12)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                off = 2 - 2 * np.stack(batch["_v"]) @ c.T
+                own = off.argmin(1)
+                plane = (off - off.min(1, keepdims=True)) / (2 * apart[own])
+                row, cell = np.nonzero((plane <= reach) & (np.arange(len(c)) > own[:, None]))
+                ids, vectors = batch["_id"].to_numpy(), batch["_v"].to_numpy()
+                at = np.concatenate([np.arange(len(batch)), row])
+                yield pd.DataFrame({"cell": np.concatenate([own, cell]).astype(np.int32), "visits": np.arange(len(at)) >= len(batch), "_id": ids[at], "_v": vectors[at]})
+
+    placed = unit.mapInPandas(place, "cell int, visits boolean, _id bigint, _v array<double>")
+    placed = placed.repartition("cell", F.pmod(F.xxhash64("_id"), F.lit(64))).sortWithinPartitions("cell")
+    own = _blocks(placed.where("not visits"), "_id", "_v", "a", "cell")
+    guests = _blocks(placed.where("visits"), "_id", "_v", "b", "cell").withColumn("guest", F.lit(True))
+    hosts = own.select("cell", F.col("a_ids").alias("b_ids"), F.col("a_rows").alias("b_rows"), F.lit(False).alias("guest"))
 
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                x, y = (np.frombuffer(r, np.float64).reshape(len(i), -1) for r, i in ((row.a_rows, row.a_ids), (row.b_rows, row.b_ids)))
+                one, other = np.asarray(row.a_ids), np.asarray(row.b_ids)
+                i, j = np.nonzero(x @ y.T >= least - 1e-9)
+                scores = np.round((x[i] * y[j]).sum(1), 6)
+                keep = (scores >= threshold) & ((one[i] != other[j]) if row.guest else (one[i] < other[j]))
+                p, q = one[i][keep], other[j][keep]
+                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": scores[keep]})
 
-def _moved(cell: str, axis: int, step: int) -> Column:
-    return F.transform(cell, lambda c, j: F.when(j == axis, c + step).otherwise(c))
+    return own.join(hosts.unionByName(guests), "cell").select("a_ids", "a_rows", "b_ids", "b_rows", "guest").mapInPandas(meet, "a bigint, b bigint, cosine double")
 
 
 def prune(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
@@ -138,6 +207,13 @@ def prune(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     return df.join(gone, key, "left_anti")
 
 
+def set_similarity(pairs: DataFrame, keys: list[str], one: str, other: str) -> DataFrame:
+    """Mean cosine of the pairs of a group, 0 where there is none; pairs with a vector of length 0 do not count, unequal lengths count as 0."""
+    counts = (norm(F.col(one)) > 0) & (norm(F.col(other)) > 0)
+    value = F.when(F.size(one) != F.size(other), F.lit(0.0)).otherwise(cosine(F.col(one), F.col(other)))
+    return pairs.groupBy(*keys).agg(F.round(F.coalesce(F.avg(F.when(counts, value)), F.lit(0.0)), 6).alias("similarity"))
+
+
 def neighbours(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,8 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def get_session(cores: int | str = "*", app: str = "corpuscle", **conf: str) -> SparkSession:
-    """A local session (UTC, AQE, Arrow). Keyword names use ``__`` in place of dots."""
+def get_session(cores: int | str | None = "*", app: str = "corpuscle", **conf: str) -> SparkSession:
+    """A session (UTC, AQE, Arrow): local with so many cores, or with None on the cluster that submitted the program.
+
+    On a cluster, shuffle partitions and memory are left to its own configuration. Keyword names use ``__`` in place of dots.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -21,6 +24,13 @@ def get_session(cores: int | str = "*", app: str = "corpuscle", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
-    spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+    builder = SparkSession.builder
+    if cores is None:
+        for name in ("spark.sql.shuffle.partitions", "spark.driver.memory"):
+            if name.replace(".", "__") not in conf:
+                del settings[name]
+    else:
+        builder = builder.master(f"local[{cores}]")
+    spark = builder.appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
