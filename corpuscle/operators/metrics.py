@@ -1,22 +1,55 @@
 """Statistics of series, percentile rules, anomalies, alerts and health, as DataFrame operators.
 
-Ranks and neighbours within a series are windows partitioned by the series; groups are plain aggregates, which Spark
-pre-aggregates on the map side.
+Ranks within a series are counted by ranges of its values, neighbours are windows partitioned by the series; groups are plain
+aggregates, which Spark pre-aggregates on the map side.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which a series is split to rank it.
+RANGES = 64
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    return functools.reduce(operator.and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], ranges: int = RANGES) -> DataFrame:
+    """Adds _at, a row's 0-based place among its key's rows in order, and n, their number.
+
+    A key's rows are split into ranges of the first order column at approximate quantiles, numbered within each, and moved by
+    the counts of the ranges before, of which a key has ``ranges`` at most: a key with most of all rows is many tasks' work.
+    """
+    first = F.col(order[0])  # a number, a date or a time
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    placed = df.alias("l").join(cuts.alias("r"), _same(keys, "l", "r")).select("l.*", F.size(F.filter("_cuts", lambda c: c <= first)).alias("_range"))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_start": F.coalesce(F.sum("_c").over(upto), F.lit(0)), "n": F.sum("_c").over(Window.partitionBy(*keys))})
+    within = placed.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1)
+    joined = within.alias("l").join(counts.alias("r"), _same([*keys, "_range"], "l", "r"))
+    return joined.select("l.*", (F.col("_start") + F.col("_within")).alias("_at"), "r.n").drop("_range", "_within")
+
 
 def rank_pick(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], ties: list[str]) -> DataFrame:
     """For each key, the values at 0-based places of the sorted series; a place is a column over ``n``, the series' length."""
-    ordered = Window.partitionBy(*keys).orderBy(value, *ties)
-    rows = df.select(*keys, value, *[c for c in ties if c not in (*keys, value)]).withColumns({"_at": F.row_number().over(ordered) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    rows = numbered(df.select(*keys, value, *[c for c in ties if c not in (*keys, value)]), keys, [value, *ties])
     return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == place, F.col(value))).alias(name) for name, place in places.items()])
 
 
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The exact median of each key's values, null ones left out."""
+    n = F.col("n")
+    picks = rank_pick(df.where(F.col(value).isNotNull()), keys, value, {"_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2)}, [])
+    return picks.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+
+
 def percentile_place(p: float, rule: str) -> Column:
     """0-based place of percentile p (0 to 1) under a rule: ``n1`` int((n-1)p), ``clamped`` min(int(np), n-1), ``raw`` int(np), ``quarter`` int(np) by whole division."""
     n = F.col("n")
@@ -31,8 +64,7 @@ def percentile_place(p: float, rule: str) -> Column:
 
 def trend(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """Least-squares slope over the index, and its name beyond 0.05."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    slopes = df.withColumn("_at", at).groupBy(*keys).agg(F.regr_slope(value, "_at").alias("slope"))
+    slopes = numbered(df, keys, order).groupBy(*keys).agg(F.regr_slope(value, "_at").alias("slope"))
     slope = F.coalesce("slope", F.lit(0.0))
     return slopes.select(*keys, F.round(slope, 6).alias("slope"), F.when(slope > 0.05, "increasing").when(slope < -0.05, "decreasing").otherwise("stable").alias("trend"))
 
@@ -71,28 +103,27 @@ def iqr_anomalies(df: DataFrame, keys: list[str], value: str, order: list[str],
 
 def mad_anomalies(df: DataFrame, keys: list[str], value: str, threshold: float = 2.0) -> DataFrame:
     """Rows whose 0.6745 * (value - median) / MAD exceeds the threshold; none where the MAD is 0."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("_median"))
+    middle = medians(df, keys, value).withColumnRenamed("median", "_median")
     off = df.join(middle, keys).withColumn("_off", F.abs(F.col(value) - F.col("_median")))
-    mad = off.groupBy(*keys).agg(F.median("_off").alias("_mad"))
+    mad = medians(off, keys, "_off").withColumnRenamed("median", "_mad")
     scored = off.join(mad, keys).where("_mad > 0").withColumn("score", F.lit(0.6745) * (F.col(value) - F.col("_median")) / F.col("_mad"))
     return scored.where(F.abs("score") > threshold).drop("_off", "_median", "_mad")
 
 
-def condition(value: Column, operator: Column, threshold: Column, tolerance: float = 1e-4) -> Column:
+def condition(value: Column, op: Column, threshold: Column, tolerance: float = 1e-4) -> Column:
     """An alert rule's comparison by the rule's own operator; (in)equality with a tolerance."""
     near = F.abs(value - threshold) < tolerance
     return (
-        F.when(operator == ">", value > threshold).when(operator == "<", value < threshold).when(operator == ">=", value >= threshold)
-        .when(operator == "<=", value <= threshold).when(operator == "==", near).when(operator == "!=", ~near).otherwise(F.lit(False))
+        F.when(op == ">", value > threshold).when(op == "<", value < threshold).when(op == ">=", value >= threshold)
+        .when(op == "<=", value <= threshold).when(op == "==", near).when(op == "!=", ~near).otherwise(F.lit(False))
     )
 
 
 def half_trend(df: DataFrame, keys: list[str], value: str, order: list[str], faithful: bool = False) -> DataFrame:
     """Means of the first and second half. ``faithful`` sorts by value instead of time, so the second is never smaller."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumns({"_at": F.row_number().over(w.orderBy(*([value, *order] if faithful else order))), "_n": F.count(F.lit(1)).over(w)})
-    first = F.avg(F.when(F.col("_at") <= F.floor(F.col("_n") / 2), F.col(value)))
-    second = F.avg(F.when(F.col("_at") > F.floor(F.col("_n") / 2), F.col(value)))
+    rows = numbered(df, keys, [value, *order] if faithful else order)
+    first = F.avg(F.when(F.col("_at") < F.floor(F.col("n") / 2), F.col(value)))
+    second = F.avg(F.when(F.col("_at") >= F.floor(F.col("n") / 2), F.col(value)))
     means = rows.groupBy(*keys).agg(first.alias("first_half"), second.alias("second_half"))
     return means.select(*keys, F.round("first_half", 6).alias("first_half"), F.round("second_half", 6).alias("second_half"), F.when(F.col("second_half") > F.col("first_half"), "degrading").otherwise("improving").alias("trend"))
 

@@ -195,3 +195,17 @@ def fold(df: DataFrame, key: str, values: str, function: Callable[[list], list],
             yield pd.DataFrame(rows, columns=[key, "place", "item"])
 
     return df.select(key, values).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, place bigint, item {schema}")
+
+
+def pages_of(chunks: DataFrame, pages: DataFrame, key: str, chunk: str, window: int = 4096) -> DataFrame:
+    """key, chunk, page (the first), pages, is_cross_page: the pages whose interval a chunk's interval overlaps.
+
+    Both have key, start and end (exclusive). Intervals meet by windows of offsets as well as by key, so that a long document's
+    chunks are not each compared with all of its pages; a pair counts in the window where the later of the two begins.
+    """
+    spread = lambda df: df.withColumn("_w", F.explode(F.sequence(F.floor(F.col("start") / window), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / window))))
+    c, p = spread(chunks).alias("c"), spread(pages).alias("p")
+    meet = F.col(f"c.{key}").eqNullSafe(F.col(f"p.{key}")) & (F.col("c._w") == F.col("p._w")) & (F.col("c.start") < F.col("p.end")) & (F.col("c.end") > F.col("p.start"))
+    once = c.join(p, meet).where(F.col("c._w") == F.floor(F.greatest("c.start", "p.start") / window))
+    found = once.groupBy(F.col(f"c.{key}").alias(key), F.col(f"c.{chunk}").alias(chunk)).agg(F.sort_array(F.collect_set("p.page")).alias("pages"))
+    return found.select(key, chunk, F.get("pages", F.lit(0)).alias("page"), "pages", (F.size("pages") > 1).alias("is_cross_page"))

@@ -21,6 +21,23 @@ shared(
 shared("j6_results_by_document", "SELECT user_id, props, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'view' THEN 1 END) AS views, round(max(value), 6) AS best FROM {events} GROUP BY user_id, props")
 
 
+@add(
+    "j3_chunk_pages",
+    """WITH w AS (SELECT doc_id, chunk, chunk * 900 AS a, least(n, chunk * 900 + 900) AS b FROM (SELECT doc_id, unnest(range((length(text) + 899) // 900)) AS chunk, length(text) AS n FROM documents)),
+    q AS (SELECT doc_id, page, page * 1501 AS a, least(n, page * 1501 + 1500) AS b FROM (SELECT doc_id, unnest(range((length(text) + 1500) // 1501)) AS page, length(text) AS n FROM documents))
+    SELECT w.doc_id, chunk, min(page) AS page, list(page ORDER BY page) AS pages, count(*) > 1 AS is_cross_page FROM w JOIN q ON w.doc_id = q.doc_id AND w.a < q.b AND w.b > q.a GROUP BY w.doc_id, chunk""",
+)
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 900 characters of each document, joined to its pages of 1500 characters and a space between."""
+    from ..operators.segmentation import pages_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).where("n > 0")
+    at = lambda step: F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step)))
+    chunks = docs.select("doc_id", "n", at(900).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 900).alias("start"), F.least("n", F.col("chunk") * 900 + 900).alias("end"))
+    pages = docs.select("doc_id", "n", at(1501).alias("page")).select("doc_id", "page", (F.col("page") * 1501).alias("start"), F.least("n", F.col("page") * 1501 + 1500).alias("end"))
+    return pages_of(chunks, pages, "doc_id", "chunk")
+
+
 @add("j7_passage_position")
 def passage_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the words of each benchmark query start in the documents it retrieves, see position()."""
@@ -99,13 +116,6 @@ shared("ev2_score_means", "SELECT round(avg(quality), 6) AS quality, round(avg(t
 shared("ev3_grader_accuracy", "SELECT source, round(avg(CASE WHEN (n_chars > 200) = (quality = 1) THEN 1.0D ELSE 0.0D END), 6) AS accuracy FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source", "SELECT source, round(avg(CASE WHEN (n_chars > 200) = (quality = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
 shared("ev4_table_quality", "SELECT doc_id, least(100.0D, round(100 * (length(text) - length(replace(text, '|', ''))) / greatest(1, length(text) - length(replace(text, ' ', ''))), 6)) AS quality FROM {documents}", "SELECT doc_id, least(100.0::DOUBLE, round(100 * (length(text) - length(replace(text, '|', ''))) / greatest(1, length(text) - length(replace(text, ' ', ''))), 6)) AS quality FROM documents")
 shared("ev5_test_set_pages", "SELECT source, min(doc_id) AS doc_id, count(*) AS pages FROM {documents} WHERE length(text) >= 200 GROUP BY source")
-shared(
-    "ev6_retrieval_overlap",
-    """SELECT user_id, size(array_intersect(slice(transform(sort_array(collect_list(struct(value, event_id)), false), x -> x.event_id), 1, 3), slice(transform(sort_array(collect_list(struct(length(props), event_id)), false), x -> x.event_id), 1, 3))) AS common FROM {events} GROUP BY user_id""",
-    """SELECT user_id, CAST(len(list_intersect(list(event_id ORDER BY value DESC, event_id DESC)[1:3], list(event_id ORDER BY length(props) DESC, event_id DESC)[1:3])) AS INTEGER) AS common FROM events GROUP BY user_id""",
-)
-
-
 @add("ev7_offload_saving", "SELECT source, round(1 - CAST(sum(length(lang)) AS DOUBLE) / sum(length(lang) + length(text)), 6) AS saving FROM documents GROUP BY source")
 def offload_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -129,8 +139,6 @@ shared(
     "s3_layout_probe",
     "SELECT l_orderkey AS page, count(*) > 3 AND sum(CASE WHEN l_quantity < 20 THEN 1 ELSE 0 END) > 1 AND sum(CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END) > 1 AS multi_column FROM {lineitem} GROUP BY l_orderkey",
 )
-shared("s7_metrics_csv_rows", "SELECT event_id, round(value, 3) AS ttft, round(value, 2) AS total, substr(props, 1, 100) AS query FROM {events}")
-shared("s8_history_rows", "SELECT conv_id, turn, md5(concat('{{\"role\":\"', role, '\"}}')) AS line_md5 FROM {conversations}", "SELECT conv_id, turn, md5(concat('{\"role\":\"', role, '\"}')) AS line_md5 FROM conversations")
 
 
 @add("s13_log_scan", "SELECT event_type, max_by(CAST(json_extract_string(props, '$.k') AS BIGINT), row(ts, event_id)) AS latest FROM events GROUP BY event_type")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.routing import EXACT_PATTERNS, GREETINGS, MEANING_WORDS, intent, sparse_weight
 from ..sources.tables import table
 from .registry import REGISTRY, shared
 
@@ -29,11 +30,11 @@ _SORTED = "SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     plain = e.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"),
         F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("stdev"), F.min("value").alias("lo"), F.max("value").alias("hi"),
     )
     picks = M.rank_pick(e, BY_TYPE, "value", {"p25": F.expr("n div 4"), "p75": F.expr("3 * n div 4")}, TIES)
-    return plain.join(picks, "event_type")
+    return plain.join(picks, "event_type").join(M.medians(e, BY_TYPE, "value").select("event_type", F.round("median", 6).alias("median")), "event_type")
 
 
 @add(
@@ -251,17 +252,30 @@ def benchmark_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 shared("a34_word_totals", r"SELECT source, sum(size(filter(split(text, '[ \t\n\r]+'), w -> w <> ''))) AS words FROM {documents} GROUP BY source", r"SELECT source, CAST(sum(len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> ''))) AS BIGINT) AS words FROM documents GROUP BY source")
 
 # predicates and projections
-shared(
-    "p1_query_intent",
-    "SELECT item_id, CASE WHEN length(q) < 10 AND (contains(lower(q), 'hi') OR contains(lower(q), 'hello') OR contains(lower(q), 'thanks')) THEN 'general' ELSE 'rag' END AS intent FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Hi there' ELSE text END AS q FROM {benchmark}) x",
-)
-shared(
+_ASKED = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Hello ' || item_id WHEN 1 THEN '누구' || item_id % 7 WHEN 2 THEN left(text, 9) ELSE 'hello, ' || text END AS q FROM benchmark"
+
+
+@add("p1_query_intent", f"SELECT item_id, CASE WHEN length(q) < 10 AND ({' OR '.join(f"contains(lower(q), '{g}')" for g in GREETINGS)}) THEN 'general' ELSE 'rag' END AS intent FROM ({_ASKED})")
+def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text, i = F.col("item_id") % 4, F.col("text"), F.col("item_id")
+    q = F.when(k == 0, F.concat(F.lit("Hello "), i)).when(k == 1, F.concat(F.lit("누구"), i % 7)).when(k == 2, F.left(text, F.lit(9))).otherwise(F.concat(F.lit("hello, "), text))
+    return table(spark, sf_dir, "benchmark").select("item_id", intent(q).alias("intent"))
+
+
+_EXACT, _MEANING = " OR ".join(f"regexp_matches(q, '{p}')" for p in EXACT_PATTERNS), " OR ".join(f"contains(q, '{w}')" for w in MEANING_WORDS)
+
+
+@add(
     "p2_dynamic_weights",
-    r"""SELECT item_id, CASE WHEN regexp_like(q, 'v[0-9]+\\.[0-9]+|[A-Z][A-Z]+-?[0-9]+|0x[0-9a-f]+') THEN 0.8D WHEN regexp_like(lower(q), 'why|how|explain|compare|summary') THEN 0.2D ELSE 0.4D END AS sparse_weight
-    FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN concat('release v1.2 ', text) WHEN 1 THEN concat('explain ', text) ELSE lower(text) END AS q FROM {benchmark}) x""",
-    r"""SELECT item_id, CAST(CASE WHEN regexp_matches(q, 'v[0-9]+\.[0-9]+|[A-Z][A-Z]+-?[0-9]+|0x[0-9a-f]+') THEN 0.8 WHEN regexp_matches(lower(q), 'why|how|explain|compare|summary') THEN 0.2 ELSE 0.4 END AS DOUBLE) AS sparse_weight
-    FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN concat('release v1.2 ', text) WHEN 1 THEN concat('explain ', text) ELSE lower(text) END AS q FROM benchmark) x""",
+    f"""WITH x AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'release v1.2 ' || text WHEN 1 THEN '차이 ' || text WHEN 2 THEN '비교 0x1f ' || text ELSE text END AS q FROM benchmark), f AS (SELECT item_id, {_EXACT} AS e, {_MEANING} AS m FROM x)
+    SELECT item_id, CAST(CASE WHEN e AND NOT m THEN 0.8 WHEN m AND NOT e THEN 0.2 ELSE 0.4 END AS DOUBLE) AS sparse_weight FROM f""",
 )
+def dynamic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text = F.col("item_id") % 4, F.col("text")
+    q = F.concat(F.when(k == 0, F.lit("release v1.2 ")).when(k == 1, F.lit("차이 ")).when(k == 2, F.lit("비교 0x1f ")).otherwise(F.lit("")), text)
+    return table(spark, sf_dir, "benchmark").select("item_id", sparse_weight(q).alias("sparse_weight"))
+
+
 shared(
     "p3_noise_and_reference_flags",
     r"""SELECT doc_id, noise, max(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) = 1 AS is_reference FROM (

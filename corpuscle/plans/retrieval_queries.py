@@ -83,6 +83,14 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir)
 
 
+@add("ev6_retrieval_overlap", f"{_HITS}, l AS (SELECT query_id, list(doc_id) FILTER (node_id = 'bm25' AND rank <= 3) AS a, list(doc_id) FILTER (node_id = 'dense' AND rank <= 3) AS b FROM hits GROUP BY query_id) SELECT query_id, CAST(coalesce(len(list_intersect(a, b)), 0) AS BIGINT) AS common FROM l")
+def retrieval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents the first three hits of both retrievers share, for each query."""
+    hits = _both(spark, sf_dir).withColumn("top", F.col("seq") % 1000 <= 3)
+    nodes = hits.groupBy("query_id", "doc_id").agg(F.count_if("top").alias("n"))
+    return nodes.groupBy("query_id").agg(F.count_if(F.col("n") == 2).alias("common"))
+
+
 _WEIGHTS = {"bm25": 0.4, "dense": 0.6}
 
 

@@ -44,10 +44,15 @@ shared(
     "SELECT event_id, CASE event_type WHEN 'click' THEN 'custom' WHEN 'view' THEN 'messages' ELSE 'updates' END AS mode, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS chunk_index FROM events",
 )
 shared("st4_response_metrics", "SELECT user_id AS stream_id, count(*) AS tokens, min(value) AS lowest, max(value) AS highest, round(avg(length(props)), 6) AS mean_chunk, min_by(value, struct(ts, event_id)) AS first_latency FROM {events} GROUP BY user_id", "SELECT user_id AS stream_id, count(*) AS tokens, min(value) AS lowest, max(value) AS highest, round(avg(length(props)), 6) AS mean_chunk, min_by(value, row(ts, event_id)) AS first_latency FROM events GROUP BY user_id")
-shared(
+@add(
     "st5_bounded_response",
-    "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS kept FROM {conversations}) x WHERE kept <= 2000",
+    """WITH l AS (SELECT conv_id, list([length(text)] ORDER BY turn, length(text)) AS l FROM conversations GROUP BY conv_id), h AS (SELECT conv_id, list_reduce(l, lambda a, x: list_concat(CASE WHEN list_sum(a) + x[1] > 600 THEN list_filter(a, lambda v, i: list_sum(a[i:]) <= 480) ELSE a END, x)) AS h FROM l)
+    SELECT conv_id, len(h) AS chunks, CAST(list_sum(h) AS BIGINT) AS chars FROM h""",
 )
+def bounded_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.bounded_response(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 600)
+
+
 shared(
     "st6_answer_timing",
     """SELECT user_id, min(CASE WHEN event_type <> 'view' THEN ts END) AS first_answer, max(ts) AS last_chunk, sum(CASE WHEN prev = event_type THEN 0 ELSE 1 END) AS chunks

@@ -6,25 +6,16 @@ union, so no loop runs on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import plugins as P
 from ..operators import retrieval as R
+from ..operators.routing import GREETINGS, intent
 from ..sources.tables import table
-from .registry import REGISTRY, shared
+from .registry import REGISTRY
 
 add = REGISTRY.add
-GREETINGS = ("hi", "hello", "thanks")
-
-
-def intent(question: Column) -> Column:
-    """``general`` for short texts that contain a greeting, else ``rag``."""
-    greets = F.lit(False)
-    for g in GREETINGS:
-        greets = greets | F.contains(F.lower(question), F.lit(g))
-    return F.when((F.length(question) < 10) & greets, F.lit("general")).otherwise(F.lit("rag"))
-
 
 def _context(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     hits = R.bm25_topk(docs, queries.select("query_id", "text"), 25).where(F.col("rank") <= top).join(docs, "doc_id")
@@ -66,10 +57,18 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), text.alias("text"))
 
 
-shared(
+_GREETS = " OR ".join(f"contains(lower(q), '{g}')" for g in GREETINGS)
+
+
+@add(
     "g1_preprocess",
-    "SELECT b.item_id, CASE WHEN l.doc_id IS NOT NULL THEN 'cached' WHEN length(q) < 10 AND (contains(lower(q), 'hi') OR contains(lower(q), 'hello') OR contains(lower(q), 'thanks')) THEN 'general' ELSE 'rag' END AS route FROM (SELECT item_id, CASE WHEN item_id % 3 = 1 THEN 'Hi there' ELSE text END AS q FROM {benchmark}) b LEFT JOIN {labels} l ON b.item_id = l.doc_id",
+    f"SELECT b.item_id, CASE WHEN l.doc_id IS NOT NULL THEN 'cached' WHEN length(q) < 10 AND ({_GREETS}) THEN 'general' ELSE 'rag' END AS route FROM (SELECT item_id, CASE WHEN item_id % 3 = 1 THEN 'Hi there' ELSE text END AS q FROM benchmark) b LEFT JOIN labels l ON b.item_id = l.doc_id",
 )
+def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route of each question; those that have a label stand for questions whose answer is cached."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 1, F.lit("Hi there")).otherwise(F.col("text")).alias("q"))
+    cached = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_hit"))
+    return asked.join(cached, F.col("item_id") == F.col("_hit"), "left").select("item_id", F.when(F.col("_hit").isNotNull(), F.lit("cached")).otherwise(intent(F.col("q"))).alias("route"))
 
 
 @add("g2_retrieve_and_limit")

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder of spark.checkpoint.dir; in local mode a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='corpuscle-')}/{name}-{uuid.uuid4().hex}"
+
+
 def manifest(df: DataFrame, keys: list[str]) -> DataFrame:
     """A hash of each row by its keys."""
     return df.select(*keys, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("_hash"))

@@ -109,7 +109,10 @@ class LruTtlCache:
 
 
 def replay(df: DataFrame, key: str, order: list[str], columns: list[str], make: type, outcome: str = "outcome", keep: list[str] | None = None) -> DataFrame:
-    """Fold each key's events in order through a rule; every event with the rule's outcome as text (null where it held back)."""
+    """Fold each key's events in order through a rule; every event with the rule's outcome as text (null where it held back).
+
+    A rule with a ``flush`` gives what it holds at the end of a key, as the outcome of the key's last event.
+    """
     keep = keep or order
     kinds = dict(df.dtypes)
 
@@ -117,12 +120,29 @@ def replay(df: DataFrame, key: str, order: list[str], columns: list[str], make:
         part = part.sort_values(order, kind="stable")
         rule = make()
         said = [rule.step(*row) for row in part[columns].itertuples(index=False, name=None)]
+        if said and said[-1] is None and hasattr(rule, "flush"):
+            said[-1] = rule.flush(rule.last_ms)  # what the rule still holds leaves with the key's last event
         return part[list(dict.fromkeys([key, *keep]))].assign(**{outcome: [None if s is None else str(s) for s in said]})
 
     fields = ", ".join(f"{c} {kinds[c]}" for c in dict.fromkeys([key, *keep]))
     return df.groupBy(key).applyInPandas(run, f"{fields}, {outcome} string")
 
 
+def bounded_response(df: DataFrame, key: str, order: str, text: str, limit: int = 100_000) -> DataFrame:
+    """key, chunks, chars: what a response of bounded size holds after all its chunks came in order.
+
+    A chunk that would take it over the limit first drops the oldest ones until 80 % of the limit are left; then it is added.
+    """
+    from pyspark.sql import functions as F
+
+    sizes = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.length(text).alias("n")))).alias("_l"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    kept = lambda a: F.filter(a, lambda v, i: total(F.slice(a, i + 1, F.greatest(F.size(a), F.lit(1)))) <= F.lit(limit * 0.8))  # noqa: E731  a suffix
+    step = lambda a, x: F.concat(F.when(total(a) + x["n"] > limit, kept(a)).otherwise(a), F.array(x["n"]))
+    held = sizes.select(key, F.aggregate("_l", F.array().cast("array<int>"), step).alias("_h"))
+    return held.select(key, F.size("_h").cast("bigint").alias("chunks"), total(F.col("_h")).cast("bigint").alias("chars"))
+
+
 def stream_tokens(stream: DataFrame, key: str = "stream_id", size: int = 10, timeout_ms: float = 100.0, idle_flush: bool = True) -> DataFrame:
     """A stream of (key, seq, token, ms) as flushed chunks (key, chunk); state survives restarts in the state store.
 

@@ -51,9 +51,9 @@ def test_prune_queries_at_the_threshold_of_the_reference(spark, tmp_path):
 
     rows = [(i, [math.cos(math.radians(a)), math.sin(math.radians(a))], 0) for i, a in enumerate((0, 5, 40))]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    kept = {n: sorted(r.vec_id for r in catalog.queries()[n](spark, str(tmp_path)).collect()) for n in ("v13_near_duplicate_prune", "v13_near_duplicate_prune_faithful")}
-    assert kept == {"v13_near_duplicate_prune": [0], "v13_near_duplicate_prune_faithful": [0, 2]}
-    assert catalog.queries()["v14_index_optimise_faithful"](spark, str(tmp_path)).first().kept == 2
+    kept = {n: sorted(r.vec_id for r in catalog.queries()[n](spark, str(tmp_path)).collect()) for n in ("v13_prune_low", "v13_near_duplicate_prune")}
+    assert kept == {"v13_prune_low": [0], "v13_near_duplicate_prune": [0, 2]}
+    assert catalog.queries()["v14_index_optimise"](spark, str(tmp_path)).first().kept == 2
 
 
 def test_passage_position_takes_the_first_hit_or_falls_back(spark):
