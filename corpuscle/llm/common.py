@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A word of the query contracts: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A checkpoint that took so many seconds leaves shuffle files worth dropping at once.
-COLLECT_AFTER_S = 2.0
+COLLECT_AFTER_S = 0.15
 #: Rows in an Arrow batch at most.
 BATCH_RECORDS = 1000
 

@@ -270,7 +270,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
             meet &= _possible(percent, *(F.col(c) for c in ("p.size", "p.place", "m.size", "m.place")))
             if high is None:  # all against all: let no more through than must be
                 meet &= ~F.arrays_overlap("p.before", "m.before") & _parities_allow(percent, "p", "m")
-            live = checkpoint(live if high else _meetings(live, facts, percent))
+            live = checkpoint(live) if high else _meetings(live, facts, percent)
             pivots = live.where(F.col("rank") >= F.when(F.col("salts") > 1, F.lit(0 if low == FIRST_PIVOTS[0] else low)).otherwise(F.lit(low)))
             pivots = pivots.where(F.col("rank") < high) if high else pivots.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
             together = F.col("salts") if high else F.ceil(F.col("salts") / JOINED_SALTS).cast("int")
