@@ -53,6 +53,8 @@ SALTED_FROM, BEFORE = 512, 6
 JOINED_SALTS = 16
 #: As many candidate ids at most are broadcast to pick their texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Members of a class that meet it in one task, about.
+MEMBERS = 64
 BATCH_BYTES = 1 << 19
 _U = np.uint64
 
@@ -161,27 +163,57 @@ def _prefixes(n: int, percent: int, sketch: object, usual: int, each: int) -> Ca
 
 
 def _candidate_sets(n: int) -> Callable:
-    """(id, shingles) of the texts (text, id, class) whose set is that of the class: of texts that share a doc_id, others may come along."""
+    """(center, salt, member, shingles) of the texts (text, id, class, center, salt) whose set is that of the class, once for each task.
+
+    Of texts that share a doc_id, others may come along. Rows of one text that lie together have its set made once.
+    """
+    names = ["center", "salt", "member", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            wanted, ids = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            found = [(ids[i], s.tobytes()) for i, s in _sets(batch, 0, n) if len(s) and _class_key(s) == wanted[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "shingles"])
+            ids, wanted, centers, salts = (batch.column(k).to_pylist() for k in range(1, 5))
+            rows: list[list[int]] = []
+            for i, role in enumerate(zip(centers, salts, ids, strict=True)):
+                if role not in seen:
+                    if rows and ids[rows[-1][0]] == ids[i] and batch.column(0)[rows[-1][0]] == batch.column(0)[i]:
+                        rows[-1].append(i)
+                    else:
+                        rows.append([i])
+            found: list[tuple[int, int, int, bytes]] = []
+            once = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            for at, shingles in _sets(once, 0, n):
+                if len(shingles) and _class_key(shingles) == wanted[rows[at][0]]:
+                    raw = shingles.tobytes()
+                    for i in rows[at]:
+                        role = (centers[i], salts[i], ids[i])
+                        if role not in seen:
+                            seen.add(role)
+                            found.append((*role, raw))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=names)
 
     return run
 
 
 def _verify(percent: int) -> Callable:
+    """Links (a, b) among rows of (center, salt, member, shingles) in which each center's own row comes before its members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            links = []
+            for c, salt, member, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                if c == member:
+                    center, own = (c, salt), shingles.copy()
+                    continue
+                if center != (c, salt):
+                    raise RuntimeError(f"the set of class {c} is missing")
+                both = len(np.intersect1d(own, shingles, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(shingles) - both):
+                    links.append((min(c, member), max(c, member)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -310,13 +342,23 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, facts: DataFrame, n: int, percent: int, n_pairs: int) -> DataFrame:
-    """The pairs of classes that link, by their whole shingle sets."""
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(facts.select("id", "class", F.col("first").alias("_id")), "id"))
-    some = texts.join(F.broadcast(wanted) if 2 * n_pairs <= BROADCAST_IDS else wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = checkpoint(some.select("text", "id", "class").mapInArrow(tidy(_candidate_sets(n)), "id bigint, shingles binary"))
-    if sets.count() > wanted.count():  # rows that repeat a doc_id and its text
-        sets = checkpoint(sets.dropDuplicates(["id"]))
-    return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a bigint, b bigint")
+    """The pairs of classes that link, by their whole shingle sets.
+
+    Of a pair the class with more pairs is the center, and the other's set goes to it: sets are shuffled once, one for a
+    pair and one for MEMBERS pairs of a center, whose pairs are spread over as many salts.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+    sided = pairs.join(degree.toDF("a", "_m"), "a").join(degree.toDF("b", "_n"), "b")
+    first = F.col("_m") >= F.col("_n")
+    sided = sided.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("center"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.ceil(F.greatest("_m", "_n") / F.lit(MEMBERS)).alias("_salts"))
+    sided = sided.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("_salts")).cast("int"))
+    roles = sided.select("center", "salt", "member").unionAll(sided.select("center", "salt", F.col("center").alias("member")).distinct())
+    roles = roles.join(facts.select(F.col("id").alias("member"), "class", F.col("first").alias("_id")), "member")
+    roles = checkpoint(roles)
+    some = texts.join(F.broadcast(roles) if 2 * n_pairs <= BROADCAST_IDS else roles, F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = some.select("text", "member", "class", "center", "salt").mapInArrow(tidy(_candidate_sets(n)), "center bigint, salt int, member bigint, shingles binary")
+    sets = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("member") != F.col("center"))
+    return sets.mapInArrow(tidy(_verify(percent)), "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
