@@ -4,8 +4,8 @@ Texts with equal shingle sets form a class, which is joined once. The shingles o
 rare ones first, and the first ``n - ceil(t * n) + 1`` of them are its prefix: two classes of similarity t or more share
 a shingle of their prefixes. Candidates from shared shingles pass the length filter (the smaller set has at least t times
 the larger one's size), the positional filter (what the places of the shared shingle leave possible) and, in place of the
-recursive suffix filter, a bound on the sets' symmetric difference: the bits in which their parities over 1024 hash ranges
-differ. What remains is verified, once per pair, on whole sets.
+recursive suffix filter, a bound on the sets' symmetric difference: the bits in which their parities over 1024 hash ranges, or over as many as
+the sets have shingles, differ. What remains is verified, once per pair, on whole sets.
 
 All links are needed only as far as they join components, so a shared shingle is not expanded into all pairs: its holders
 are ranked by how much they share with others, and are compared with the first one, next with the following four, then
@@ -77,39 +77,46 @@ def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.
         yield from enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), i)
 
 
-def _parities(shingles: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each of 64 * PARITY_WORDS hash ranges, as signed 64-bit words."""
-    odd = np.bincount((shingles & _U(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+def _parities(shingles: np.ndarray, bits: int = 64 * PARITY_WORDS) -> np.ndarray:
+    """The parity of the number of shingles in each of ``bits`` hash ranges, a power of two, as signed 64-bit words."""
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _fine_parities(shingles: np.ndarray) -> np.ndarray | None:
+    """Parities over as many ranges as there are shingles at least; None where the usual number is as many."""
+    bits = 1 << (len(shingles) - 1).bit_length()
+    return _parities(shingles, bits) if bits > 64 * PARITY_WORDS else None
+
+
 def _profile(n: int) -> Callable:
-    """Row for each document (doc_id, class, size, parities, task), and at the end of a task its shingle counts by block."""
+    """Row for each document (doc_id, class, size, parities, fine, task), and at the end of a task its shingle counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         task = TaskContext.get().partitionId()
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
-        names = ["doc_id", "class", "size", "parities", "task", "block", "counts"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "class", "size", "parities", "fine", "task", "block", "counts"]
         for batch in batches:
-            keys, sizes, parities = [], [], []
+            keys, sizes, parities, fine = [], [], [], []
             for _, found in _sets(batch, 1, n):
                 sizes.append(len(found))
                 keys.append(_class_key(found) if len(found) else None)
                 parities.append(_parities(found) if len(found) else None)
+                fine.append(_fine_parities(found) if len(found) else None)
                 at = (found >> _U(64 - SKETCH_BITS)).astype(np.int64)
                 if len(found) > 20_000:
                     counts += np.bincount(at, minlength=len(counts)).astype(np.uint32)
                 else:
                     np.add.at(counts, at, 1)
             none = [None] * len(keys)
-            columns = (keys, sizes, parities, [task] * len(keys), none, none)
+            columns = (keys, sizes, parities, fine, [task] * len(keys), none, none)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(columns, kinds[1:], strict=True)]], names=names)
         width = 1 << BLOCK_BITS
         blocks = [(b, counts[b * width : (b + 1) * width]) for b in range(len(counts) // width)]
         blocks = [(b, c.tobytes()) for b, c in blocks if c.any()]
         none = [None] * len(blocks)
-        columns = (none, none, none, none, none, [b for b, _ in blocks], [c for _, c in blocks])
+        columns = (none, none, none, none, none, none, [b for b, _ in blocks], [c for _, c in blocks])
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
@@ -237,6 +244,16 @@ def _parities_allow(percent: int, one: str, other: str) -> Column:
     return functools.reduce(operator.add, differ) <= s + t - 2 * _needed(percent, s, t)
 
 
+def _fine_parities_allow(percent: int, one: str, other: str) -> Column:
+    """The same bound by the finer parities of sets that both have some, brought to the shorter ones' ranges; true for others."""
+    s, t, a, b = (F.col(f"{side}.{c}") for c in ("size", "fine") for side in (one, other))
+    words = F.least(F.size(a), F.size(b))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    fold = lambda c: F.when(F.size(c) == 2 * words, F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), xor)).otherwise(c)
+    differ = F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda total, word: total + F.bit_count(word))  # null at other lengths
+    return F.coalesce(differ <= s + t - 2 * _needed(percent, s, t), F.lit(True))
+
+
 def _band(percent: int) -> Column:
     """A number in which the sizes of two sets of enough similarity differ by one at most."""
     return F.floor(F.ln("size") / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
@@ -260,15 +277,15 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = checkpoint(texts.mapInArrow(tidy(_profile(n)), "doc_id bigint, class binary, size bigint, parities array<bigint>, task int, block int, counts binary"))
-    rows = profile.where("block is null").select("doc_id", "class", "size", "parities", "task")
+    profile = checkpoint(texts.mapInArrow(tidy(_profile(n)), "doc_id bigint, class binary, size bigint, parities array<bigint>, fine array<bigint>, task int, block int, counts binary"))
+    rows = profile.where("block is null").select("doc_id", "class", "size", "parities", "fine", "task")
     blocks = profile.where("block is not null").select("block", "counts").repartition("block").mapInArrow(tidy(_add_up), "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for block, part in blocks.collect():  # 2^20 counters together
         counts[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(part, np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     half = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("bigint")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("parities").alias("parities"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("parities").alias("parities"), F.first("fine").alias("fine"))
 
     posted = texts.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch, int(np.median(counts)), SALTED_FROM)), "token bigint, spread bigint, half bigint, place bigint")
     posted = posted.repartition("token", "spread").dropDuplicates(["token", "spread", "half"])
@@ -311,9 +328,8 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        if high is not None:
-            x, y = facts.select(F.col("id").alias("a"), "size", "parities").alias("x"), facts.select(F.col("id").alias("b"), "size", "parities").alias("y")
-            pairs = pairs.join(x, "a").join(y, "b").where(_parities_allow(percent, "x", "y")).select("a", "b")
+        x, y = (facts.select(F.col("id").alias(end), "size", "parities", "fine").alias(side) for end, side in (("a", "x"), ("b", "y")))
+        pairs = pairs.join(x, "a").join(y, "b").where(_parities_allow(percent, "x", "y") & _fine_parities_allow(percent, "x", "y")).select("a", "b")
         pairs = checkpoint(pairs)
         low = high
         n_pairs = pairs.count()

@@ -185,6 +185,43 @@ def test_join_large_family_loses_no_component(spark, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 3, 85)
 
 
+@pytest.mark.parametrize(("n", "percent", "changes"), [(3, 90, 57), (5, 80, 45)])
+def test_join_of_long_texts_near_the_threshold(spark, n, percent, changes):
+    """Sets on both sides of the sizes at which the finer parities begin and double, linked or just not."""
+    rng = random.Random(percent)
+    rows = []
+    for size in (1030, 2056, 4100):
+        base = words(rng, size)
+        for k in range(-6, 7, 2):
+            text = edit(rng, base, size // changes + k)
+            rows.append(text if k % 4 else text.rsplit(" ", 12)[0])
+    rows = list(enumerate(rows))
+    got = ngram_join.ngram_jaccard_groups(docs_of(spark, rows), n, percent).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, n, percent)
+
+
+@pytest.mark.parametrize(("one", "other"), [(1025, 1500), (2048, 2049), (1500, 5000), (900, 1100), (4000, 4000)])
+def test_fine_parities_turn_down_no_link(spark, one, other):
+    """What they allow follows from the bits that differ in the shorter ones' ranges, and every linked pair is allowed."""
+    rng = np.random.default_rng(one)
+    pool = rng.integers(1, 2**63, one + other, dtype=np.uint64)
+    for shared in (0, min(one, other) // 2, min(one, other) - 40, min(one, other)):
+        sets = [np.sort(pool[:one]), np.sort(np.concatenate([pool[:shared], pool[one : one + other - shared]]))]
+        fine = [ngram_join._fine_parities(s) for s in sets]
+        rows = [(len(s), None if f is None else [int(w) for w in f]) for s, f in zip(sets, fine, strict=True)]
+        x, y = (spark.createDataFrame([r], "size bigint, fine array<bigint>").alias(a) for r, a in zip(rows, "xy", strict=True))
+        got = x.join(y, F.lit(True)).select(ngram_join._fine_parities_allow(80, "x", "y")).first()[0]
+        if 100 * shared >= 80 * (one + other - shared):
+            assert got
+        lengths = [0 if f is None else len(f) for f in fine]
+        if not all(lengths) or max(lengths) > 2 * min(lengths):
+            assert got
+        else:
+            bits = 64 * min(lengths)
+            differ = np.count_nonzero((np.bincount((sets[0] % bits).astype(int), minlength=bits) + np.bincount((sets[1] % bits).astype(int), minlength=bits)) & 1)
+            assert got == (differ <= one + other - 2 * -(-80 * (one + other) // 180))
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_groups(docs_of(spark, [])).count() == 0
     got = ngram_join.ngram_jaccard_groups(docs_of(spark, [(None, "a b c"), (2, None)])).collect()
