@@ -311,7 +311,8 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
             fits = _possible(percent, F.col("size"), F.col("place"), F.col("lead.size"), F.col("lead.place"))
             pairs = ranked.where("salts = 1 and rank > 0").where(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            live = ranked.where(F.col("holders") * F.col("salts") > low + 1).drop("lead").join(groups, "id")
+            # holders counts those of one salt: a shingle spread over salts may have more than any of them tells
+            live = ranked.where((F.col("salts") > 1) | (F.col("holders") > low + 1)).drop("lead").join(groups, "id")
             mixed = live.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.max("salts").alias("_s")).where("_l <> _h")
             live = live.join(mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt")), ["token", "salt"], "left_semi")
             on = [F.col(f"p.{c}") == F.col(f"m.{c}") for c in ("token", "group", "band")[: 2 + (high is None)]]
@@ -392,7 +393,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     if unnamed or not repeated.isEmpty() or not both.isEmpty():
         return _keep_one_of_repeated(docs, n, percent)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))  # whole, as its columns may have any names
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
 
 def _keep_one_of_repeated(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -226,7 +226,11 @@ def mask(docs: DataFrame, most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     # too many values for every task: each text gets its own
     said = docs.select(F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text")).mapInPandas(_candidate_values, "_hash bigint, value string")
     own = said.join(found, "value", "left_semi").groupBy("_hash").agg(F.collect_set("value").alias("_values"))
-    with_own = docs.withColumn("_hash", F.xxhash64("text")).join(own, "_hash", "left").select(*docs.columns, "_values")
+    last = "_values"
+    while last in docs.columns:
+        last += "_"
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_hash"))  # whole, as its columns may have any names
+    with_own = rows.join(own, "_hash", "left").select("_row.*", F.col("_values").alias(last))
     return with_own.mapInArrow(tidy(_masker(docs.columns, None, len(docs.columns))), docs.schema)
 
 

@@ -228,6 +228,30 @@ def test_join_of_nothing(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (2, 2)}
 
 
+def test_join_finds_near_copies_of_texts_with_many_copies(spark):
+    """Salts follow from counts that hold copies, so most salts of such a text's shingles are empty."""
+    rng = random.Random(5)
+    rows, families = [], 8
+    for k in range(families):
+        text = words(rng, 120, 10_000)
+        near = text.split()
+        near[60] = "changed"
+        rows += [(1000 * k + i, text) for i in range(ngram_join.SALTED_FROM + 90)] + [(1000 * k + 999, " ".join(near))]
+    got = ngram_join.ngram_jaccard_groups(docs_of(spark, rows), n=3, percent=90)
+    roots = got.groupBy((F.col("doc_id") / 1000).cast("int").alias("family")).agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"))
+    assert [(r.least, r.most) for r in roots.orderBy("family").collect()] == [(1000 * k, 1000 * k) for k in range(families)]
+
+
+def test_keep_one_and_mask_with_the_names_used_inside(spark):
+    rows = [(1, "write to ann@example.org now", 7, "kept", "also"), (2, "write to ann@example.org now", 8, "gone", "too"), (3, None, 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, _hash string, _values string")
+    kept = ngram_join.keep_one(docs).collect()
+    assert sorted(tuple(r) for r in kept if r.doc_id != 3) == [rows[0]] and len(kept) == 2
+    for most in (pii.BROADCAST_BYTES, -1):
+        got = sorted(map(tuple, pii.mask(docs, most).collect()))
+        assert got == [(r[0], r[1] and "write to [EMAIL] now", *r[2:]) for r in rows]
+
+
 def test_keep_one_of_each_group(spark):
     rng = random.Random(5)
     rows = family_rows(rng)
