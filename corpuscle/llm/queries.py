@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, mixing, ngram_join, packing, pii, quality_cnn, quality_rules, sharding
+from . import chat_format, fingerprint, language_id, mixing, negatives, ngram_join, packing, pii, quality_cnn, quality_rules, sharding, simhash, whitening
 from .common import read, small_batches
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -60,6 +60,19 @@ def op10_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op11_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=4)
+
+
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_summa_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", label)
+
+
 
 def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
@@ -71,6 +84,6 @@ def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _configured(f) for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts)
+    f.__name__: _configured(f) for f in (op1_prefix_target_chat, op2_locally_consistent_parsing, op3_ngram_jaccard_join, op4_stratified_interleave, op5_threshold_rules, op6_output_codes, op7_hilbert_packing, op8_pareto_mix, op9_byte_cnn, op10_bootstrapped_contexts, op11_subspace_whitening, op12_golay_simhash, op13_summa_negatives)
 }
 

@@ -75,10 +75,19 @@ JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(c
     , roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
     SELECT n.doc_id, n.n AS n_shingles, coalesce(rep, n.doc_id) AS class_id, coalesce(root, n.doc_id) AS component_id FROM n LEFT JOIN reps ON n.h = reps.h AND n.n > 0 LEFT JOIN roots ON node = rep"""
 
+NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 3"""
+
 ORACLE_SQL = {
     "op1_prefix_target_chat": CHAT,
     "op3_ngram_jaccard_join": JACCARD,
     "op4_stratified_interleave": SHARDS,
     "op5_threshold_rules": quality(),
     "op8_pareto_mix": mixture(),
+    "op13_summa_negatives": NEGATIVES,
 }
