@@ -1,7 +1,7 @@
 """Statistics of series, percentile rules, anomalies, alerts and health, as DataFrame operators.
 
-Ranks within a series are counted by ranges of its values, neighbours are windows partitioned by the series; groups are plain
-aggregates, which Spark pre-aggregates on the map side.
+Ranks within a series are counted by ranges of its values, and frames of neighbours are computed within blocks of the series
+(``series``); groups are plain aggregates, which Spark pre-aggregates on the map side.
 """
 
 from __future__ import annotations
@@ -71,8 +71,10 @@ def trend(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataF
 
 def volatility(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """Sample deviation of step returns; a step from 0 counts as 0."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    steps = df.withColumn("_b", before).where("_b is not null").withColumn("_r", F.when(F.col("_b") == 0, 0.0).otherwise((F.col(value) - F.col("_b")) / F.col("_b")))
+    from .series import with_frames
+
+    steps = with_frames(df.select(*keys, *order, value), keys, order, {"_b": F.lag(value).over}, behind=1).where("_b is not null")
+    steps = steps.withColumn("_r", F.when(F.col("_b") == 0, 0.0).otherwise((F.col(value) - F.col("_b")) / F.col("_b")))
     return steps.groupBy(*keys).agg(F.round(F.coalesce(F.stddev_samp("_r"), F.lit(0.0)), 6).alias("volatility"))
 
 
@@ -83,17 +85,24 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
 
 def zscore_anomalies(df: DataFrame, keys: list[str], value: str, order: list[str], history: int, threshold: float = 2.0) -> DataFrame:
     """Rows whose value lies more than ``threshold`` sample deviations from the mean of the rows before it."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-history, -1)
-    rows = df.withColumns({"_m": F.avg(value).over(before), "_s": F.stddev_samp(value).over(before)})
+    from .series import with_frames
+
+    over = lambda figure: lambda along: figure(value).over(along.rowsBetween(-history, -1))
+    rows = with_frames(df, keys, order, {"_m": over(F.avg), "_s": over(F.stddev_samp)}, behind=history)
     z = (F.col(value) - F.col("_m")) / F.col("_s")
     rows = rows.where("_s > 0").withColumn("z", z).where(F.abs("z") > threshold)
     return rows.withColumns({"kind": F.when(F.col("z") > 0, "spike").otherwise("dip"), "confidence": F.least(F.lit(1.0), F.abs("z") / (2 * threshold))}).drop("_m", "_s")
 
 
 def iqr_anomalies(df: DataFrame, keys: list[str], value: str, order: list[str], history: int, factor: float = 1.5) -> DataFrame:
-    """Rows outside the index quartiles of the rows before, by ``factor`` times their distance; four rows at least."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-history, -1)
-    rows = df.withColumn("_h", F.sort_array(F.collect_list(value).over(before))).where(F.size("_h") >= 4)
+    """Rows outside the index quartiles of the rows before, by ``factor`` times their distance; four rows at least.
+
+    A row's list holds ``history`` values at most.
+    """
+    from .series import with_frames
+
+    rows = with_frames(df, keys, order, {"_h": lambda along: F.collect_list(value).over(along.rowsBetween(-history, -1))}, behind=history)
+    rows = rows.where(F.size("_h") >= 4).withColumn("_h", F.sort_array("_h"))
     n = F.size("_h")
     q1, q3 = F.get("_h", F.floor(n / 4).cast("int")), F.get("_h", F.floor(3 * n / 4).cast("int"))
     rows = rows.withColumns({"q1": q1, "q3": q3}).drop("_h")

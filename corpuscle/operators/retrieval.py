@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
+from ..sources.snapshots import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
-    """key, dl, terms: each document's distinct terms, kept on the executors' disks, since an index is read several times and splitting texts is its main cost."""
-    return docs.select(key, tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms").persist(StorageLevel.DISK_ONLY)
+    """key, dl, terms: each document's distinct terms, written to the shared folder, since an index is read several times and splitting texts is its main cost.
+
+    For an index that outlives a query, see ``bm25_index``.
+    """
+    rows = docs.select(key, tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms")
+    path = scratch(docs.sparkSession, "terms")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
@@ -36,7 +42,7 @@ def idf_table(index: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     """query_id, doc_id, score (6 digits), rank of the best documents of each query, of those that share a term with it.
 
-    Nothing runs before the result is asked for: the index's figures are one-row tables of the same plan.
+    The texts are split and written at once; the index's figures are one-row tables of the plan that reads them.
     """
     index = tokenized(docs)
     size = index.agg(F.avg("dl").alias("_average"))

@@ -1,7 +1,7 @@
 """Sentences, breakpoints, chunks and pages.
 
 What windows can say is said by windows partitioned by document; the order-dependent folds (merging until a length is
-reached, cutting long pieces) run over one document's array at a time in Arrow batches.
+reached, cutting long pieces) run over one document's array at a time in Arrow batches; those of chunks are in ``chunking``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HEADER = r"^#+\s|^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]|^[A-Z][A-Z\s]+$"
@@ -41,35 +41,44 @@ def is_header(sentence: Column) -> Column:
     return F.regexp_like(sentence, F.lit(HEADER))
 
 
-def buffered(df: DataFrame, key: str, order: str, vector: str, buffer: int = 1) -> DataFrame:
+def _framed(df: DataFrame, key: str, order: str, columns: dict[str, Callable[[WindowSpec], Column]], behind: int, ahead: int, long: bool) -> DataFrame:
+    """Columns over frames along each key's rows: in blocks of the series if keys may be long, in one window if each is one document's."""
+    from .series import with_frames
+
+    if long:
+        return with_frames(df, [key], [order], columns, behind, ahead)
+    along = Window.partitionBy(key).orderBy(order)
+    return df.withColumns({name: make(along) for name, make in columns.items()})
+
+
+def buffered(df: DataFrame, key: str, order: str, vector: str, buffer: int = 1, long: bool = True) -> DataFrame:
     """Mean of the vectors at places within ``buffer``, of length 1."""
     from .vectors import doubles, normalise
 
-    near = Window.partitionBy(key).orderBy(order).rowsBetween(-buffer, buffer)
-    rows = df.withColumn("_l", F.collect_list(doubles(F.col(vector))).over(near))
+    near = lambda along: F.collect_list(doubles(F.col(vector))).over(along.rowsBetween(-buffer, buffer))
+    rows = _framed(df, key, order, {"_l": near}, buffer, buffer, long)
     total = F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), F.get("_l", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return rows.withColumn("_m", F.transform(total, lambda x: x / F.size("_l"))).withColumn(vector, normalise(F.col("_m"))).drop("_l", "_m")
 
 
-def distances(df: DataFrame, key: str, order: str, vector: str) -> DataFrame:
+def distances(df: DataFrame, key: str, order: str, vector: str, long: bool = True) -> DataFrame:
     """1 - inner product with the next vector; none for the last."""
     from .vectors import dot
 
-    after = F.lead(vector).over(Window.partitionBy(key).orderBy(order))
-    rows = df.withColumn("_n", after).where("_n is not null")
+    rows = _framed(df, key, order, {"_n": F.lead(vector).over}, 0, 1, long).where("_n is not null")
     return rows.select(key, order, F.round(1 - dot(F.col(vector), F.col("_n")), 6).alias("distance"))
 
 
 def breakpoints(dist: DataFrame, key: str, order: str, rule: str, value: float) -> DataFrame:
     """Places whose distance exceeds the threshold of the rule: percentile, stddev, iqr, gradient or fixed."""
-    by_key = Window.partitionBy(key)
     if rule == "fixed":
         return dist.where(F.col("distance") > value)
     if rule == "gradient":
-        w = by_key.orderBy(order)
-        before, after = F.lag("distance").over(w), F.lead("distance").over(w)
-        slope = F.when(before.isNull(), after - F.col("distance")).when(after.isNull(), F.col("distance") - before).otherwise((after - before) / 2)
-        base = dist.withColumn("_g", slope)
+        from .series import with_frames
+
+        base = with_frames(dist, [key], [order], {"_b": F.lag("distance").over, "_a": F.lead("distance").over}, behind=1, ahead=1)
+        before, after = F.col("_b"), F.col("_a")
+        base = base.withColumn("_g", F.when(before.isNull(), after - F.col("distance")).when(after.isNull(), F.col("distance") - before).otherwise((after - before) / 2))
         limit = base.groupBy(key).agg(F.percentile("_g", F.lit(value)).alias("_t"))
     else:
         figure = {
@@ -98,14 +107,46 @@ def merge_adjacent(rows: DataFrame, keys: list[str], gap: int = 5) -> DataFrame:
     return rows.withColumn("_new", new).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("pieces")).drop("_run")
 
 
+def merge_within_budget(rows: DataFrame, keys: list[str], text: str = "text", most: int = 1200, join_cost: int = 10, near: int = 5) -> DataFrame:
+    """Hits that follow each other in their source become one text, as long as its rough tokens fit the budget.
+
+    rows: keys (a query), source, page, section, chunk_index, start_index, end_index (may be null) and the text. A hit continues the one before, by
+    source, page and index, if source, page and section are the same and the offsets are at most ``near`` apart, or, where one is
+    missing, the indices at most one. A run of such hits, of one query's, is filled up one after the other: a hit that no longer fits begins anew.
+    Adds pieces, tokens; start_index and chunk_index are the first's, end_index the last's.
+    """
+    from ..functions.text import rough_tokens
+
+    along = Window.partitionBy(*keys).orderBy("source", "page", "chunk_index", "start_index")
+    before = lambda c: F.lag(c).over(along)
+    same = F.col("source").eqNullSafe(before("source")) & F.col("page").eqNullSafe(before("page")) & F.col("section").eqNullSafe(before("section"))
+    end = before("end_index")
+    follows = F.when(end.isNotNull() & F.col("start_index").isNotNull(), F.abs(F.col("start_index") - end) <= near).otherwise(F.abs(F.col("chunk_index") - before("chunk_index")) <= 1)
+    marked = rows.withColumn("_new", F.coalesce(~(same & follows), F.lit(True))).withColumn("_run", F.sum(F.col("_new").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct("chunk_index", "start_index", "end_index", F.col(text).alias("text"), F.coalesce(rough_tokens(F.col(text)), F.lit(0)).alias("tokens"))
+    runs = marked.groupBy(*keys, "_run", "source", "page", "section").agg(F.sort_array(F.collect_list(item)).alias("_l"))  # hits of one query
+    kind = "array<struct<chunk_index:bigint,start_index:bigint,end_index:bigint,text:string,tokens:bigint,pieces:int>>"
+
+    def fill(done: Column, hit: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["chunk_index"], last["start_index"], F.coalesce(hit["end_index"], last["end_index"]), F.concat(last["text"], F.lit("\n\n"), hit["text"]), last["tokens"] + hit["tokens"] + join_cost, last["pieces"] + 1)
+        begun = F.struct(hit["chunk_index"], hit["start_index"], hit["end_index"], hit["text"], hit["tokens"], F.lit(1))
+        fits = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["tokens"] + hit["tokens"] + join_cost <= most)
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined).cast(kind))).otherwise(F.concat(done, F.array(begun).cast(kind)))
+
+    filled = runs.withColumn("_m", F.explode(F.aggregate("_l", F.array().cast(kind), fill)))
+    return filled.select(*keys, "source", "page", "section", "_m.chunk_index", "_m.start_index", "_m.end_index", F.col("_m.text").alias(text), "_m.tokens", "_m.pieces")
+
+
 def pages_of_chunks(pages: DataFrame, group: str, order: str, length: Column, size: int) -> DataFrame:
     """Fixed windows of ``size`` characters over each group's pages, joined by one blank, with all pages each overlaps.
 
     A page names the windows it meets, so the interval join is an equi-join on the window's number.
     """
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = pages.select(group, order, length.alias("_n")).where("_n > 0").withColumn("_at", F.coalesce(F.sum(F.col("_n") + 1).over(upto), F.lit(0)))
-    met = placed.select(group, order, F.explode(F.sequence(F.expr(f"_at div {size}"), F.expr(f"(_at + _n - 1) div {size}"))).alias("chunk"))
+    from .series import running_total
+
+    placed = running_total(pages.select(group, order, length.alias("_n")).where("_n > 0"), [group], [order], F.col("_n") + 1, "_from")
+    met = placed.select(group, order, F.explode(F.sequence(F.expr(f"_from div {size}"), F.expr(f"(_from + _n - 1) div {size}"))).alias("chunk"))
     return met.groupBy(group, "chunk").agg(F.min(order).alias("page"), F.count(F.lit(1)).alias("pages")).withColumn("is_cross_page", F.col("pages") > 1)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunking as C
 from ..operators import segmentation as S
+from ..operators.vectors import hash_embed
 from ..sources.tables import table
 from .registry import REGISTRY, shared
 
@@ -19,6 +21,27 @@ _SENT = r"""ln AS (SELECT doc_id, unnest(l) AS l, unnest(range(len(l))) AS line
     sent AS (SELECT doc_id, CAST(s + length(p) - length(ltrim(p)) AS BIGINT) AS start, CAST(s + length(p) - length(ltrim(p)) + length(trim(p)) AS BIGINT) AS "end", trim(p) AS sentence FROM ps WHERE trim(p) <> '')"""
 
 
+# documents with a heading before every sixth line, so that the tables have sections: titles that go on, numbered ones and known ones
+_PAPERS = r"""papers AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: CASE (i - 1) % 24 WHEN 0 THEN '# Notes from ' || coalesce(source, '') || ' of' || chr(10) || l WHEN 6 THEN '2 ' || upper(coalesce(lang, 'xx')) || ' FINDINGS' || chr(10) || l
+    WHEN 12 THEN '## Related work of others' || chr(10) || l WHEN 18 THEN 'RESULTS' || chr(10) || l ELSE l END), chr(10)) AS text FROM documents)"""
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda l, i: (
+        F.when(i % 24 == 0, F.concat(F.lit("# Notes from "), F.coalesce("source", F.lit("")), F.lit(" of\n"), l))
+        .when(i % 24 == 6, F.concat(F.lit("2 "), F.upper(F.coalesce("lang", F.lit("xx"))), F.lit(" FINDINGS\n"), l))
+        .when(i % 24 == 12, F.concat(F.lit("## Related work of others\n"), l)).when(i % 24 == 18, F.concat(F.lit("RESULTS\n"), l)).otherwise(l)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n").alias("text"))
+
+
+_PAPER_SENT = f"{_PAPERS}, {_SENT.replace('FROM documents', 'FROM papers')}"
+
+
+def _paper_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sentences(_papers(spark, sf_dir))
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +54,12 @@ def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(table(spark, sf_dir, "documents"), "doc_id", "text", S.hard_split, "string")
 
 
+@add("c2_cut_pieces")
+def cut_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of at most 200 characters with the flag of those that are cut off."""
+    return C.pieces(table(spark, sf_dir, "documents"), C.Rules(hard=200, short=0))
+
+
 @add("c3_offsets_hold", f"WITH {_SENT} SELECT doc_id, count(*) AS sentences, bool_and(substr(text, start + 1, \"end\" - start) = sentence) AS exact FROM sent JOIN documents USING (doc_id) GROUP BY doc_id")
 def offsets_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +77,11 @@ def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(_lists(spark, sf_dir), "doc_id", "parts", S.merge_short, "string")
 
 
+@add("c4_join_short")
+def join_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pieces(_papers(spark, sf_dir))
+
+
 _HEADER = S.HEADER.replace("'", "''")
 
 
@@ -56,6 +90,11 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).where(S.is_header(F.col("sentence"))).select("doc_id", "start", "sentence")
 
 
+@add("c5_paper_headers", f"WITH {_PAPER_SENT} SELECT doc_id, start, sentence FROM sent WHERE regexp_matches(sentence, '{_HEADER}')")
+def paper_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paper_sentences(spark, sf_dir).where(S.is_header(F.col("sentence"))).select("doc_id", "start", "sentence")
+
+
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
@@ -108,9 +147,9 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUPED = f"{_SENT}, gr AS (SELECT *, sum(CASE WHEN {_BREAK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS chunk FROM sent)"
 
 
-@add("c13_header_breaks", f"WITH {_SENT} SELECT doc_id, start FROM sent WHERE {_BREAK}")
+@add("c13_header_breaks", f"WITH {_PAPER_SENT} SELECT doc_id, start FROM sent WHERE start > 0 AND regexp_matches(sentence, '{C.MARKDOWN}')")
 def header_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(spark, sf_dir).where((F.col("start") > 0) & F.regexp_like("sentence", F.lit("^(Licensed|The|This|Le|Der|El) "))).select("doc_id", "start")
+    return _paper_sentences(spark, sf_dir).where((F.col("start") > 0) & F.regexp_like("sentence", F.lit(C.MARKDOWN))).select("doc_id", "start")
 
 
 @add("c14_safety_breaks")
@@ -125,15 +164,45 @@ def group_by_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk", "start", "end", F.md5(F.array_join(F.transform("l", lambda x: x["sentence"]), " ")).alias("text_md5"))
 
 
+_CUT = f"(start > 0 AND regexp_matches(sentence, '{C.MARKDOWN}')) OR i % 5 = 0"
+_HEADING = C.HEADING.replace("'", "''")
+
+
+@add(
+    "c15_group_with_overlap",
+    f"""WITH {_PAPER_SENT}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i FROM sent), b AS (SELECT *, i > 0 AND ({_CUT}) AS cut FROM n), g AS (SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chunk,
+    CASE WHEN cut AND NOT regexp_matches(sentence, '{_HEADING}') THEN lag(sentence) OVER (PARTITION BY doc_id ORDER BY i) || ' ' ELSE '' END AS before FROM b)
+    SELECT doc_id, CAST(chunk AS BIGINT) AS place, min(start) AS start, max("end") AS "end", md5(string_agg(before || sentence, ' ' ORDER BY i)) AS text_md5 FROM g GROUP BY doc_id, chunk""",
+)
+def group_with_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at headings and every fifth sentence, each with the sentence before it unless it begins with a heading."""
+    rows = C.sentence_rows(_papers(spark, sf_dir))
+    return C.grouped(rows.withColumn("cut", F.regexp_like("text", F.lit(C.MARKDOWN)) | (F.col("place") % 5 == 0)), overlap=1).select("doc_id", "place", "start", "end", F.md5("text").alias("text_md5"))
+
+
 @add(
     "c16_section_carry",
-    f"WITH {_SENT} SELECT doc_id, start, coalesce(last_value(CASE WHEN regexp_matches(sentence, '{_HEADER}') THEN sentence END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING), 'Front Matter') AS section FROM sent",
+    f"WITH {_PAPER_SENT} SELECT doc_id, start, coalesce(last_value(CASE WHEN regexp_matches(sentence, '{_HEADER}') THEN sentence END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING), 'Front Matter') AS section FROM sent",
 )
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sentences(spark, sf_dir)
+    rows = _paper_sentences(spark, sf_dir)
     return S.carry_forward(rows, "doc_id", "start", F.when(S.is_header(F.col("sentence")), F.col("sentence")), "Front Matter").select("doc_id", "start", "section")
 
 
+@add("c16_section_titles")
+def section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of each chunk between headings: cleaned titles, the unfinished ones joined with the next."""
+    rows = C.sentence_rows(_papers(spark, sf_dir))
+    return C.grouped(rows.withColumn("cut", F.regexp_like("text", F.lit(C.HEADING))), overlap=0).select("doc_id", "place", "start", "section")
+
+
+@add("c17_semantic_chunks")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of chunking: pieces, vectors, breaks, overlap, sections, and merging by size and by cosine."""
+    found = C.chunks(_papers(spark, sf_dir), hash_embed)
+    return found.select("doc_id", "place", "start", "end", "section", "hard", F.md5("text").alias("text_md5"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 @add("c17_size_aware_merge")
 def size_aware_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _broken(spark, sf_dir).groupBy("doc_id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -155,6 +224,14 @@ def page_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pages_of_chunks(table(spark, sf_dir, "documents"), "source", "doc_id", F.length("text"), 5000)
 
 
+@add("c18_chunks_of_pages")
+def chunks_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic chunks over files of some pages each, with all pages that a chunk overlaps."""
+    pages = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("file"), F.col("doc_id").alias("page"), "text")
+    found = C.chunks_of_pages(pages, hash_embed, C.Rules(least=400), "file", "page")
+    return found.select("file", "chunk", "start", "end", "page", "pages", "is_cross_page", F.md5("text").alias("text_md5"))
+
+
 @add("c19_recursive_split")
 def recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(table(spark, sf_dir, "documents"), "doc_id", "text", S.recursive_split, "string")
@@ -176,6 +253,13 @@ def split_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("_n") <= 500, "whole").when(F.col("_b"), "semantic").otherwise("recursive").alias("route"))
 
 
+@add("c20_split_routed")
+def split_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one chunk, as semantic chunks where they have headings, or as recursive pieces."""
+    docs = _papers(spark, sf_dir)
+    return C.routed(docs, hash_embed).select("doc_id", "route", "place", F.md5("text").alias("text_md5"))
+
+
 @add(
     "c21_adjacent_merge",
     f"""WITH {_SENT}, k AS (SELECT doc_id, start, "end" FROM sent WHERE length(sentence) > 20), f AS (SELECT *, coalesce(abs(start - lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end")) > 5, true) AS new FROM k),
@@ -185,6 +269,14 @@ def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_adjacent(_sentences(spark, sf_dir).where(F.length("sentence") > 20).select("doc_id", "start", "end"), ["doc_id"])
 
 
+@add("c21_budget_merge")
+def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of papers as hits of their document, read on within 300 rough tokens."""
+    rows = S.carry_forward(C.sentence_rows(_papers(spark, sf_dir)), "doc_id", "start", F.when(F.regexp_like("text", F.lit(C.HEADING)), F.col("text")), C.FRONT)
+    hits = rows.select(F.col("doc_id").alias("query_id"), F.lit("papers").alias("source"), F.expr("start div 2000").alias("page"), "section", F.col("place").cast("bigint").alias("chunk_index"), F.col("start").alias("start_index"), F.col("end").alias("end_index"), "text")
+    return S.merge_within_budget(hits, ["query_id"], most=300).select("query_id", "page", "section", "chunk_index", "start_index", "end_index", "pieces", "tokens")
+
+
 shared(
     "c22_context_clip",
     "SELECT doc_id, md5(array_join(slice(filter(split(text, '\\n'), x -> trim(x) <> ''), 1, 5), '~')) AS clip_md5 FROM {documents}",

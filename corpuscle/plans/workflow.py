@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import plugins as P
+from ..operators import fusion as U
 from ..operators import retrieval as R
+from ..operators import segmentation as S
+from ..operators.retrieval import overlap_score
 from ..operators.routing import GREETINGS, intent
 from ..sources.tables import table
 from .registry import REGISTRY
+from .retrieval_queries import _HITS, _WEIGHTS, _both, _queries
+from .text_queries import TOKENS_SQL
 
 add = REGISTRY.add
 
@@ -71,6 +76,49 @@ def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(cached, F.col("item_id") == F.col("_hit"), "left").select("item_id", F.when(F.col("_hit").isNotNull(), F.lit("cached")).otherwise(intent(F.col("q"))).alias("route"))
 
 
+def retrieve(hits: DataFrame, docs: DataFrame, questions: DataFrame, weights: dict[str, float], k: int = 5, most: int = 25) -> DataFrame:
+    """The retrieve node from the hits of several retrievers (query_id, node_id, doc_id, score, seq) on: fused by weighted reciprocal
+    ranks, cut where the first leads clearly, and ranked anew by what question and text share. docs: doc_id, text; questions: query_id, question.
+    """
+    fused = R.topk(U.rrf(hits, weights).select("query_id", "doc_id", "score"), ["query_id"], most)
+    told = R.dynamic_limit(fused, ["query_id"]).join(docs, "doc_id").join(questions, "query_id")
+    return R.rerank(told, lambda rows: rows.withColumn("rerank_score", overlap_score(F.col("question"), F.col("text"))), k)
+
+
+def read_together(hits: DataFrame, most: int = 1200) -> DataFrame:
+    """Hits (query_id, source, page, section, chunk_index, start_index, end_index, text) that follow each other as one text each, within the budget."""
+    return S.merge_within_budget(hits, ["query_id"], "text", most)
+
+
+_GRAPH = f"""{_HITS}, rr AS (SELECT query_id, doc_id, round(sum(CASE node_id WHEN 'bm25' THEN 0.4 ELSE 0.6 END::DOUBLE / (60 + rank)), 9) AS score FROM hits GROUP BY query_id, doc_id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rr QUALIFY rank <= 25), fl AS (SELECT *, max(score) FILTER (rank = 1) OVER w AS first, max(score) FILTER (rank = 5) OVER w AS fifth FROM rk WINDOW w AS (PARTITION BY query_id)),
+    lim AS (SELECT * FROM fl WHERE NOT coalesce((first - fifth) / nullif(first, 0) > 0.5, false) OR rank <= 10),
+    tx AS (SELECT l.query_id, l.doc_id, l.score, l.rank, count(*) OVER (PARTITION BY l.query_id) AS n, {TOKENS_SQL.replace('text', 'b.text')} AS q, {TOKENS_SQL.replace('text', 'd.text')} AS t FROM lim l JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = l.query_id),
+    rs AS (SELECT query_id, doc_id, CASE WHEN n = 1 THEN score ELSE round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t))::DOUBLE / len(q) END, 6) END AS score, CASE WHEN n = 1 THEN 'single' ELSE 'semantic' END AS route FROM tx)
+    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, route FROM rs QUALIFY rank <= 5"""
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = _queries(spark, sf_dir).withColumnRenamed("text", "question")
+    return retrieve(_both(spark, sf_dir), docs, asked, _WEIGHTS)
+
+
+@add("g2_retrieve", _GRAPH)
+def retrieve_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and sparse hits, fused, limited and ranked anew."""
+    return _retrieved(spark, sf_dir).select("query_id", "doc_id", "score", "rank", "route")
+
+
+@add("g2_retrieve_merged")
+def retrieve_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and hits that are neighbours in their source read as one; documents of a source count as its chunks in order."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr("doc_id div 8").alias("page"), F.lit("").alias("section"), F.col("doc_id").alias("chunk_index"))
+    none = F.lit(None).cast("bigint")
+    hits = _retrieved(spark, sf_dir).join(chunks, "doc_id").withColumns({"start_index": none, "end_index": none})
+    return read_together(hits.select("query_id", "source", "page", "section", "chunk_index", "start_index", "end_index", "text")).select("query_id", "source", "page", "chunk_index", "pieces", "tokens", F.md5("text").alias("text_md5"))
+
+
 @add("g2_retrieve_and_limit")
 def retrieve_and_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
