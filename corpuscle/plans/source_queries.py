@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import services, snapshots
+from ..sources import pages, services, snapshots
 from ..sources.tables import table
 from .registry import REGISTRY
 
@@ -78,6 +78,34 @@ def uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.uploads(spark, f"{path}/*", ".txt").agg(F.count(F.lit(1)).alias("files"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as files of five pages each, written and read back as bytes; of three pages one has its heading."""
+    path = snapshots.scratch(spark, "files")
+    html = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.replace("html", F.lit("<h1>"), F.lit("<p>")))
+    rows = table(spark, sf_dir, "pages").select(F.expr("page_id div 5").alias("file"), "page_id", html.alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").text(path, lineSep="\f")
+    return pages.read_pages(spark, path, pages.html_pages, "*.txt").withColumn("file", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("bigint"))
+
+
+_FILES = """h AS (SELECT page_id, page_id // 5 AS file, row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id) AS page, count(*) OVER (PARTITION BY page_id // 5) AS total_pages,
+    CASE WHEN page_id % 3 = 0 THEN nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') END AS title FROM pages)"""
+
+
+@add(
+    "s1_page_files",
+    f"WITH {_FILES} SELECT file, CAST(page AS INTEGER) AS page, CAST(total_pages AS INTEGER) AS total_pages, coalesce(last_value(replace(replace(replace(trim(title), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') IGNORE NULLS) OVER (PARTITION BY file ORDER BY page ROWS UNBOUNDED PRECEDING), 'Introduction/Root') AS section FROM h",
+)
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files with the section that holds on them, carried forward inside each file."""
+    return _scanned(spark, sf_dir).select("file", "page", "total_pages", "section")
+
+
+@add("s3_page_layout")
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, covered area and columns of the same pages."""
+    return pages.layout(_scanned(spark, sf_dir)).select(F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("bigint").alias("file"), "page", "n_blocks", F.round("covered", 6).alias("covered"), "multi_column")
+
+
 @add("s15_state_registry", "SELECT s_suppkey, s_nationkey, 'live' AS state FROM supplier WHERE s_acctbal > 0")
 def state_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = snapshots.scratch(spark, "registry")

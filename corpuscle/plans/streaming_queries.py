@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import stateful as X
+from ..streaming import typed
 from .registry import REGISTRY, shared
 
 add = REGISTRY.add
@@ -43,6 +44,41 @@ shared(
     "SELECT event_id, CASE event_type WHEN 'click' THEN 'custom' WHEN 'view' THEN 'messages' ELSE 'updates' END AS mode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS chunk_index FROM {events}",
     "SELECT event_id, CASE event_type WHEN 'click' THEN 'custom' WHEN 'view' THEN 'messages' ELSE 'updates' END AS mode, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS chunk_index FROM events",
 )
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as typed events: notices of questions, thoughts and words of answers 20 ms apart, and a figure after each."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), (F.col("turn") * 100_000).cast("bigint").alias("seq"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.where("role = 'assistant'")
+    words = said.select("session", (F.col("seq") + 2).alias("seq"), F.posexplode(F.split("text", " ")).alias("i", "content")).withColumn("seq", F.col("seq") + F.col("i"))
+    thoughts = said.where("turn % 4 = 1").select("session", (F.col("seq") + 1).alias("seq"), F.substring("text", 1, 10).alias("thought"))
+    timed = lambda df: df.withColumn("at_ms", F.col("seq") * 20.0)
+    asked = typed.typed(custom=timed(turns.where("role = 'user'").withColumn("status", F.lit("asked"))), updates=timed(said.select("session", (F.col("seq") + 99_999).alias("seq"), F.lit("{}").alias("performance"))))
+    return asked.unionByName(typed.typed(messages=timed(words))).unionByName(typed.typed(messages=timed(thoughts)))
+
+
+_TYPED = """t AS (SELECT conv_id AS session, turn, role, coalesce(text, '') AS text FROM conversations), w AS (SELECT session, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM t WHERE role = 'assistant'), n AS (SELECT session, sum(n) AS n FROM w GROUP BY session),
+    k AS (SELECT session, 'status' AS kind FROM t WHERE role = 'user' UNION ALL SELECT session, 'performance' FROM t WHERE role = 'assistant' UNION ALL SELECT session, 'thought' FROM t WHERE role = 'assistant' AND turn % 4 = 1 AND text <> ''
+    UNION ALL SELECT session, unnest(list_transform(range(1 + CAST((n - 1) // 10 AS BIGINT)), lambda i: 'content')) FROM n WHERE n > 0 UNION ALL SELECT session, 'final' FROM n WHERE n > 0 AND (n - 1) % 10 > 0)"""
+
+
+@add("st3_typed_stream", f"WITH {_TYPED} SELECT session, kind, count(*) AS chunks FROM k GROUP BY session, kind")
+def typed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by kind of each session's typed events, the words ten at a time; their numbers have no gap."""
+    chunks = typed.replay(_typed(spark, sf_dir), 10, 1e15)
+    whole = chunks.groupBy("session").agg((F.max("chunk_index") + 1 == F.count_distinct("chunk_index")).alias("gapless"))
+    return chunks.join(whole.where("gapless"), "session").groupBy("session", "kind").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@add(
+    "st6_stream_timing",
+    """WITH t AS (SELECT conv_id AS session, turn, role, coalesce(text, '') AS text FROM conversations), w AS (SELECT session, turn, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM t WHERE role = 'assistant'),
+    e AS (SELECT session, turn * 100000 AS seq, 's' AS k FROM t WHERE role = 'user' UNION ALL SELECT session, turn * 100000 + 99999, 's' FROM t WHERE role = 'assistant' UNION ALL SELECT session, turn * 100000 + 2 + i, CASE WHEN w <> '' THEN 'c' ELSE 's' END FROM w
+    UNION ALL SELECT session, turn * 100000 + 1, CASE WHEN text <> '' THEN 't' ELSE 's' END FROM t WHERE role = 'assistant' AND turn % 4 = 1), m AS (SELECT session, min(seq) AS b, max(seq) AS z, min(seq) FILTER (k = 't') AS t, min(seq) FILTER (k = 'c') AS c FROM e GROUP BY session)
+    SELECT session, (c - b) * 20.0::DOUBLE AS ttft, CASE WHEN c IS NULL OR t IS NULL THEN 0 ELSE greatest(0, c - t) END * 20.0::DOUBLE AS thinking, (z - c) * 20.0::DOUBLE AS answer, (z - b) * 20.0::DOUBLE AS total FROM m""",
+)
+def stream_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed.timing(_typed(spark, sf_dir))
+
+
 shared("st4_response_metrics", "SELECT user_id AS stream_id, count(*) AS tokens, min(value) AS lowest, max(value) AS highest, round(avg(length(props)), 6) AS mean_chunk, min_by(value, struct(ts, event_id)) AS first_latency FROM {events} GROUP BY user_id", "SELECT user_id AS stream_id, count(*) AS tokens, min(value) AS lowest, max(value) AS highest, round(avg(length(props)), 6) AS mean_chunk, min_by(value, row(ts, event_id)) AS first_latency FROM events GROUP BY user_id")
 @add(
     "st5_bounded_response",
