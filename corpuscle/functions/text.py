@@ -47,6 +47,11 @@ def clean_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "^[\"']+|[\"']+$", ""))
 
 
+# How an entry of a bibliography begins, and how an author and a year are written together.
+NUMBERED = r"^\s*[\[(]?([0-9]+)[\])]?[\s.]+(.*)"
+AUTHOR_YEAR = r"([A-Z][a-z]+)(?:\s+et\s+al\.)?\s*[(,]?\s*([0-9]{4})[\s)]?"
+
+
 def latex_delimiters(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?s)\\\[(.*?)\\\]", r"\$\$$1\$\$")
     out = F.regexp_replace(out, r"(?s)\\\((.*?)\\\)", r"\$$1\$")
@@ -142,3 +147,12 @@ def sse(event: Column, data: Column, event_id: Column) -> Column:
 def expansion_lines(answer: Column) -> Column:
     """The queries of an expansion answer: trimmed lines, without blank ones and bullets."""
     return F.filter(F.transform(F.split(answer, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~F.startswith(s, F.lit("-")))
+
+
+def reference_keys(text: Column) -> Column:
+    """An array of key, entry, in order: numbered entries by line ([1], (1), 1.), and the first author_year of each paragraph, which stands for all of it."""
+    lines = F.filter(F.split(text, "\n"), lambda l: F.regexp_like(l, F.lit(NUMBERED)))
+    numbered = F.transform(lines, lambda l: F.struct(F.regexp_extract(l, NUMBERED, 1).alias("key"), F.trim(F.regexp_extract(l, NUMBERED, 2)).alias("entry")))
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.regexp_like(p, F.lit(AUTHOR_YEAR)))
+    named = F.transform(paragraphs, lambda p: F.struct(F.lower(F.concat_ws("_", F.regexp_extract(p, AUTHOR_YEAR, 1), F.regexp_extract(p, AUTHOR_YEAR, 2))).alias("key"), p.alias("entry")))
+    return F.concat(numbered, named)

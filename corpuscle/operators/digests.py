@@ -13,7 +13,7 @@ LEAF, FAN = 1024, 64
 
 
 def tree(rows: DataFrame, keys: list[str], key: str, columns: list[str], leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """keys, level, node, n, digest: leaves at level 0, up to the level of one node a key. Rows with a null id lie in leaf null."""
+    """keys (of other names), level, node, n, digest: leaves at level 0, up to the level of one node a key. Rows with a null id lie in leaf null."""
     content = F.xxhash64(F.col(key), *[F.col(c) for c in columns]).cast("decimal(38,0)")
     top = rows.agg(F.max(F.abs(F.floor(F.col(key) / leaf)))).first()[0] or 0
     level = rows.groupBy(*keys, F.floor(F.col(key) / leaf).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum(content).alias("digest")).withColumn("level", F.lit(0))
@@ -37,6 +37,7 @@ def differing(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 def consistent(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """keys, consistent: whether the top digests agree."""
-    top = lambda t: t.groupBy(*keys).agg(F.max_by(F.struct(F.col("n"), F.col("digest")), "level").alias("top"))
+    levels = lambda t: t.groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))  # noqa: E731  the top may have a node of null ids
+    top = lambda t: levels(t).groupBy(*keys).agg(F.max_by(F.struct(F.col("n"), F.col("digest")), "level").alias("top"))
     both = top(one).alias("a").join(top(other).alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
     return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], F.col("a.top").eqNullSafe(F.col("b.top")).alias("consistent"))

@@ -67,6 +67,16 @@ def dedup(hits: DataFrame, keys: list[str], policy: str) -> DataFrame:
     return lists.select(*keys, *extra, F.round(score, 6).alias("score"), F.array_join(F.array_sort(F.array_distinct(F.transform("l", lambda x: x["node_id"]))), ",").alias("nodes"), F.size("l").cast("bigint").alias("occurrences"))
 
 
+def dedup_content(hits: DataFrame, content: str, policy: str = "first") -> DataFrame:
+    """One row for each document of a query, where a hit counts for the document whose hit had its content first, in the order of ``seq``.
+
+    So hits merge by equal content, and by a document id seen before with other content, as when hits come in one by one.
+    """
+    owner = hits.groupBy("query_id", F.col(content).alias("_c")).agg(F.min_by("doc_id", "seq").alias("_owner"))
+    named = hits.alias("h").join(owner.alias("o"), F.col("h.query_id").eqNullSafe(F.col("o.query_id")) & F.col(f"h.{content}").eqNullSafe(F.col("o._c")))
+    return dedup(named.select("h.query_id", F.col("o._owner").alias("doc_id"), "h.node_id", "h.score", "h.seq"), ["query_id", "doc_id"], policy)
+
+
 def first_of(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
     named = {f"_k{i}": k for i, k in enumerate(keys)}

@@ -137,5 +137,17 @@ def half_trend(df: DataFrame, keys: list[str], value: str, order: list[str], fai
     return means.select(*keys, F.round("first_half", 6).alias("first_half"), F.round("second_half", 6).alias("second_half"), F.when(F.col("second_half") > F.col("first_half"), "degrading").otherwise("improving").alias("trend"))
 
 
+def within(df: DataFrame, time: str, now: Column, minutes: float) -> DataFrame:
+    """The rows of the last so many minutes."""
+    return df.where(F.col(time) >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(int(minutes))))
+
+
+def rollback_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rollbacks, completed, failed, success_rate, mean_loss (of those completed) and bytes of rows of status, loss, bytes."""
+    done = F.col("status") == "completed"
+    told = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rollbacks"), F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.avg(F.when(done, F.col("loss"))).alias("_loss"), F.sum("bytes").alias("bytes"))
+    return told.select(*keys, "rollbacks", "completed", "failed", F.round(F.col("completed") / F.col("rollbacks"), 6).alias("success_rate"), F.round(F.coalesce("_loss", F.lit(0.0)), 6).alias("mean_loss"), "bytes")
+
+
 def status_of(failures: Column, total: Column) -> Column:
     return F.when(failures == total, "unhealthy").when(failures > 0, "degraded").otherwise("healthy")

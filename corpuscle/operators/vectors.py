@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Scores of queries by rows that a task holds at a time.
+CELLS = 1 << 22
+#: Blocks of one cell that meet the cell's blocks in one task.
+MET = 8
 #: Query vectors of as many bytes at most are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -83,13 +87,25 @@ def _blocks(df: DataFrame, key: str, vector: str, prefix: str, cell: str | None
     return df.select(key, vector, *[cell] * bool(cell)).where(F.col(vector).isNotNull()).mapInPandas(run, f"{f'{cell} int, ' if cell else ''}{prefix}_ids array<bigint>, {prefix}_rows binary")
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of a row of scores, ties by the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, -k)[-k]
-        some = np.flatnonzero(scores >= least)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+def _first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each row, by falling score and rising id."""
+    order = np.lexsort((ids, -scores, row))
+    first = np.searchsorted(row[order], row[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _tops(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) of the k best rows of each query, for some queries at a time, so that no more than CELLS scores are held."""
+    step = max(1, CELLS // max(1, len(rows)))
+    for at in range(0, len(queries), step):
+        scores = np.round(queries[at : at + step] @ rows.T, 6)
+        if scores.shape[1] > k:
+            query, place = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+        else:
+            query, place = (x.ravel() for x in np.indices(scores.shape))
+        value = scores[query, place]
+        best = _first_k(query, ids[place], value, k)
+        yield query[best] + at, ids[place[best]], value[best]
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -106,18 +122,14 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q = known.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                ids, scores = batch[key].to_numpy(), np.round(q @ np.stack(batch[vector]).astype(float).T, 6)
-                for i, (old_ids, old) in enumerate(best):
-                    at = _best(ids, scores[i], k)
-                    both, all_ = np.append(old, scores[i][at]), np.append(old_ids, ids[at])
-                    keep = np.lexsort((all_, -both))[:k]
-                    best[i] = (all_[keep], both[keep])
-            for name, (ids, scores) in zip(names, best, strict=True):
-                yield pd.DataFrame({"query_id": name, "doc_id": ids, "score": scores})
+                if len(batch) and len(names):
+                    found = [best, *_tops(q, np.stack(batch[vector]).astype(float), batch[key].to_numpy(), k)]
+                    best = tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+                    keep = _first_k(*best, k)
+                    best = tuple(b[keep] for b in best)
+            yield pd.DataFrame({"query_id": names[best[0]] if len(names) else best[0], "doc_id": best[1], "score": best[2]})
 
         found = corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
     else:
@@ -131,11 +143,9 @@ def _meet(k: int) -> Callable:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 q, c = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((row.q_rows, row.q_ids), (row.c_rows, row.c_ids)))
-                ids = np.asarray(row.c_ids)
-                scores = np.round(q @ c.T, 6)
-                for i, query in enumerate(row.q_ids):
-                    best = _best(ids, scores[i], k)
-                    yield pd.DataFrame({"query_id": query, "doc_id": ids[best], "score": scores[i][best]})
+                asked = np.asarray(row.q_ids)
+                for query, ids, scores in _tops(q, c, np.asarray(row.c_ids), k):
+                    yield pd.DataFrame({"query_id": asked[query], "doc_id": ids, "score": scores})
 
     return run
 
@@ -182,9 +192,12 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells:
                 yield pd.DataFrame({"cell": np.concatenate([own, cell]).astype(np.int32), "visits": np.arange(len(at)) >= len(batch), "_id": ids[at], "_v": vectors[at]})
 
     placed = unit.mapInPandas(place, "cell int, visits boolean, _id bigint, _v array<double>")
-    placed = placed.repartition("cell", F.pmod(F.xxhash64("_id"), F.lit(64))).sortWithinPartitions("cell")
+    placed = placed.repartition("cell", F.pmod(F.xxhash64("_id"), F.lit(64))).sortWithinPartitions("cell", "_id")
     own = _blocks(placed.where("not visits"), "_id", "_v", "a", "cell")
     guests = _blocks(placed.where("visits"), "_id", "_v", "b", "cell").withColumn("guest", F.lit(True))
+    # the blocks that a cell's blocks meet are dealt over salts, so that a large cell is many tasks' work
+    met = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("salts"))  # a row a cell
+    own = own.join(F.broadcast(met), "cell").withColumn("salt", F.pmod(F.xxhash64("a_ids"), F.col("salts")).cast("int"))
     hosts = own.select("cell", F.col("a_ids").alias("b_ids"), F.col("a_rows").alias("b_rows"), F.lit(False).alias("guest"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +211,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells:
                 p, q = one[i][keep], other[j][keep]
                 yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": scores[keep]})
 
-    return own.join(hosts.unionByName(guests), "cell").select("a_ids", "a_rows", "b_ids", "b_rows", "guest").mapInPandas(meet, "a bigint, b bigint, cosine double")
+    both = hosts.unionByName(guests).join(F.broadcast(met), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return own.join(both, ["cell", "salt"]).select("a_ids", "a_rows", "b_ids", "b_rows", "guest").mapInPandas(meet, "a bigint, b bigint, cosine double")
 
 
 def prune(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import index_queries, join_queries, metrics_queries, retrieval_queries, segment_queries, source_queries, streaming_queries, text_queries, workflow  # noqa: F401
+from . import index_queries, join_queries, metrics_queries, retrieval_queries, segment_queries, serving_queries, source_queries, streaming_queries, text_queries, workflow  # noqa: F401
 from .registry import REGISTRY, Query
 
 

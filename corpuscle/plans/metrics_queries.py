@@ -325,4 +325,5 @@ shared("p14_config_ranges", "SELECT p_partkey FROM {part} WHERE NOT (p_size BETW
 shared("p15_vector_validation", "SELECT label, count(*) AS n, count(CASE WHEN size(embedding) <> 64 THEN 1 END) AS bad FROM {embeddings} GROUP BY label", "SELECT label, count(*) AS n, count(CASE WHEN len(embedding) <> 64 THEN 1 END) AS bad FROM embeddings GROUP BY label")
 shared("p16_checkpoint_filter", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 shared("p17_pending_migrations", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+shared("p17_pending_since", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_linenumber >= 3)")
 shared("p18_aggregation_validity", "SELECT label, count(*) - count(DISTINCT vec_id) AS duplicates, min(vec_id) AS lo, max(vec_id) AS hi, round(avg(vec_id), 6) AS mean FROM {embeddings} GROUP BY label")

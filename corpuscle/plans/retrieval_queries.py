@@ -235,6 +235,16 @@ def dedup_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("occurrences"))
 
 
+@add(
+    "f3_dedup_content_and_id",
+    f"""WITH h AS ({_EVENT_HITS}), c AS (SELECT *, md5(node_id || doc_id % 3) AS content FROM h), o AS (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id, content ORDER BY seq) AS owner FROM c)
+    SELECT query_id, owner AS doc_id, round(arg_min(score, seq), 6) AS score, array_to_string(list_sort(list_distinct(list(node_id))), ',') AS nodes, count(*) AS occurrences FROM o GROUP BY query_id, owner""",
+)
+def dedup_content_and_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _event_hits(spark, sf_dir).withColumn("content", F.md5(F.concat("node_id", (F.col("doc_id") % 3).cast("string"))))
+    return U.dedup_content(hits, "content")
+
+
 _RANKED = f"WITH h AS ({_EVENT_HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY score DESC, doc_id, seq) AS rank FROM h)"
 
 
@@ -401,6 +411,9 @@ def index_optimise(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the same at a low threshold, at which the small tables have pairs
 _NEAR_LOW = _NEAR.replace(">= 0.98", ">= 0.3")
 add("j4_similar_pairs_low", _NEAR_LOW)(lambda spark, sf_dir: V.similar_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", 0.3))
+add("j5_exists_earlier_low", f"SELECT b AS vec_id, count(*) AS earlier FROM ({_NEAR_LOW}) GROUP BY b")(
+    lambda spark, sf_dir: V.similar_pairs(_vectors(spark, sf_dir), "vec_id", "embedding", 0.3).groupBy(F.col("b").alias("vec_id")).agg(F.count(F.lit(1)).alias("earlier"))
+)
 add("v13_prune_low", f"SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT b FROM ({_NEAR_LOW}))")(lambda spark, sf_dir: V.prune(_vectors(spark, sf_dir), "vec_id", "embedding", 0.3).select("vec_id"))
 
 

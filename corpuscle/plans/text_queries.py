@@ -134,6 +134,23 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("item_id", "ref").agg(F.max_by("entry", "pos").alias("entry"))  # later entries replace earlier ones
 
 
+_REFERENCES = "'[1] First entry.' || chr(10) || '(2) ' || split_part(text, chr(10), 1) || chr(10) || '3. Third' || chr(10) || 'no entry' || chr(10) || chr(10) || 'Smith et al. (20' || (10 + item_id % 80) || ') ' || split_part(text, ' ', 1) || chr(10) || chr(10) || 'Jones, 1999 again'"
+
+
+@add(
+    "t14_reference_keys",
+    rf"""WITH r AS (SELECT item_id, {_REFERENCES} AS t FROM benchmark), l AS (SELECT item_id, unnest(string_split(t, chr(10))) AS l FROM r), p AS (SELECT item_id, trim(unnest(string_split(t, chr(10) || chr(10)))) AS p FROM r)
+    SELECT item_id, regexp_extract(l, '{T.NUMBERED}', 1) AS key, md5(trim(regexp_extract(l, '{T.NUMBERED}', 2))) AS entry FROM l WHERE regexp_matches(l, '{T.NUMBERED}')
+    UNION ALL SELECT item_id, lower(regexp_extract(p, '{T.AUTHOR_YEAR}', 1) || '_' || regexp_extract(p, '{T.AUTHOR_YEAR}', 2)), md5(p) FROM p WHERE regexp_matches(p, '{T.AUTHOR_YEAR}')""",
+)
+def reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of keys: numbers in brackets, in parentheses, with a point, and an author with a year."""
+    line, word = F.split_part("text", F.lit("\n"), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(1))
+    text = F.concat(F.lit("[1] First entry.\n(2) "), line, F.lit("\n3. Third\nno entry\n\nSmith et al. (20"), (10 + F.col("item_id") % 80).cast("string"), F.lit(") "), word, F.lit("\n\nJones, 1999 again"))
+    keys = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.reference_keys(text)).alias("k"))
+    return keys.select("item_id", "k.key", F.md5("k.entry").alias("entry"))
+
+
 @add(
     "t15_answer_prefix",
     r"""SELECT conv_id, turn, md5(trim(regexp_replace('**Answer:** ' || text, '^[#*\s]*(?:answer|result|response|conclusion)[*\s]*:[*\s]*', '', 'gim'))) AS clean_md5 FROM conversations""",

@@ -13,6 +13,8 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sources.stores import Store
+
 log = logging.getLogger(__name__)
 
 
@@ -55,21 +57,28 @@ class CacheBackend(Protocol):
 
 
 class TableCache:
-    """A cache as a log of Parquet files: the last entry of a key counts, a deletion is an entry without a value, ttl 0 never ends."""
+    """A cache as a store of Parquet parts: the last entry of a key counts, a deletion is an entry without a value, ttl 0 never ends.
+
+    Opening one that is there goes on with it. ``compact`` writes what is live as one part, so that reads do not grow with the writes.
+    """
 
     SCHEMA = "key string, value string, at double, ttl double, number bigint"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.number = spark, path, 0
-        self.clear()
+        self.spark, self.store = spark, Store(spark, path)
+
+    def _append(self, rows: DataFrame, kind: str = "add", covers: list[str] | None = None) -> None:
+        number = max((int(r["figures"].get("number", 0)) for r in self.store.log()), default=0) + 1
+        folder = self.store.folder()
+        self.store.write(rows.withColumn("number", F.lit(number).cast("bigint")).select("key", "value", "at", "ttl", "number"), folder, "entries")
+        self.store.commit(folder, kind, folder, covers, {"number": number})
 
-    def _append(self, rows: DataFrame) -> None:
-        self.number += 1
-        rows.withColumn("number", F.lit(self.number).cast("bigint")).select("key", "value", "at", "ttl", "number").write.mode("append").parquet(self.path)
+    def _all(self) -> list[str]:
+        return sorted({c for r in self.store.live() for c in (r["entry"], *r["covers"])})
 
     def live(self, now: float) -> DataFrame:
         newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("number"), F.desc("at"), "value"))
-        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).withColumn("_k", newest).where("_k = 1 and value is not null").drop("_k")
+        rows = self.store.part("entries", self.SCHEMA).withColumn("_k", newest).where("_k = 1 and value is not null").drop("_k")
         return rows.where((F.col("ttl") <= 0) | (F.lit(now) - F.col("at") <= F.col("ttl")))
 
     def get(self, keys: DataFrame, now: float | None = None) -> DataFrame:
@@ -78,13 +87,17 @@ class TableCache:
         return keys.select("key").distinct().join(held, "key", "left")
 
     def put(self, rows: DataFrame, now: float | None = None, ttl: float = 0) -> None:
-        self._append(rows.select("key", "value", F.lit(time.time() if now is None else now).alias("at"), F.lit(float(ttl)).alias("ttl")))
+        self._append(rows.select("key", "value", F.lit(time.time() if now is None else now).cast("double").alias("at"), F.lit(float(ttl)).alias("ttl")))
 
     def delete(self, keys: DataFrame) -> None:
         self._append(keys.select("key", F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("at"), F.lit(0.0).alias("ttl")))
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.path)
+        self._append(self.spark.createDataFrame([], self.SCHEMA), "clear", self._all())
+
+    def compact(self, now: float | None = None) -> None:
+        covers = self._all()
+        self._append(self.live(time.time() if now is None else now).drop("number"), "compact", covers)
 
     def stats(self, now: float | None = None) -> dict[str, int]:
         told = self.live(time.time() if now is None else now).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes")).first()
@@ -196,11 +209,14 @@ class NotificationChannel:
         return good
 
 
-def notify(alerts: DataFrame, channels: Iterable[NotificationChannel], most: int = 1000) -> dict[str, dict[str, int]]:
-    """Offer the ``most`` severest alerts (severity, at, message) to each channel, in order of time; the channels' counts."""
+def notify(alerts: DataFrame, channels: Iterable[NotificationChannel]) -> dict[str, dict[str, int]]:
+    """Offer all alerts (severity, at, message) to each channel, in order of time; the channels' counts.
+
+    Alerts reach the driver one partition at a time, and what no channel takes, for its severity, is left out before.
+    """
     channels = list(channels)
-    rows = alerts.orderBy(F.desc("severity"), "at", "message").limit(most).collect()  # bounded
-    for row in sorted(rows, key=lambda r: (r["at"], r["message"])):
+    taken = alerts.where(F.col("severity") >= min((c.least for c in channels), default=0))
+    for row in taken.orderBy("at", "message").toLocalIterator():
         for channel in channels:
             channel.offer(row.asDict(), row["at"])
     return {c.name: dict(c.counts) for c in channels}

@@ -77,6 +77,17 @@ def _cast(said: str, default: object, otherwise: object) -> object:
         return otherwise
 
 
+def write_report(rows: DataFrame, key: str, scores: list[str], path: str) -> None:
+    """An evaluation's report: a summary row of the scores' means, and the rows themselves."""
+    detail = rows.select(F.lit("detail").alias("part"), F.col(key).cast("string").alias("name"), *[F.col(s).cast("double").alias(s) for s in scores])
+    summary = rows.agg(*[F.round(F.avg(s), 6).alias(s) for s in scores]).select(F.lit("summary").alias("part"), F.lit("mean").alias("name"), *scores)
+    detail.unionByName(summary).write.mode("errorifexists").partitionBy("part").json(path)
+
+
+def read_report(spark: SparkSession, path: str, scores: list[str]) -> DataFrame:
+    return spark.read.schema(f"name string, {', '.join(f'`{s}` double' for s in scores)}, part string").json(path)
+
+
 def save_registry(rows: DataFrame, path: str, version: int) -> None:
     """A registry of state (deployments, migrations, checkpoints) as a new version; older ones stay."""
     rows.write.mode("errorifexists").json(f"{path}/version={version}")

@@ -82,10 +82,10 @@ def typed(**sources: DataFrame) -> DataFrame:
 
 
 def _rows(session: object, chunks: list[tuple]) -> pd.DataFrame:
-    names = [f.split()[0] for f in CHUNK.split(", ")]
-    out = pd.DataFrame(chunks, columns=names)
-    out.insert(0, "session", [session] * len(chunks))
-    return out
+    kinds = [tuple(f.split()) for f in CHUNK.split(", ")]
+    of = {"bigint": "int64", "double": "float64", "string": object}
+    columns = {name: pd.Series([c[i] for c in chunks], dtype=of[kind]) for i, (name, kind) in enumerate(kinds)}
+    return pd.DataFrame({"session": pd.Series([session] * len(chunks), dtype=object if isinstance(session, str) else None)} | columns)
 
 
 def replay(events: DataFrame, size: int = 1, timeout_ms: float = 30.0) -> DataFrame:
@@ -101,29 +101,28 @@ def replay(events: DataFrame, size: int = 1, timeout_ms: float = 30.0) -> DataFr
 
 
 class Sessions(StatefulProcessor):
-    """Keeps a session's rule between batches; ``idle_ms`` after its last event a session is finished and forgotten."""
+    """Keeps a session's rule between batches; ``idle_ms`` after its last event, if given, a session is finished and forgotten."""
 
-    def __init__(self, size: int, timeout_ms: float, idle_ms: int):
+    def __init__(self, size: int, timeout_ms: float, idle_ms: int | None):
         self.size, self.timeout_ms, self.idle_ms = size, timeout_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rule = handle.getValueState("rule", "rule string, last_ms double")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.rule.get()
         rule = ChunkStream.load(held[0]) if held else ChunkStream.new(self.size, self.timeout_ms)
         part = pd.concat(list(rows)).sort_values("seq", kind="stable")
         chunks = [c for event in part[list(EVENT)].to_dict("records") for c in rule.step(event)]
         self.rule.update((rule.dump(), float(part["at_ms"].iloc[-1])))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        now = timer_values.getCurrentProcessingTimeInMs()
-        if now > 0:
-            self.handle.registerTimer(now + self.idle_ms)
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield _rows(key[0], chunks)
 
-    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.rule.get()
         if held:
             self.rule.clear()
@@ -133,10 +132,13 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def stream_chunks(events: DataFrame, size: int = 1, timeout_ms: float = 30.0, idle_ms: int = 10_000) -> DataFrame:
-    """The same over a stream of events. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+def stream_chunks(events: DataFrame, size: int = 1, timeout_ms: float = 30.0, idle_ms: int | None = 10_000) -> DataFrame:
+    """The same over a stream of events. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+
+    With ``idle_ms`` a query never runs out of work; without it sessions hold back their last tokens, and a query ends where its trigger ends.
+    """
     schema = f"session {dict(events.dtypes)['session']}, {CHUNK}"
-    return events.groupBy("session").transformWithStateInPandas(Sessions(size, timeout_ms, idle_ms), schema, "Append", "ProcessingTime")
+    return events.groupBy("session").transformWithStateInPandas(Sessions(size, timeout_ms, idle_ms), schema, "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def timing(events: DataFrame) -> DataFrame:
