@@ -31,6 +31,8 @@ LENGTH, END_ID = 1024, 0
 DIMENSIONS, CELL_BITS, VECTOR_BITS = 4, 10, 10
 SAMPLE, UNIT = 0.02, 2048
 PIECE = 1 << 18
+#: Text in a range, about, as far as it takes no more than FINER times the shuffle's usual partitions; ids in a batch of pieces.
+RANGE_BYTES, FINER, BATCH_IDS = 8 << 20, 4, 1 << 18
 
 
 def default_ranks() -> str:
@@ -176,7 +178,7 @@ def _pack(ranks: object, kind: pa.DataType) -> object:
                 ids = np.array([*coder.encode(text.as_py(), allowed_special="all"), END_ID], "<u4")
                 out += packer.add(doc_id, ids)
                 size += len(ids)
-                if size > 1 << 20:
+                if size > BATCH_IDS:
                     if out:
                         yield table(out)
                     out, size = [], 0
@@ -202,7 +204,11 @@ def pack(docs: DataFrame, ranks_path: str | None = None, ranges: int | None = No
 
     chance = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(10_000))
     units = F.sequence(F.lit(0), F.floor(F.octet_length("text") / UNIT).cast("int"))  # a document counts by its size
-    borders = keyed(rows.where(chance < int(SAMPLE * 10_000))).select("place", F.explode(units)) if n > 1 else None
+    some = rows.where(chance < int(SAMPLE * 10_000))
+    if ranges is None:  # up to FINER times as many, so that a range has about RANGE_BYTES of text
+        size = (some.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SAMPLE
+        n = max(n, min(FINER * n, int(size / RANGE_BYTES)))
+    borders = keyed(some).select("place", F.explode(units)) if n > 1 else None
     cuts = borders.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n + 1000)).first()[0] if borders is not None else None
     cuts = sorted({*(cuts or [])})
     where = place_among(cuts, F.col("place"))
