@@ -32,15 +32,16 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_topk(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), K)
 
 
-def _dense(spark: SparkSession, sf_dir: str, of: str = "vec_id % 20 = 0") -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, of: str = "vec_id % 20 = 0", ids: DataFrame | None = None) -> DataFrame:
+    """The best vectors for each vector of the query set, or for those of it among some ids."""
     e = _vectors(spark, sf_dir)
-    return V.dense_topk(e, e.where(of), "vec_id", "embedding", K)
+    asked = e.where(of)
+    return V.dense_topk(e, asked if ids is None else asked.join(ids, asked["vec_id"] == ids["query_id"], "left_semi"), "vec_id", "embedding", K)
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the two retrievers for the queries that have both a text and a vector."""
-    ids = _queries(spark, sf_dir).select("query_id")
-    dense = _dense(spark, sf_dir).join(ids, "query_id", "left_semi")
+    dense = _dense(spark, sf_dir, ids=_queries(spark, sf_dir).select("query_id"))
     name = lambda df, node, base: df.select("query_id", F.lit(node).alias("node_id"), "doc_id", "score", (F.lit(base) + F.col("rank")).cast("bigint").alias("seq"))
     return U.merge_all(name(_sparse(spark, sf_dir), "bm25", 0), name(dense, "dense", 1000))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import rules as X
 from ..operators import serving as V
 from ..operators.routing import GREETINGS, intent
 from ..sources import services, snapshots
@@ -100,6 +101,52 @@ def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.check_access(asked, ["request"], **_access(spark, sf_dir))
 
 
+@add(
+    "p11_lockouts_reset",
+    """WITH a AS (SELECT event_id, user_id, ts, event_type = 'purchase' AS ok FROM events), e AS (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, ok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM a),
+    f AS (SELECT event_id, CASE WHEN ok THEN 0 ELSE count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, epoch ORDER BY epoch_us(ts) RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) END AS failures FROM e) SELECT event_id, failures, failures >= 4 AS locked FROM f""",
+)
+def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts, of which purchases succeed; four failures in three days without one lock."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return X.lockouts(e, "user_id", "ts", "ok", most=4, seconds=3 * 86400.0).select("event_id", "failures", "locked")
+
+
+@add("p12_nodes_below", "SELECT s_suppkey FROM supplier WHERE (s_acctbal + 1000) / 110 < 80 AND s_suppkey % 100 < 85")
+def healthy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_acctbal") + 1000) / 110).alias("cpu"), (F.col("s_suppkey") % 100).alias("memory"))
+    return X.healthy(nodes, {"cpu": 80, "memory": 85}).select("s_suppkey")
+
+
+@add(
+    "p14_settings_outside",
+    """WITH s AS (SELECT p_partkey, p_size * 50 AS chunk_size, p_partkey % 700 AS chunk_overlap, p_partkey % 120 AS top_k, p_partkey % 2 = 0 AS bm25, p_partkey % 3 = 0 AS semantic FROM part)
+    SELECT p_partkey, 'chunk_size not in 100..2000' AS rule FROM s WHERE NOT chunk_size BETWEEN 100 AND 2000 UNION ALL SELECT p_partkey, 'chunk_overlap not in 0..500' FROM s WHERE NOT chunk_overlap BETWEEN 0 AND 500
+    UNION ALL SELECT p_partkey, 'top_k not in 1..100' FROM s WHERE NOT top_k BETWEEN 1 AND 100 UNION ALL SELECT p_partkey, 'overlap reaches the size' FROM s WHERE chunk_overlap >= chunk_size UNION ALL SELECT p_partkey, 'no retriever' FROM s WHERE NOT (bm25 OR semantic)""",
+)
+def setting_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    settings = table(spark, sf_dir, "part").select(k, (F.col("p_size") * 50).alias("chunk_size"), (k % 700).alias("chunk_overlap"), (k % 120).alias("top_k"), (k % 2 == 0).alias("bm25"), (k % 3 == 0).alias("semantic"))
+    ranges = {"chunk_size": (100, 2000), "chunk_overlap": (0, 500), "top_k": (1, 100)}
+    return X.violations(settings, "p_partkey", ranges, {"overlap reaches the size": F.col("chunk_overlap") >= F.col("chunk_size"), "no retriever": ~(F.col("bm25") | F.col("semantic"))})
+
+
+@add("p4_split_needed", "SELECT doc_id, CAST(max(length(l)) AS INTEGER) AS longest, max(length(l)) > 300 AS needs_split FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id")
+def needs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as chunks of a size of 200."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l"))
+    return X.needs_split(lines, ["doc_id"], "l", 200)
+
+
+@add(
+    "c22_clipped",
+    """SELECT conv_id, turn, CASE WHEN contains(text, '. ') THEN md5(array_to_string(list_filter(string_split(text, '. '), lambda p: trim(p) <> '')[1:3], '~')) ELSE md5(substr(text, 1, 40)) END AS clip_md5 FROM conversations""",
+)
+def clipped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sentences of a turn, or 40 characters of one without."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(X.clipped(F.col("text"), ". ", 3, 40), "~")).alias("clip_md5"))
+
+
 @add("j10_channel_messages", "SELECT CAST(e.event_id AS BIGINT) AS message_id, CAST(s.s_suppkey AS BIGINT) AS client_id FROM events e JOIN supplier s ON s.s_nationkey = e.user_id % 25 WHERE e.event_type = 'click' AND s.s_suppkey <> e.user_id")
 def channel_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").cast("bigint").alias("message_id"), (F.col("user_id") % 25).cast("int").alias("channel"), F.col("user_id").cast("bigint").alias("sender"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
+from corpuscle.operators import rules
 from corpuscle.operators import serving as V
 from corpuscle.operators import vectors
 from corpuscle.sources import services, snapshots
@@ -101,6 +102,26 @@ def test_evaluation(spark):
     assert {r.page_id for r in got} == {3, 4, 6, 7, 8} and V.question_set(pages, lambda p: p.withColumns({"question": F.lit("q"), "answer": F.lit("a")}), 2).count() == 2
 
 
+def test_a_success_forgets_failures_and_old_ones_do_not_count(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    tries = [(0, False), (10, False), (20, False), (30, True), (40, False), (50, False), (110, False), (111, False), (112, False)]
+    df = spark.createDataFrame([("u", at(s), ok) for s, ok in tries] + [("v", at(5), False)], "u string, t timestamp, ok boolean")
+    got = rules.lockouts(df, "u", "t", "ok", most=3, seconds=70).where("u = 'u'").orderBy("t").collect()
+    assert [(r.failures, r.locked) for r in got] == [(1, False), (2, False), (3, True), (0, False), (1, False), (2, False), (2, False), (3, True), (4, True)]
+
+
+def test_health_settings_splits_and_clips(spark):
+    nodes = spark.createDataFrame([(1, 10.0, 20.0), (2, 80.0, 20.0), (3, None, 20.0)], "k int, cpu double, memory double")
+    assert [r.k for r in rules.healthy(nodes, {"cpu": 80, "memory": 85}).collect()] == [1]
+    df = spark.createDataFrame([(1, 100, 99), (2, 99, 200), (3, None, 5)], "k int, size int, overlap int")
+    got = rows(rules.violations(df, "k", {"size": (100, 2000)}, {"overlap reaches the size": F.col("overlap") >= F.col("size")}))
+    assert got == [(2, "overlap reaches the size"), (2, "size not in 100..2000"), (3, "size not in 100..2000")]
+    chunks = spark.createDataFrame([(1, "x" * 15), (1, "x" * 16), (2, "x" * 15), (3, None)], "k int, t string")
+    assert rows(rules.needs_split(chunks, ["k"], "t", 10)) == [(1, 16, True), (2, 15, False), (3, 0, False)]
+    text = spark.createDataFrame([("a\n\n \n\nb\n\nc",), ("x" * 50,), ("",)], "t string")
+    assert [r[0] for r in text.select(rules.clipped(F.col("t"), parts=2, chars=20)).collect()] == [["a", "b"], ["x" * 20], [""]]
+
+
 def test_reports_and_performance_log(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1.0)], "k int, score double")
     services.write_report(df, "k", ["score"], f"{tmp_path}/r")
