@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import REGISTRY, shared
+from .text_queries import TOKENS_SQL
 
 add = REGISTRY.add
 
@@ -103,7 +104,14 @@ shared("d7_expansion_fanout", "SELECT item_id, explode(array(text, lower(text)))
 shared("d8_batch_size", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 128 WHEN p_size > 20 THEN 64 WHEN p_size > 10 THEN 32 ELSE 16 END AS batch FROM {part}")
 
 
-@add("ev1_offline_judge")
+_SHARE = "CASE WHEN len({q}) = 0 THEN 0 ELSE len(list_intersect({q}, {t}))::DOUBLE / len({q}) END"
+
+
+@add(
+    "ev1_offline_judge",
+    f"""WITH p AS (SELECT a.conv_id, a.turn, {TOKENS_SQL.replace('text', 'a.text')} AS x, {TOKENS_SQL.replace('text', 'u.text')} AS q FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user')
+    SELECT conv_id, turn, {_SHARE.format(q='x', t='q')} AS faithfulness, {_SHARE.format(q='q', t='x')} AS relevancy FROM p""",
+)
 def offline_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-ins for a judge model: shares of the answer's terms in the question, and of the question's in the answer."""
     turns = table(spark, sf_dir, "conversations")
@@ -154,6 +162,6 @@ def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 shared("s14_report", "SELECT quality, count(*) AS n, round(avg(toxic), 6) AS toxic FROM {labels} GROUP BY quality")
 
 
-@add("t12_response_key")
+@add("t12_response_key", "SELECT item_id, substr(sha256(md5(text) || ':v1'), 1, 16) AS key FROM benchmark")
 def response_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.composite_key([F.md5("text"), F.lit("v1")], 16).alias("key"))

@@ -350,7 +350,11 @@ add("v4_exact_topk", f"WITH {_DENSE} SELECT query_id, doc_id, rank FROM dn")(lam
 add("v5_graph_index_topk", f"WITH {_DENSE} SELECT query_id, doc_id, score FROM dn WHERE rank <= 10")(lambda spark, sf_dir: _dense(spark, sf_dir).where("rank <= 10").drop("rank"))
 
 
-@add("v6_scalar_code_topk")
+@add(
+    "v6_scalar_code_topk",
+    f"""WITH m AS (SELECT vec_id, {_E} AS v, list_min({_E}) AS lo, (list_max({_E}) - list_min({_E})) / 255 AS sc FROM embeddings), c AS (SELECT vec_id, list_transform(v, lambda x: round_even((x - lo) / CASE WHEN sc > 0 THEN sc ELSE 1 END, 0) * CASE WHEN sc > 0 THEN sc ELSE 1 END + lo) AS v FROM m),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], c.v), 6) AS score FROM embeddings q, c WHERE q.vec_id % 20 = 0) SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 25""",
+)
 def scalar_code_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _vectors(spark, sf_dir)
     coded = e.select("vec_id", V.dequantise(V.quantise(F.col("embedding"), 255)).alias("embedding"))

@@ -29,7 +29,12 @@ def token_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.replay(_tokens(spark, sf_dir), "conv_id", ["seq"], ["token", "ms"], X.TokenBuffer, "chunk").where("chunk is not null")
 
 
-@add("st2_adaptive_buffer_size")
+@add(
+    "st2_adaptive_buffer_size",
+    """WITH m AS (SELECT user_id, event_id, row_number() OVER w AS i, avg(value * 10) OVER (w ROWS 49 PRECEDING) AS m, count(*) OVER (w ROWS 49 PRECEDING) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    d AS (SELECT *, CASE WHEN n < 10 THEN 0 WHEN m > 300 THEN 2 WHEN m < 100 THEN -1 ELSE 0 END AS d FROM m), l AS (SELECT user_id, event_id, list(d) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS l FROM d)
+    SELECT user_id, event_id, CAST(list_reduce(list_concat([1], l), lambda a, x: greatest(1, least(10, a + x))) AS INTEGER) AS size FROM l""",
+)
 def adaptive_buffer_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("latency", F.col("value") * 10)
     return X.replay(e, "user_id", ["ts", "event_id"], ["latency"], X.AdaptiveSize, "size").select("user_id", "event_id", F.col("size").cast("int").alias("size"))

@@ -17,7 +17,7 @@ from ..operators.retrieval import overlap_score
 from ..operators.routing import GREETINGS, intent
 from ..sources.tables import table
 from .registry import REGISTRY
-from .retrieval_queries import _HITS, _WEIGHTS, _both, _queries
+from .retrieval_queries import _BM25, _HITS, _WEIGHTS, _both, _queries
 from .text_queries import TOKENS_SQL
 
 add = REGISTRY.add
@@ -119,20 +119,37 @@ def retrieve_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_together(hits.select("query_id", "source", "page", "section", "chunk_index", "start_index", "end_index", "text")).select("query_id", "source", "page", "chunk_index", "pieces", "tokens", F.md5("text").alias("text_md5"))
 
 
-@add("g2_retrieve_and_limit")
+_ASKED = "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Hi there' ELSE 'zzqx vvkq ' || text END AS text FROM benchmark WHERE item_id % 20 = 0"
+_OWN = _BM25.replace("FROM benchmark WHERE item_id % 20 = 0", f"FROM ({_ASKED})")
+
+
+@add(
+    "g2_retrieve_and_limit",
+    f"""WITH {_OWN}, f AS (SELECT *, max(score) FILTER (rank = 1) OVER w AS first, max(score) FILTER (rank = 5) OVER w AS fifth FROM bm WINDOW w AS (PARTITION BY query_id)), l AS (SELECT query_id, doc_id, score, rank FROM f WHERE NOT coalesce((first - fifth) / nullif(first, 0) > 0.5, false) OR rank <= 10),
+    w AS (SELECT *, count(*) OVER q AS n, max(score) OVER q AS a, coalesce(max(score) FILTER (rank = 2) OVER q, 0) AS b FROM l WINDOW q AS (PARTITION BY query_id))
+    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, CASE WHEN n = 1 THEN 'single' WHEN a >= 0.95 AND a - b >= 0.3 THEN 'early' ELSE 'semantic' END AS route FROM w QUALIFY rank <= 5""",
+)
 def retrieve_and_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return R.rerank(R.dynamic_limit(R.bm25_topk(docs, _questions(spark, sf_dir), 25), ["query_id"]), None, 5).select("query_id", "doc_id", "score", "rank", "route")
 
 
-@add("g3_grade")
+@add(
+    "g3_grade",
+    f"""WITH {_OWN}, c AS (SELECT query_id, list(DISTINCT u) AS t FROM (SELECT query_id, unnest({TOKENS_SQL}) AS u FROM bm JOIN documents USING (doc_id) WHERE rank <= 3) GROUP BY query_id), a AS (SELECT item_id AS query_id, {TOKENS_SQL} AS q FROM ({_ASKED}))
+    SELECT query_id, t IS NOT NULL AND len(q) > 0 AND len(list_intersect(q, t))::DOUBLE / len(q) >= 0.3 AS relevant FROM a LEFT JOIN c USING (query_id)""",
+)
 def grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = _questions(spark, sf_dir).withColumnRenamed("text", "question")
     return P.coverage_judge(rows.join(_context(docs, rows.withColumnRenamed("question", "text"), 3), "query_id", "left")).select("query_id", "relevant")
 
 
-@add("g4_rewrite")
+@add(
+    "g4_rewrite",
+    f"""WITH t AS (SELECT item_id, text, {TOKENS_SQL} AS t FROM benchmark), u AS (SELECT item_id, unnest(t) AS w FROM t), r AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS k FROM u), j AS (SELECT item_id, string_agg(w, ' ' ORDER BY k) AS q FROM r WHERE k <= 5 GROUP BY item_id)
+    SELECT item_id, coalesce(q, text) AS query FROM t LEFT JOIN j USING (item_id)""",
+)
 def rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", P.keyword_rewrite(F.col("text")).alias("query"))
 
