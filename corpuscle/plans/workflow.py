@@ -14,8 +14,9 @@ from ..operators import fusion as U
 from ..operators import retrieval as R
 from ..operators import segmentation as S
 from ..operators.retrieval import overlap_score
-from ..operators.routing import GREETINGS, intent
+from ..operators.routing import GREETINGS, intent, sparse_weight
 from ..sources.tables import table
+from .metrics_queries import _EXACT, _MEANING
 from .registry import REGISTRY
 from .retrieval_queries import _BM25, _HITS, _WEIGHTS, _both, _queries
 from .text_queries import TOKENS_SQL
@@ -104,6 +105,21 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(_both(spark, sf_dir), docs, asked, _WEIGHTS)
 
 
+@add(
+    "g1_preprocess_state",
+    f"""WITH a AS (SELECT b.item_id, l.doc_id IS NOT NULL AS hit, CASE b.item_id % 3 WHEN 1 THEN 'Hi there' WHEN 2 THEN 'release v1.2 ' || text ELSE text END AS q FROM benchmark b LEFT JOIN labels l ON b.item_id = l.doc_id),
+    f AS (SELECT item_id, CASE WHEN hit THEN 'cached' WHEN length(q) < 10 AND ({_GREETS}) THEN 'general' ELSE 'rag' END AS route, {_EXACT} AS e, {_MEANING} AS m FROM a), w AS (SELECT item_id, route, CAST(CASE WHEN e AND NOT m THEN 0.8 WHEN m AND NOT e THEN 0.2 ELSE 0.4 END AS DOUBLE) AS bm25 FROM f)
+    SELECT item_id, route, CASE WHEN route = 'rag' THEN bm25 END AS bm25, CASE WHEN route = 'rag' THEN round(1 - bm25, 6) END AS dense FROM w""",
+)
+def preprocess_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route of each question, and for those to be retrieved the weights of both retrievers."""
+    q = F.when(F.col("item_id") % 3 == 1, F.lit("Hi there")).when(F.col("item_id") % 3 == 2, F.concat(F.lit("release v1.2 "), F.col("text"))).otherwise(F.col("text"))
+    cached = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("_hit"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", q.alias("q")).join(cached, "item_id", "left")
+    routed = asked.withColumn("route", F.when(F.col("_hit"), F.lit("cached")).otherwise(intent(F.col("q")))).withColumn("bm25", F.when(F.col("route") == "rag", sparse_weight(F.col("q"))))
+    return routed.select("item_id", "route", "bm25", F.round(1 - F.col("bm25"), 6).alias("dense"))
+
+
 @add("g2_retrieve", _GRAPH)
 def retrieve_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and sparse hits, fused, limited and ranked anew."""
@@ -154,14 +170,38 @@ def rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", P.keyword_rewrite(F.col("text")).alias("query"))
 
 
-@add("g5_generate")
+def _extracted(source: str) -> str:
+    """CTEs on top of a table (k, question, context): x (k, answer), two sentences with most of the question's terms."""
+    return f"""xs AS (SELECT k, question, list_filter(string_split(regexp_replace(context, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p) <> '') AS l FROM {source} WHERE context IS NOT NULL),
+    xr AS (SELECT k, question, unnest(l) AS text, unnest(range(len(l))) AS i FROM xs), xn AS (SELECT k, text, i, len(list_intersect({TOKENS_SQL.replace('text', 'question')}, {TOKENS_SQL})) AS n FROM xr),
+    xk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, i) AS r FROM xn), x AS (SELECT k, string_agg(text, ' ' ORDER BY r) AS answer FROM xk WHERE r <= 2 GROUP BY k)"""
+
+
+@add(
+    "g5_generate",
+    f"""WITH src AS (SELECT a.conv_id || ':' || a.turn AS k, a.conv_id, a.turn, u.text AS question, a.text AS context FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user'),
+    {_extracted('src')} SELECT conv_id, turn, coalesce(answer, '') AS answer FROM src LEFT JOIN x USING (k)""",
+)
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
     return turns.where("role = 'assistant'").select("conv_id", "turn", "text").join(asked, ["conv_id", "turn"]).select("conv_id", "turn", P.extractive_answer(F.col("q"), F.col("text")).alias("answer"))
 
 
-@add("g6_workflow")
+_SECOND = _BM25[_BM25.index("b0 AS") :].replace("b0", "b9").replace("bm AS", "bm2 AS").replace("FROM q JOIN", "FROM q2 JOIN")
+
+
+@add(
+    "g6_workflow",
+    f"""WITH {_OWN}, a AS (SELECT item_id AS query_id, text AS question, {TOKENS_SQL} AS qt, CASE WHEN length(text) < 10 AND ({_GREETS.replace('lower(q)', 'lower(text)')}) THEN 'general' ELSE 'rag' END AS route FROM ({_ASKED})),
+    c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, list_distinct(flatten(list({TOKENS_SQL}))) AS t FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id),
+    j AS (SELECT a.*, context, context IS NOT NULL AND len(qt) > 0 AND len(list_intersect(qt, t))::DOUBLE / len(qt) >= 0.3 AS relevant FROM a LEFT JOIN c USING (query_id) WHERE route = 'rag'),
+    rw AS (SELECT query_id, question, unnest(qt) AS w FROM j WHERE NOT relevant), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) AS k FROM rw), r AS (SELECT query_id, string_agg(w, ' ' ORDER BY k) AS text FROM rk WHERE k <= 5 GROUP BY query_id),
+    q2 AS (SELECT query_id, unnest({TOKENS_SQL}) AS term FROM r), {_SECOND},
+    c2 AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM bm2 JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id),
+    src AS (SELECT query_id AS k, question, context, 0 AS retries FROM j WHERE relevant UNION ALL SELECT r.query_id, r.text, c2.context, 1 FROM r LEFT JOIN c2 USING (query_id)), {_extracted('src')}
+    SELECT query_id, 'general' AS route, 0 AS retries, question AS query, 'Hello! Ask me about the documents.' AS answer FROM a WHERE route = 'general' UNION ALL SELECT k, 'generate', retries, question, coalesce(answer, '') FROM src LEFT JOIN x USING (k)""",
+)
 def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer(table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir))
 
