@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 LOG = "entry string, kind string, at bigint, folder string, covers array<string>, figures map<string,double>"
 
@@ -52,8 +53,12 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def commit(self, entry: str, kind: str, folder: str, covers: list[str] | None = None, figures: dict[str, float] | None = None) -> None:
-        row = (entry, kind, time.time_ns(), folder, covers or [], {k: float(v) for k, v in (figures or {}).items()})
-        self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        told = {k: float(v) for k, v in (figures or {}).items()}
+        columns = {
+            "entry": F.lit(entry), "kind": F.lit(kind), "at": F.lit(time.time_ns()).cast("bigint"), "folder": F.lit(folder), "covers": F.array(*map(F.lit, covers or [])).cast("array<string>"),
+            "figures": F.map_from_arrays(F.array(*map(F.lit, told)).cast("array<string>"), F.array(*map(F.lit, told.values())).cast("array<double>")),
+        }
+        self.spark.range(0, 1, 1, 1).select(*[c.alias(n) for n, c in columns.items()]).write.mode("append").parquet(f"{self.path}/log")
 
     def part(self, part: str, schema: str) -> DataFrame:
         """One part of all live entries together."""

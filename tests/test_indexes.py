@@ -110,6 +110,14 @@ def test_bm25_batches_leave_out_copies_and_survive_a_crash(spark, tmp_path, monk
     assert index.store.purge() == 1
 
 
+def test_bm25_index_takes_another_tokenizer(spark, tmp_path):
+    halves = lambda text: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ -]"), lambda w: w != ""))
+    index = Bm25Index(spark, str(tmp_path / "i"), halves)
+    index.add(spark.createDataFrame([(1, "re-use it"), (2, "use"), (3, None)], "doc_id bigint, text string"), "one", dedup=False)
+    asked = spark.createDataFrame([(1, "RE-run")], "query_id bigint, text string")
+    assert [r.doc_id for r in index.search(asked, 5).collect()] == [1] and index.documents().count() == 3
+
+
 # vectors
 
 
