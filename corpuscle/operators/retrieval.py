@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
 from ..sources.snapshots import scratch
+from ..sources.tables import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -18,7 +19,7 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens:
 
     For an index that outlives a query, see ``bm25_index``.
     """
-    rows = docs.select(key, tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms")
+    rows = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms")
     path = scratch(docs.sparkSession, "terms")
     rows.write.parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
