@@ -1,18 +1,19 @@
 """Semantic chunks of documents: sentences, vectors, breakpoints, and one ordered fold over each document's sentences.
 
-Sentences, their vectors, distances and thresholds are DataFrame operators over rows (``segmentation``). What depends on what
-came before (hard cuts, joins of short sentences, length since the last break, titles that go on in the next heading, merging
-of neighbours under running mean vectors) is a fold over the array of one document, in Arrow batches.
+What depends on what came before (hard cuts, joins of short sentences, length since the last break, titles that go on in the
+next heading, merging of neighbours under running mean vectors) is a fold over one document, in Arrow batches. Sentences and their
+joins are one fold over the text, which shuffles nothing; a model adds the vectors; and breaks, groups and merging are one fold over
+the document's pieces, so that every piece is made, embedded and shuffled once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,26 +183,62 @@ def merge(chunks: list[Piece], rules: Rules) -> list[Piece]:
 
 # over DataFrames
 
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 _PIECE = "place bigint, start bigint, end bigint, text string, hard boolean"
 
 
-def _fold(df: DataFrame, key: str, lists: str, function: Callable[[list[Piece], list], list[Piece]], schema: str) -> DataFrame:
-    """Rows of key and ``schema`` from each row's list of pieces (structs), which is one document's; the lists' other fields come along."""
-    fields = [f.split()[0].strip("`") for f in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batches(made: Iterator[tuple[object, list[Piece]]], kind: pa.DataType, key: str, schema: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of some thousand rows of the key and the ``schema``'s fields of each piece."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+    types = {f.split()[0]: _ARROW[f.split()[-1]] for f in schema.split(", ")}
+    names: list = []
+    columns: dict[str, list] = {f: [] for f in fields}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), *[pa.array(columns[f], types[f]) for f in fields]], names=[key, *fields])
+
+    for name, found in made:
+        for place, piece in enumerate(found):
+            names.append(name)
+            for f in fields:
+                columns[f].append(place if f == "place" else getattr(piece, f))
+            if len(names) == S.OUT_ROWS:
+                yield batch()
+                names, columns = [], {f: [] for f in fields}
+    if names:
+        yield batch()
+
+
+def _fold(df: DataFrame, key: str, lists: str, function: Callable[[list[Piece], list[bool]], list[Piece]], schema: str) -> DataFrame:
+    """Rows of key and ``schema`` from each row's list of pieces (structs), which is one document's; ``function`` has the pieces and their cuts."""
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[object, list[Piece]]]:
+        column = batch.column(1)
+        ends, flat = column.offsets.to_numpy(), column.values
+        has = {f.name for f in flat.type}
+        for i, name in enumerate(batch.column(0).to_pylist()):
+            part = flat.slice(int(ends[i]), int(ends[i + 1] - ends[i]))
+            start, end = (part.field(f).to_numpy() for f in ("start", "end"))
+            order = np.lexsort((end, start))
+            texts, hard, cut = (part.field(f).to_pylist() if f in has else [False] * len(part) for f in ("text", "hard", "cut"))
+            vectors = [None] * len(part)
+            if "vector" in has:
+                held = part.field("vector")
+                known = held.is_valid().to_numpy(zero_copy_only=False)
+                for j, v in zip(np.nonzero(known)[0], held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(known.sum(), -1) if known.any() else (), strict=True):
+                    vectors[j] = v
+            found = [Piece(int(start[j]), int(end[j]), texts[j], bool(hard[j]), vector=vectors[j]) for j in order]
+            yield name, function(found, [bool(cut[j]) for j in order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, items in zip(batch[key], batch[lists], strict=True):
-                items = sorted(items, key=lambda i: (i["start"], i["end"]))
-                pieces = [Piece(i["start"], i["end"], i["text"], bool(i.get("hard")), vector=None if i.get("vector") is None else np.asarray(i["vector"], float)) for i in items]
-                for place, p in enumerate(function(pieces, items)):
-                    known = asdict(p) | {"place": place}
-                    rows.append((name, *(known[f] for f in fields)))
-            yield pd.DataFrame(rows, columns=[key, *fields])
+            yield from _batches(made(batch), batch.schema.field(0).type, key, schema)
+
+    return df.select(key, lists).mapInArrow(run, _with_key(df, key, schema))
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, lists).mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"`{f}` {s.split()[-1]}" for f, s in zip(fields, schema.split(","), strict=True)))
+
+def _with_key(df: DataFrame, key: str, schema: str) -> str:
+    return f"`{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"`{f.split()[0]}` {f.split()[-1]}" for f in schema.split(", "))
 
 
 def _listed(rows: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -210,9 +247,17 @@ def _listed(rows: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def pieces(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, place, start, end, text, hard: sentences, long ones cut and short ones joined."""
-    rows = S.sentences(docs.select(key, text), key, text).withColumnRenamed("sentence", "text")
-    prepare = lambda found, _: join_short([c for p in found for c in cut_long(p, rules.hard_limit)], rules.short, rules.joined)
-    return _fold(_listed(rows, key, "start", "end", "text"), key, "_list", prepare, _PIECE)
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[object, list[Piece]]]:
+        for name, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = [Piece(*span) for span in S.sentence_spans(whole.as_py() or "")]
+            yield name, join_short([c for p in found for c in cut_long(p, rules.hard_limit)], rules.short, rules.joined)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches(made(batch), batch.schema.field(0).type, key, _PIECE)
+
+    return docs.select(key, text).mapInArrow(run, _with_key(docs, key, _PIECE))
 
 
 def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +268,7 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def grouped(rows: DataFrame, overlap: int = 1, key: str = "doc_id") -> DataFrame:
     """key, place, start, end, text, section: pieces (start, end, text, cut) from each cut to the next."""
-    fold = lambda found, items: group(found, {at for at, item in enumerate(items) if at and item["cut"]}, overlap)
+    fold = lambda found, cuts: group(found, {at for at, cut in enumerate(cuts) if at and cut}, overlap)
     return _fold(_listed(rows, key, "start", "end", "text", "cut"), key, "_list", fold, "place bigint, start bigint, end bigint, text string, section string")
 
 
@@ -244,13 +289,13 @@ def chunks(docs: DataFrame, embed: Embed, rules: Rules = Rules(), key: str = "do
     from those before than the rule allows, before Markdown headings, and where a chunk gets too long.
     """
     rows = embed(pieces(docs, rules, key, text), "text", "vector")
-    near = S.buffered(rows.select(key, "place", "vector"), key, "place", "vector", rules.buffer, long=False)
-    far = S.breakpoints(S.distances(near, key, "place", "vector", long=False), key, "place", rules.rule, rules.value)
-    cuts = far.select(key, (F.col("place") + 1).alias("place"), F.lit(True).alias("cut"))
-    marked = rows.join(cuts, [key, "place"], "left").withColumn("cut", F.coalesce("cut", F.regexp_like("text", F.lit(MARKDOWN))))
+    marked = rows.withColumn("cut", F.regexp_like("text", F.lit(MARKDOWN)))
 
-    def fold(found: list[Piece], items: list) -> list[Piece]:
-        breaks = {at for at, item in enumerate(items) if at and item["cut"]}
+    def fold(found: list[Piece], cuts: list[bool]) -> list[Piece]:
+        known = np.array([p.vector is not None for p in found])
+        size = max((len(p.vector) for p in found if p.vector is not None), default=1)
+        vectors = np.array([np.zeros(size) if p.vector is None else p.vector for p in found])
+        breaks = {at for at, cut in enumerate(cuts) if at and cut} | S.far_places(vectors, known, rules.buffer, rules.rule, rules.value)
         return merge(group(found, safe_breaks(found, breaks, rules.most), rules.overlap), rules)
 
     return _fold(_listed(marked, key, "start", "end", "text", "hard", "vector", "cut"), key, "_list", fold, "place bigint, start bigint, end bigint, text string, section string, hard boolean, vector array<double>")

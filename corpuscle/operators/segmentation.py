@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HEADER = r"^#+\s|^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]|^[A-Z][A-Z\s]+$"
 SHORT, HARD, SAFE = 30, 1500, 0.9
+_ENDS = re.compile(r"([.?!][ \t\n\x0b\f\r]+)")
+#: Rows that a fold hands back at a time.
+OUT_ROWS = 2000
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,6 +35,21 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return trimmed(pieces.withColumns({"_s": start}), key)
 
 
+def sentence_spans(text: str) -> list[tuple[int, int, str]]:
+    """start, end and text of the sentences of one text: what ``sentences`` gives of a row, for folds that read it anyway."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        bare, begin = line.strip(" "), at
+        table_row = bare.startswith("|") and bare.endswith("|")
+        for part in [line] if table_row else _ENDS.sub("\\1\x01", line).split("\x01"):
+            if sentence := part.strip(" "):
+                start = begin + len(part) - len(part.lstrip(" "))
+                out.append((start, start + len(sentence), sentence))
+            begin += len(part)
+        at += len(line) + 1
+    return out
+
+
 def trimmed(pieces: DataFrame, key: str) -> DataFrame:
     """Trim pieces (_p at _s) and move their offsets along; empty ones go."""
     lead = F.length("_p") - F.length(F.ltrim("_p"))
@@ -90,6 +110,56 @@ def breakpoints(dist: DataFrame, key: str, order: str, rule: str, value: float)
     return base.join(limit, key).where(F.round("distance", 6) > F.round("_t", 6)).select(key, order, "distance")
 
 
+def threshold(dist: np.ndarray, rule: str, value: float) -> float:
+    """The threshold of ``breakpoints`` over one document's distances, which hold no NaN."""
+    if rule == "fixed" or not len(dist):
+        return value
+    if rule == "gradient":
+        return _percentile(np.gradient(dist), value) if len(dist) > 1 else np.inf
+    if rule == "percentile":
+        return _percentile(dist, value)
+    if rule == "stddev":
+        return float(dist.mean() + value * dist.std())
+    return float(dist.mean() + value * (_percentile(dist, 0.75) - _percentile(dist, 0.25)))
+
+
+def _percentile(values: np.ndarray, share: float) -> float:
+    """As Spark's: between neighbours by their weights."""
+    ranked, at = np.sort(values), (len(values) - 1) * share
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    if low == high or ranked[low] == ranked[high]:
+        return float(ranked[low])
+    return float((high - at) * ranked[low] + (at - low) * ranked[high])
+
+
+def _half_up(x: float, digits: int = 6) -> float:
+    """As Spark's round."""
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def far_places(vectors: np.ndarray, known: np.ndarray, buffer: int, rule: str, value: float) -> set[int]:
+    """Places after a breakpoint of one document: ``buffered``, ``distances`` and ``breakpoints`` over the array of its vectors.
+
+    Sums run in the order of the columns' versions. ``known`` tells the rows that have a vector; the others are zero.
+    """
+    n = len(vectors)
+    if n < 2:
+        return set()
+    total, count = np.zeros_like(vectors), np.zeros(n)
+    for off in range(-min(buffer, n - 1), min(buffer, n - 1) + 1):
+        to, of = slice(max(0, -off), n - max(0, off)), slice(max(0, off), n - max(0, -off))
+        total[to] += vectors[of]
+        count[to] += known[of]
+    mean = total / np.maximum(count, 1)[:, None]
+    unit = mean / np.maximum(np.sqrt(np.add.accumulate(mean * mean, axis=1)[:, -1:]), 1e-9)
+    near = 1 - np.add.accumulate(unit[:-1] * unit[1:], axis=1)[:, -1]
+    has = np.nonzero((count[:-1] > 0) & (count[1:] > 0))[0]
+    dist = np.array([_half_up(x) for x in near[has]])
+    limit = threshold(dist, rule, value)
+    limit = limit if rule == "fixed" or not np.isfinite(limit) else _half_up(limit)
+    return {int(at) + 1 for at in has[dist > limit]}
+
+
 def groups_by_break(rows: DataFrame, key: str, order: str, is_break: Column) -> DataFrame:
     """Adds ``chunk``: the number of breaks up to a row."""
     return rows.withColumn("chunk", F.sum(F.when(is_break, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
@@ -232,7 +302,13 @@ def fold(df: DataFrame, key: str, values: str, function: Callable[[list], list],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, item) for k, v in zip(batch[key], batch[values], strict=True) for i, item in enumerate(function(list(v) if not isinstance(v, str) else v))]
+            rows = []
+            for k, v in zip(batch[key], batch[values], strict=True):
+                for i, item in enumerate(function(list(v) if not isinstance(v, str) else v)):
+                    rows.append((k, i, item))
+                    if len(rows) == OUT_ROWS:
+                        yield pd.DataFrame(rows, columns=[key, "place", "item"])
+                        rows = []
             yield pd.DataFrame(rows, columns=[key, "place", "item"])
 
     return df.select(key, values).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, place bigint, item {schema}")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,15 +243,17 @@ def hash_embed(df: DataFrame, text: str, out: str = "vector", size: int = 64) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for terms in batch.pop("_terms"):
-                h = np.array([zlib.crc32(t.encode()) for t in terms], np.int64)
-                v = np.bincount(h % size, np.where(h >> 16 & 1, 1.0, -1.0), size) if len(h) else np.zeros(size)
-                rows.append((v / max(np.linalg.norm(v), 1e-9)).tolist())
-            yield batch.assign(**{out: rows})
+            terms = batch.column(len(names))
+            words = terms.flatten().dictionary_encode()
+            h = np.array([zlib.crc32(t.encode()) for t in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+            row = np.repeat(np.arange(len(batch)), terms.value_lengths().fill_null(0).to_numpy())
+            v = np.bincount(row * size + h % size, np.where(h >> 16 & 1, 1.0, -1.0), len(batch) * size).reshape(len(batch), size)
+            v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * size), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], vectors], names=[*names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.select(*names, index_tokens(F.col(text)).alias("_terms")).mapInPandas(run, f"{fields}, {out} array<double>")
+    return df.select(*names, index_tokens(F.col(text)).alias("_terms")).mapInArrow(run, f"{fields}, {out} array<double>")
 
 
 def cell_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int | None = None, sample: int = 20_000) -> DataFrame:

@@ -244,3 +244,30 @@ def test_budgeted_merge_matches_a_plain_loop(spark):
     for r in segmentation.merge_within_budget(df, ["query_id"], most=120).collect():
         got.setdefault(r.query_id, []).append((r.source, r.page, r.section, r.text, r.tokens, r.pieces))
     assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+ODD = ["", " ", "\n", "|", "| a. b |\nOne. Two?  Three!\t\n  x  ", "a.\x01b. c", "No end\n\n# Head\nText here.  And more. ", "é. 日本. \U0001f600! x", "a.\r\nb.\x0bc.\u00a0d. e", "  | t. u |  "]
+
+
+def test_spans_of_a_text_are_its_sentences(spark):
+    docs = spark.createDataFrame([*enumerate(ODD), (99, None)], "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in segmentation.sentences(docs).collect())
+    assert sorted((i, *span) for i, text in enumerate(ODD) for span in segmentation.sentence_spans(text)) == want
+
+
+def test_chunks_shuffle_their_pieces_once(spark):
+    """Before, sentences were split, embedded and shuffled again for distances, thresholds and chunks."""
+    docs = spark.createDataFrame([(1, "One two. Three four. Five six.")], "doc_id bigint, text string")
+    plan = C.chunks(docs, hash_embed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("Join") == 0 and plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("rule, value", [("percentile", 0.7), ("stddev", 0.5), ("iqr", 0.5), ("gradient", 0.7), ("fixed", 0.9)])
+def test_far_places_are_the_breakpoints_of_columns(spark, rule, value):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(0, 1, (40, 6))
+    vectors[7:9] = vectors[6]
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "doc_id bigint, place bigint, vector array<double>")
+    near = segmentation.buffered(rows, "doc_id", "place", "vector", 1, long=False)
+    far = segmentation.breakpoints(segmentation.distances(near, "doc_id", "place", "vector", long=False), "doc_id", "place", rule, value)
+    assert segmentation.far_places(vectors, np.ones(40, bool), 1, rule, value) == {r["place"] + 1 for r in far.collect()}
