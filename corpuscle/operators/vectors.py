@@ -33,7 +33,18 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Divided by its length; a zero vector stays zero."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(1e-9)))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; a lambda of a higher-order function would compute it for each entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+    return _once(doubles(v), lambda d: _once(F.greatest(norm(d), F.lit(1e-9)), lambda size: F.transform(d, lambda x: x / size)))
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded, with the sign of what rounds to zero, as floating-point rounding has it; F.round goes through decimals and loses it."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -54,11 +65,12 @@ def quantise(v: Column, levels: int) -> Column:
     """Struct of codes 0..levels (half to even), scale and offset of one vector."""
     low, high = F.array_min(doubles(v)), F.array_max(doubles(v))
     scale = F.when(high > low, (high - low) / levels).otherwise(F.lit(1.0))
-    return F.struct(F.transform(doubles(v), lambda x: F.rint((x - low) / scale).cast("int")).alias("codes"), scale.alias("scale"), low.alias("offset"))
+    code = lambda b: F.transform(doubles(v), lambda x: F.rint((x - b["offset"]) / b["scale"]).cast("int"))
+    return _once(F.struct(scale.alias("scale"), low.alias("offset")), lambda b: F.struct(code(b).alias("codes"), b["scale"].alias("scale"), b["offset"].alias("offset")))
 
 
 def dequantise(q: Column) -> Column:
-    return F.transform(q["codes"], lambda c: c * q["scale"] + q["offset"])
+    return _once(q, lambda known: F.transform(known["codes"], lambda c: c * known["scale"] + known["offset"]))
 
 
 def subspace_code(v: Column, parts: int, size: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import segmentation as S
-from ..operators.vectors import hash_embed
+from ..operators.vectors import hash_embed, rounded
 from ..sources.tables import table
 from .registry import REGISTRY, shared
 
@@ -107,7 +107,7 @@ _DIST = """ds0 AS (SELECT label, vec_id, round(1 - list_inner_product(embedding:
 
 @add("c6_buffered_vectors", f"WITH {_BUFFER} SELECT label, vec_id, list_transform(v, lambda x: round(x, 6)) AS v FROM bv")
 def buffered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.buffered(_sequence(spark, sf_dir), "label", "vec_id", "v").select("label", "vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return S.buffered(_sequence(spark, sf_dir), "label", "vec_id", "v").select("label", "vec_id", F.transform("v", rounded).alias("v"))
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
