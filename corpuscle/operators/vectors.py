@@ -41,9 +41,9 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return _once(doubles(v), lambda d: _once(F.greatest(norm(d), F.lit(1e-9)), lambda size: F.transform(d, lambda x: x / size)))
 
 
-def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded, with the sign of what rounds to zero, as floating-point rounding has it; F.round goes through decimals and loses it."""
-    near = F.round(x, digits)
+def rounded(x: Column) -> Column:
+    """Rounded to 6 digits, with the sign of what rounds to zero, as floating-point rounding has it; F.round goes through decimals and loses it."""
+    near = F.round(x, 6)
     return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
 
 

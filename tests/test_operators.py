@@ -223,7 +223,7 @@ def test_diversity_and_limit(spark):
 def test_rounding_keeps_the_sign_of_zero(spark):
     """As floating-point rounding, and so the SQL twins, have it."""
     values = [-1e-9, 1e-9, -0.0, 0.0, -1.2345675, 2.5, None]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(V.rounded(F.col("x"))).collect()]
+    got = [r[0][0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(F.transform(F.array("x"), V.rounded)).collect()]
     assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "0.0", "-1.234568", "2.5", "None"]
 
 
