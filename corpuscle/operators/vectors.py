@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 #: Scores of queries by rows that a task holds at a time.
 CELLS = 1 << 22
+#: Visits of vectors to cells that a task hands on at a time.
+VISITS = 1 << 16
 #: Blocks of one cell that meet the cell's blocks in one task.
 MET = 8
 #: Query vectors of as many bytes at most are broadcast.
@@ -194,7 +196,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells:
     apart = np.maximum(np.linalg.norm(c[:, None] - c[None], axis=2), 1e-12)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        step = max(1, VISITS // len(c))  # a row may visit every cell
+        for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
             if len(batch):
                 off = 2 - 2 * np.stack(batch["_v"]) @ c.T
                 own = off.argmin(1)
