@@ -33,13 +33,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
-def normalise(v: Column) -> Column:
-    """Divided by its length; a zero vector stays zero."""
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once a row; a lambda of a higher-order function would compute it for each entry."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def normalise(v: Column) -> Column:
+    """Divided by its length; a zero vector stays zero."""
     return _once(doubles(v), lambda d: _once(F.greatest(norm(d), F.lit(1e-9)), lambda size: F.transform(d, lambda x: x / size)))
 
 
@@ -256,7 +256,7 @@ def hash_embed(df: DataFrame, text: str, out: str = "vector", size: int = 64) ->
 
     names = [f.name for f in df.schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = batch.column(len(names))
             words = terms.flatten().dictionary_encode()
@@ -271,52 +271,123 @@ def hash_embed(df: DataFrame, text: str, out: str = "vector", size: int = 64) ->
     return df.select(*names, index_tokens(F.col(text)).alias("_terms")).mapInArrow(run, f"{fields}, {out} array<double>")
 
 
-def cell_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int | None = None, sample: int = 20_000) -> DataFrame:
+def cell_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int | None = None, sample: int = 20_000, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """As ``dense_topk``, with an inverted file of cells: only cells that can hold one of a query's k best are scanned.
 
     Centres are fitted by k-means on a bounded sample chosen by a hash of the key; every vector is indexed. A cell of centre
     m and radius r bounds inner products by q.m + |q| r. Each query's two most promising cells give a k-th score, and the
-    cells whose bound reaches it are scanned as well, so the result is exact: recall is 1.
+    cells whose bound reaches it are scanned, so the result is exact: recall is 1. Cells are scanned as matrices, by queries
+    that are broadcast up to ``most_bytes`` and meet the cells in blocks beyond it; no row is made for a query and a cell.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    corpus = corpus.select(key, doubles(F.col(vector)).alias(vector)).where(F.col(vector).isNotNull())
+    asked = queries.select(F.col(key).alias("query_id"), doubles(F.col(vector)).alias("q")).where(F.col("q").isNotNull())
     n = corpus.count()
     cells = cells or max(1, min(4096, int(4 * np.sqrt(n))))
     part = min(1.0, sample / max(1, n))
-    few = corpus.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(part * 1_000_000)).select(array_to_vector(doubles(F.col(vector))).alias("features"))
-    centres = np.array(KMeans(k=max(2, min(cells, few.count())), seed=1, maxIter=5, initMode="random").fit(few).clusterCenters()) if n > 1 else np.stack([np.asarray(r[0], float) for r in corpus.select(vector).collect()])
+    few = corpus.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(part * 1_000_000)).select(array_to_vector(F.col(vector)).alias("features"))
+    centres = np.array(KMeans(k=max(2, min(cells, few.count())), seed=1, maxIter=5, initMode="random").fit(few).clusterCenters()) if n > 1 else np.stack([np.asarray(r[0], float) for r in corpus.select(vector).collect()] or [np.zeros(1)])
+    step = max(1, CELLS // len(centres))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                v = np.stack(batch[vector]).astype(float)
-                off = (centres**2).sum(1) - 2 * v @ centres.T
-                cell = off.argmin(1)
-                yield pd.DataFrame({key: batch[key], "cell": cell, "away": np.linalg.norm(v - centres[cell], axis=1), vector: list(v)})
+            for at in range(0, len(batch), step):
+                rows = batch.iloc[at : at + step]
+                v = np.stack(rows[vector]).astype(float)
+                cell = ((centres**2).sum(1) - 2 * v @ centres.T).argmin(1)
+                yield pd.DataFrame({key: rows[key].to_numpy(), "cell": cell.astype(np.int32), "away": np.linalg.norm(v - centres[cell], axis=1), vector: list(v)})
 
-    placed = corpus.select(key, vector).mapInPandas(nearest, f"{key} bigint, cell int, away double, {vector} array<double>")
-    radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("away").alias("r")).collect()}  # one number a cell
+    placed = corpus.mapInPandas(nearest, f"{key} {dict(corpus.dtypes)[key]}, cell int, away double, {vector} array<double>")
+    reach = np.full(len(centres), -np.inf)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():  # one number a cell
+        reach[r["cell"]] = r["r"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = np.array(sorted(radius))
-        r = np.array([radius[c] for c in used])
         for batch in batches:
-            if len(batch):
-                q = np.stack(batch[vector]).astype(float)
-                bound = q @ centres[used].T + np.linalg.norm(q, axis=1, keepdims=True) * r + 1e-6
-                first = np.argsort(-bound, 1)[:, :2]
-                rows = [(i, int(used[c]), float(bound[j, c]), c in first[j], q[j].tolist()) for j, i in enumerate(batch[key]) for c in range(len(used))]
-                yield pd.DataFrame(rows, columns=["query_id", "cell", "bound", "first", "q"])
-
-    probes = queries.select(key, vector).mapInPandas(probe, "query_id bigint, cell int, bound double, first boolean, q array<double>")
+            for at in range(0, len(batch), step):
+                rows = batch.iloc[at : at + step]
+                q = np.stack(rows["q"]).astype(float)
+                bound = q @ centres.T + np.linalg.norm(q, axis=1, keepdims=True) * reach
+                first = np.argsort(-np.where(np.isnan(bound), -np.inf, bound), 1)[:, :2]
+                row = np.repeat(np.arange(len(q)), first.shape[1])
+                yield pd.DataFrame({"query_id": rows["query_id"].to_numpy()[row], "cell": first.ravel().astype(np.int32), "q": list(q[row])})
+
+    # ranges of cells: neighbouring rows are of one cell, and a cell of very many rows is many partitions
+    blocks = _blocks(placed.repartitionByRange("cell", F.xxhash64(key)).sortWithinPartitions("cell"), key, vector, "c", "cell")
+    probes = asked.mapInPandas(probe, "query_id bigint, cell int, q array<double>")
+    firsts = _blocks(probes.repartitionByRange("cell", F.xxhash64("query_id")).sortWithinPartitions("cell"), "query_id", "q", "q", "cell")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    begun = firsts.join(blocks, "cell").select("q_ids", "q_rows", "c_ids", "c_rows").mapInPandas(_meet(k), "query_id bigint, doc_id bigint, score double")
+    floor = begun.withColumn("_k", rank).where(F.col("_k") == k).select("query_id", F.col("score").alias("least"))
+    known = asked.join(floor, "query_id", "left").select("query_id", "q", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+
+    def found(kept: _Kept, q: np.ndarray, cell: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        bound = q @ centres[cell] + np.linalg.norm(q, axis=1) * reach[cell] + 1e-6
+        use = np.nonzero(bound >= kept.least)[0]
+        few = max(1, CELLS // max(1, len(rows)))
+        for at in range(0, len(use), few):
+            part = use[at : at + few]
+            scores = np.round(q[part] @ rows.T, 6)
+            i, j = np.nonzero(scores >= kept.least[part, None])
+            kept.add(part[i], ids[j], scores[i, j])
+
+    matrix = lambda raw, ids: np.frombuffer(raw, np.float64).reshape(len(ids), -1)
+    size = asked.agg(F.sum(F.size("q") * F.lit(8))).first()[0] or 0
+    if size <= most_bytes:
+        rows = known.toPandas()
+        shared = corpus.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), np.stack(rows["q"]).astype(float) if len(rows) else np.zeros((0, centres.shape[1])), rows["least"].to_numpy(float)))
 
-    def scan(which: DataFrame) -> DataFrame:
-        hits = which.join(placed, "cell").select("query_id", F.col(key).alias("doc_id"), F.round(dot(F.col("q"), F.col(vector)), 6).alias("score"))
-        return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q, least = shared.value
+            kept = _Kept(least, k)
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    found(kept, q, row.cell, np.asarray(row.c_ids), matrix(row.c_rows, row.c_ids))
+            query, ids, scores = kept.best()
+            for at in range(0, len(query), BLOCK * k):
+                some = slice(at, at + BLOCK * k)
+                yield pd.DataFrame({"query_id": names[query[some]], "doc_id": ids[some], "score": scores[some]})
+
+        hits = blocks.mapInPandas(scan, "query_id bigint, doc_id bigint, score double")
+    else:
 
-    begun = scan(probes.where("first"))
-    floor = begun.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    rest = probes.where("not first").join(floor, "query_id", "left").where("least is null or bound >= least")
-    return begun.drop("rank").unionByName(scan(rest).drop("rank")).withColumn("rank", rank).where(F.col("rank") <= k)
+        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    q = matrix(row.q_rows, row.q_ids)
+                    kept = _Kept(q[:, -1], k)
+                    found(kept, q[:, :-1], row.cell, np.asarray(row.c_ids), matrix(row.c_rows, row.c_ids))
+                    query, ids, scores = kept.best()
+                    yield pd.DataFrame({"query_id": np.asarray(row.q_ids)[query], "doc_id": ids, "score": scores})
+
+        salts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        q = _blocks(known.select("query_id", F.concat("q", F.array("least")).alias("q")), "query_id", "q", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        c = blocks.withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts)))
+        hits = c.join(q, "salt").select("cell", "c_ids", "c_rows", "q_ids", "q_rows").mapInPandas(pairs, "query_id bigint, doc_id bigint, score double")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+class _Kept:
+    """The k best rows of each query so far; ``least`` is the score that a row needs."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.least, self.k, self.held = np.array(least, float), k, 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((query, ids, scores))
+        self.held += len(query)
+        if self.held > CELLS // 4:
+            query, _, scores = self.best()
+            full = np.nonzero(np.bincount(query, minlength=len(self.least)) >= self.k)[0]
+            last = np.full(len(self.least), np.inf)
+            np.minimum.at(last, query, scores)
+            self.least[full] = np.maximum(self.least[full], last[full])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, scores = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        keep = _first_k(query, ids, scores, self.k)
+        self.parts, self.held = [(query[keep], ids[keep], scores[keep])], 0
+        return self.parts[0]
