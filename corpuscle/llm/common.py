@@ -43,13 +43,18 @@ def tidy(function: Callable) -> Callable:
 
     def run(batches: Iterator) -> Iterator:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the folder that shared_folder names: columnar files take a fraction of a checkpoint's."""
     spark = df.sparkSession

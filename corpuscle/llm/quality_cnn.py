@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, tidy
+from .common import release, texts_of, tidy
 from .learning import PER_LABEL, held_out, logistic, sample
 
 WIDTH, EMBED, FILTERS, STRIDE = 6, 6, 24, 2
@@ -84,16 +84,19 @@ def _summary(logits: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def score_texts(net: Network | None, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probability of label 1 of each text."""
-    n = len(offsets) - 1
     if net is None:
-        return np.full(n, 0.5)
-    out, i = np.zeros(n), 0
+        return np.full(len(offsets) - 1, 0.5)
+    parts = [1 / (1 + np.exp(-np.clip(part @ net.mix + net.mix_bias, -30, 30))) for part in summaries(net, raw, offsets)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def summaries(net: Network, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Mean, least and greatest logit of each text, for texts of about PIECE bytes together at a time."""
+    n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
-        logits, borders = chunk_logits(net, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        out[i:j] = 1 / (1 + np.exp(-np.clip(_summary(logits, borders) @ net.mix + net.mix_bias, -30, 30)))
+        yield _summary(*chunk_logits(net, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
         i = j
-    return out
 
 
 def fit(rows: pd.DataFrame, odds: float = 1.0, epochs: int = 48, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> Network | None:
@@ -145,8 +148,7 @@ def fit(rows: pd.DataFrame, odds: float = 1.0, epochs: int = 48, batch: int = 64
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                 setattr(net, k, getattr(net, k) - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8))
     offsets = np.append(0, np.cumsum([len(x) for x in texts]))
-    logits, borders = chunk_logits(net, np.concatenate(texts), offsets)
-    w, b = logistic(_summary(logits, borders), (y > 0)[:, None], even, l2=1e-3, steps=300, rate=0.05)
+    w, b = logistic(np.concatenate([*summaries(net, np.concatenate(texts), offsets)]), (y > 0)[:, None], even, l2=1e-3, steps=300, rate=0.05)
     net.mix, net.mix_bias = w[:, 0].astype(float), float(b[0]) + float(np.log(odds))  # the sample is balanced, the rows are not
     return net
 
@@ -156,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Net
     usable = labels.select("doc_id", "quality").where(~held_out())
     count = {r["quality"]: r["count"] for r in usable.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     odds = count.get(1, 0) / max(1, count.get(0, 0)) or 1.0
-    return fit(sample(docs, usable, "quality", per_label), min(max(odds, 0.01), 100.0))
+    net = fit(sample(docs, usable, "quality", per_label), min(max(odds, 0.01), 100.0))
+    release()  # of the driver: the sample and the steps of the fit
+    return net
 
 
 def _score(net: Network | None, column: int) -> object:
