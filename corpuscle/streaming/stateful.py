@@ -7,6 +7,7 @@ processing share it. Batch replay sorts a key's events and folds them; a key is
 from __future__ import annotations
 
 import json
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -41,17 +42,22 @@ class TokenBuffer:
 
 @dataclass
 class AdaptiveSize:
-    """Buffer size from the mean of the last 50 latencies, from ten on: over 300 ms two more, under 100 ms one less."""
+    """Buffer size from the mean of the last 50 latencies, from ten on: over 300 ms two more, under 100 ms one less.
+
+    Missing latencies count as seen but not in the mean. The mean is taken to 9 digits, so that one that lies on a limit is not put beside
+    it by the sum's last bits.
+    """
 
     size: int = 1
     least: int = 1
     most: int = 10
-    seen: list[float] = field(default_factory=list)
+    seen: list[float | None] = field(default_factory=list)
 
-    def step(self, latency: float) -> int:
+    def step(self, latency: float | None) -> int:
         self.seen = [*self.seen, latency][-50:]
-        if len(self.seen) >= 10:
-            mean = sum(self.seen) / len(self.seen)
+        known = [x for x in self.seen if x is not None and not math.isnan(x)]
+        if len(self.seen) >= 10 and known:
+            mean = round(sum(known) / len(known), 9)
             if mean > 300:
                 self.size = min(self.most, self.size + 2)
             elif mean < 100:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -149,6 +150,17 @@ def test_adaptive_size():
     assert a.size == 1
 
 
+def test_adaptive_size_on_its_limits_and_with_missing_latencies():
+    a = X.AdaptiveSize(size=5)
+    on = [x * 10 for x in (29.27, 30.73, 29.33, 30.67, 29.29, 30.71, 29.59, 30.41, 28.91, 31.09)]  # 300 ms each two, but for the last bits
+    for values in itertools.permutations(on[:5]):
+        a.seen = [*values, *on[5:-1]]
+        assert a.step(on[-1]) == 5
+    b = X.AdaptiveSize()
+    assert [b.step(x) for x in [None] * 8 + [400.0, float("nan"), 400.0]][-3:] == [1, 3, 5]
+    assert [X.AdaptiveSize().step(None) for _ in range(12)][-1] == 1
+
+
 def test_circuit_breaker():
     c = X.CircuitBreaker(failures=2, wait=10, successes=2)
     said = [c.step(*e) for e in ((False, 0), (False, 1), (True, 2), (True, 12), (True, 13), (False, 14), (False, 15), (False, 30))]
