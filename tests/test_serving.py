@@ -59,6 +59,16 @@ def test_messages_reach_subscribers_once_and_not_their_sender(spark):
     assert rows(V.broadcast_messages(messages, held)) == [(1, 8), (3, 8), (3, 9)]
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_broadcast_goes_out_in_packs(spark, monkeypatch, most):
+    monkeypatch.setattr(V, "BROADCAST_CLIENTS", most)
+    sent = spark.range(900).select(F.col("id").alias("message_id"), (F.col("id") % 3).cast("int").alias("channel"), (F.col("id") % 50).alias("sender"))
+    held = spark.range(60).select(F.col("id").alias("client_id"), (F.col("id") % 4).cast("int").alias("channel"))
+    got = [tuple(r) for r in V.broadcast_messages(sent, held.union(held)).collect()]
+    assert sorted(got) == sorted((m, c) for m in range(900) for c in range(60) if m % 3 == c % 4 and c != m % 50)
+    assert sum(a[1] != b[1] for a, b in zip(got, got[1:])) < len(got) / 20  # a pack at a time
+
+
 def test_tiers_promote_what_comes_from_below(spark):
     t = lambda *kv: spark.createDataFrame(list(kv), "key string, value string")
     asked = spark.createDataFrame([("a", False), ("b", False), ("c", False), ("a", True), ("c", True)], "key string, by_meaning boolean")
