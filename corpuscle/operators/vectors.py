@@ -17,6 +17,10 @@ CELLS = 1 << 22
 VISITS = 1 << 16
 #: Blocks of one cell that meet the cell's blocks in one task.
 MET = 8
+#: Pairs whose exact products a task takes at a time.
+PAIRS = 1 << 16
+#: Rows of a strip of keys, where there are strips enough, and scores that a tile of two strips holds at a time.
+STRIP, SCORES = 32_768, 1 << 20
 #: Query vectors of as many bytes at most are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -221,19 +225,83 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells:
             for row in batch.itertuples(index=False):
                 x, y = (np.frombuffer(r, np.float64).reshape(len(i), -1) for r, i in ((row.a_rows, row.a_ids), (row.b_rows, row.b_ids)))
                 one, other = np.asarray(row.a_ids), np.asarray(row.b_ids)
-                i, j = np.nonzero(x @ y.T >= least - 1e-9)
-                scores = np.round((x[i] * y[j]).sum(1), 6)
-                keep = (scores >= threshold) & ((one[i] != other[j]) if row.guest else (one[i] < other[j]))
-                p, q = one[i][keep], other[j][keep]
-                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": scores[keep]})
+                first, second = np.nonzero(x @ y.T >= least - 1e-9)
+                for at in range(0, len(first), PAIRS):
+                    i, j = first[at : at + PAIRS], second[at : at + PAIRS]
+                    scores = np.round((x[i] * y[j]).sum(1), 6)
+                    keep = (scores >= threshold) & ((one[i] != other[j]) if row.guest else (one[i] < other[j]))
+                    p, q = one[i][keep], other[j][keep]
+                    yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": scores[keep]})
 
     both = hosts.unionByName(guests).join(F.broadcast(met), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return own.join(both, ["cell", "salt"]).select("a_ids", "a_rows", "b_ids", "b_rows", "guest").mapInPandas(meet, "a bigint, b bigint, cosine double")
 
 
+def nearest_earlier(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """b, a, cosine (6 digits): for each row the most similar of those with a smaller key, of the threshold or more; of equals the smallest key.
+
+    Keys are cut into strips of neighbouring ones, each strip meets those before it and itself as matrices, and such a tile keeps one row a
+    vector: no list of pairs is made, and copies cost no more than others. A task holds two strips and a bounded block of scores. Products
+    grow with the square of the table, and shuffled rows with it over the size of a strip.
+    """
+    kind = "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
+    size = norm(F.col(vector))
+    unit = df.where((size > 0) & (size < float("inf")) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast(f"array<{kind}>").alias("_v"))
+    n = unit.count()
+    strips = max(-(-n // STRIP), min(8, -(-n // BLOCK)), 1)
+    borders = np.array(unit.approxQuantile("_id", [i / strips for i in range(1, strips)], 0.1 / strips) if strips > 1 else [])
+    held = np.float32 if kind == "float" else np.float64
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for strip, rows in batch.groupby(np.searchsorted(borders, batch["_id"].to_numpy(), side="right"), sort=False):
+                yield pd.DataFrame({"strip": [np.int32(strip)], "ids": [rows["_id"].to_numpy().tobytes()], "rows": [np.stack(rows["_v"]).astype(held).tobytes()]})
+
+    blocks = unit.repartitionByRange(2 * strips, "_id").sortWithinPartitions("_id").mapInPandas(block, "strip int, ids binary, rows binary")
+    tiles = lambda asks: F.explode(F.sequence(F.lit(0), F.col("strip")) if asks else F.sequence(F.col("strip"), F.lit(strips - 1)))
+    asked = blocks.withColumn("other", tiles(True)).select(F.col("strip").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), "ids", "rows")
+    there = blocks.withColumn("other", tiles(False)).select(F.col("other").alias("q"), F.col("strip").alias("c"), F.lit(False).alias("asks"), "ids", "rows")
+
+    def parts(some: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, raw in zip(some["ids"], some["rows"], strict=True):
+            v = np.frombuffer(raw, held).reshape(len(ids) // 8, -1).astype(np.float64)
+            yield np.frombuffer(ids, np.int64), v / np.sqrt((v * v).sum(1, keepdims=True))
+
+    def meet(tile: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"b": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+        known = list(parts(tile[~tile["asks"]]))
+        if known:
+            ids, rows = (np.concatenate([k[i] for k in known]) for i in range(2))
+            order = np.argsort(ids, kind="stable")
+            ids, rows = ids[order], rows[order]
+            for names, q in parts(tile[tile["asks"]]):
+                best, of = np.full(len(q), -2.0), np.zeros(len(q), np.int64)
+                step = max(1, SCORES // len(q))
+                for at in range(0, np.searchsorted(ids, names.max()), step):
+                    c = ids[at : at + step]
+                    scores = q @ rows[at : at + step].T
+                    if c[-1] >= names.min():
+                        scores[c[None] >= names[:, None]] = -2.0
+                    top = scores.max(1)
+                    hit = np.flatnonzero(top >= max(threshold, -1.5) - 1e-6)
+                    near = scores[hit] >= top[hit, None] - 1.5e-6
+                    value = np.where(near, np.round(scores[hit], 6), -2.0) if len(hit) else near.astype(float)
+                    place = value.argmax(1) if len(hit) else hit  # the first, so the smallest key
+                    value = value[np.arange(len(hit)), place] if len(hit) else hit.astype(float)
+                    more = (value >= threshold) & (value > best[hit])
+                    best[hit[more]], of[hit[more]] = value[more], c[place[more]]
+                found = best > -2
+                out.append(pd.DataFrame({"b": names[found], "a": of[found], "cosine": best[found]}))
+        return pd.concat(out)
+
+    met = asked.unionByName(there).repartition(strips * (strips + 1) // 2, "q", "c").groupBy("q", "c").applyInPandas(meet, "b bigint, a bigint, cosine double")
+    first = F.max(F.struct("cosine", (-F.col("a")).alias("n")))
+    return met.groupBy("b").agg(first.alias("m")).select("b", (-F.col("m.n")).alias("a"), F.col("m.cosine").alias("cosine"))
+
+
 def prune(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """Rows without any earlier similar row, whether that one stays or not."""
-    gone = similar_pairs(df, key, vector, threshold).select(F.col("b").alias(key)).distinct()
+    gone = nearest_earlier(df, key, vector, threshold).select(F.col("b").alias(key))
     return df.join(gone, key, "left_anti")
 
 

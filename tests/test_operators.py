@@ -76,6 +76,28 @@ def test_similar_pairs_lose_none(spark, threshold):
     assert {(r.a, r.b) for r in V.similar_pairs(e, "vec_id", "embedding", threshold).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_nearest_earlier_against_brute_force(spark, monkeypatch, kind):
+    for name, value in (("STRIP", 40), ("BLOCK", 20), ("SCORES", 100)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 4)).astype(np.float32).astype(float)
+    v[100:130] = v[7]  # copies
+    v[150:] = v[50:100] * 2
+    held = [(int(k), x.tolist()) for k, x in zip(rng.permutation(200), v, strict=True)]
+    odd = [(900, [0.0] * 4), (901, [float("nan")] * 4), (902, None), (903, [1.0, None, 0.0, 0.0]), (None, [1.0] * 4), (904, [float("inf"), 1.0, 0.0, 0.0])]
+    e = spark.createDataFrame(held + odd, f"vec_id long, embedding array<{kind}>")
+    for threshold in (-1.0, 0.5, 0.999):
+        want = {}
+        for b, y in held:
+            near = [(-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6), a) for a, x in held if a < b]
+            if near and -min(near)[0] >= threshold:
+                want[b] = (min(near)[1], -min(near)[0])
+        got = V.nearest_earlier(e, "vec_id", "embedding", threshold).collect()
+        assert {r.b: (r.a, r.cosine) for r in got} == want and len(got) == len(want)
+    assert V.nearest_earlier(e.where("vec_id > 899"), "vec_id", "embedding", 0.5).count() == 0
+
+
 @pytest.mark.parametrize("function", ["dense_topk", "cell_topk"])
 def test_topk_against_brute_force(spark, function):
     rng = np.random.default_rng(2)
