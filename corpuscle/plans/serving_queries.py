@@ -10,7 +10,7 @@ from ..operators import rules as X
 from ..operators import serving as V
 from ..operators.routing import GREETINGS, intent
 from ..sources import services, snapshots
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import REGISTRY
 
 add = REGISTRY.add
@@ -331,8 +331,9 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages uploaded one a file, of which those of another suffix are turned away; their bytes and hashes."""
     path = snapshots.scratch(spark, "landing")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"), F.when(F.col("page_id") % 5 == 0, "bin").otherwise("txt").alias("suffix"))
-    pages.repartition("page_id").write.partitionBy("suffix", "page_id").option("lineSep", "\x00").text(path)
-    files = services.uploads(spark, f"{path}/suffix=txt/*", ".txt")
-    content = F.regexp_replace(F.col("content").cast("string"), "\x00$", "")
-    return files.select(F.concat(F.lit("page-"), F.regexp_extract("path", "page_id=([0-9]+)", 1), F.lit(".txt")).alias("name"), F.sha2(content, 256).alias("hash"), F.octet_length(content).cast("bigint").alias("bytes"))
+    suffix = F.when(F.col("page_id") % 5 == 0, ".bin").otherwise(".txt")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), suffix).alias("name"), F.concat(F.coalesce("html", F.lit("")), F.lit("\x00")).alias("content"))  # a last byte, since Spark's readers skip empty files
+    if not services.land(spread(pages), path):
+        return spark.createDataFrame([], "name string, hash string, bytes bigint")
+    files = services.uploads(spark, f"{path}/*", ".txt")
+    return files.select("path", F.substring("content", F.lit(1), F.octet_length("content") - 1).alias("content")).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("bigint").alias("bytes"))

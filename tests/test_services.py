@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuscle import services
 from corpuscle.operators import metrics, routing, segmentation, vectors
+from corpuscle.plans import serving_queries
 from corpuscle.sources import services as files
 from corpuscle.streaming import stateful
 
@@ -87,6 +89,19 @@ def test_settings_from_file_and_environment(tmp_path):
     assert got == {"k": 5, "rate": 0.25, "on": True, "name": "a", "extra": "kept"}
 
 
+def test_files_land_under_their_names_in_few_folders(spark, tmp_path):
+    held = {f"page-{i}.{'TXT' if i % 3 else 'bin'}": f"text {i}\n\x00".encode() * (i % 4) for i in range(200)}
+    rows = spark.createDataFrame([(n, bytearray(c) or None) for n, c in held.items()], "name string, content binary").repartition(3)
+    assert files.land(rows, f"file:{tmp_path}/in", buckets=5) == 200 and files.land(rows.limit(7), str(tmp_path / "in"), buckets=5) == 7  # again: nothing new
+    assert len(list((tmp_path / "in").iterdir())) == 5
+    got = files.uploads(spark, str(tmp_path / "in/*"), ".txt").collect()
+    assert {r.path.rsplit("/", 1)[-1]: bytes(r.content) for r in got} == {n: c for n, c in held.items() if n.endswith("TXT") and c}  # Spark skips empty files
+    html = ["", "a\x00", "b\n", "é"] * 2
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = serving_queries.REGISTRY.queries["s11_upload_contents"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"page-{i}.txt", hashlib.sha256(t.encode()).hexdigest(), len(t.encode())) for i, t in enumerate(html) if i % 5)
+
+
 def test_streamed_log_and_uploads(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([("list", "a,1"), ("dict", '{"b":2}'), ("other", "x")], "kind string, payload string").write.json(str(source))
