@@ -114,8 +114,8 @@ def _first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np
 
 
 def _tops(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, id, score) of the k best rows of each query, for some queries at a time, so that no more than CELLS scores are held."""
-    step = max(1, CELLS // max(1, len(rows)))
+    """(query, id, score) of the k best rows of each query, for some queries at a time, so that no more than SCORES scores are held."""
+    step = max(1, SCORES // max(1, len(rows)))
     for at in range(0, len(queries), step):
         scores = np.round(queries[at : at + step] @ rows.T, 6)
         if scores.shape[1] > k:

@@ -98,6 +98,15 @@ def test_nearest_earlier_against_brute_force(spark, monkeypatch, kind):
     assert V.nearest_earlier(e.where("vec_id > 899"), "vec_id", "embedding", 0.5).count() == 0
 
 
+def test_tops_hold_a_bounded_block_of_scores(monkeypatch):
+    monkeypatch.setattr(V, "SCORES", 100, raising=False)
+    q, rows = np.random.default_rng(4).normal(size=(2, 50, 3))
+    parts = list(V._tops(q, rows, np.arange(50), 5))
+    assert len(parts) == 25 and all(len(query) == 10 for query, _, _ in parts)
+    best = [[i for _, i in sorted((-round(float(x @ y), 6), i) for i, y in enumerate(rows))[:5]] for x in q]
+    assert np.concatenate([ids for _, ids, _ in parts]).reshape(50, 5).tolist() == best
+
+
 @pytest.mark.parametrize("function", ["dense_topk", "cell_topk"])
 def test_topk_against_brute_force(spark, function):
     rng = np.random.default_rng(2)
