@@ -27,11 +27,15 @@ def _hangul_parts(token: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Distinct index terms in the order of their first place; words split at white space where there is no term at all."""
     text = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    every = F.flatten(F.transform(found, lambda t: F.when(F.regexp_like(t, F.lit("^[가-힣]")), _hangul_parts(t)).otherwise(F.array(t))))
-    parts = F.when(F.regexp_like(text, F.lit("[가-힣]")), every).otherwise(found)  # only Hangul has parts
     words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
-    return F.when(F.size(found) == 0, words).otherwise(F.array_distinct(parts))
+
+    def terms(found: Column) -> Column:
+        every = F.flatten(F.transform(found, lambda t: F.when(F.regexp_like(t, F.lit("^[가-힣]")), _hangul_parts(t)).otherwise(F.array(t))))
+        parts = F.when(F.regexp_like(text, F.lit("[가-힣]")), every).otherwise(found)  # only Hangul has parts
+        return F.when(F.size(found) == 0, words).otherwise(F.array_distinct(parts))
+
+    # an entry of a list of one, so that the text is searched once and not for each use of what is found
+    return F.get(F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))), terms), F.lit(0))
 
 
 def squeeze(text: Column) -> Column:

@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import digests, fusion, retrieval, vectors
+from corpuscle.operators import bm25_index, digests, fusion, retrieval, vectors
 from corpuscle.operators.asof import asof_similar
 from corpuscle.operators.bm25_index import Bm25Index
 from corpuscle.operators.metadata_index import MetadataIndex
@@ -110,6 +111,29 @@ def test_bm25_batches_leave_out_copies_and_survive_a_crash(spark, tmp_path, monk
     assert index.store.purge() == 1
 
 
+def test_bm25_lists_are_rows_of_many_documents_and_a_text_is_searched_once(spark, tmp_path):
+    index = Bm25Index(spark, str(tmp_path / "i"))
+    for batch in (0, 1):
+        index.add(docs_of(spark, 120).where(f"doc_id % 2 = {batch}").coalesce(1), f"batch-{batch}", dedup=False)
+    index.compact()
+    held = spark.read.parquet(f"{tmp_path}/i/{index.store.live()[0]['folder']}/postings").where("term is not null")
+    met = index.idf().agg(F.sum("df")).first()[0]
+    assert met > 300 and held.count() <= 2 * 4 * 10 and index.documents().where("hash is null or dl < 1").count() == 0  # batches, tasks, terms
+    plan = docs_of(spark, 1).select(index.tokens(F.col("text")).alias("terms"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
+def test_bm25_turns_documents_to_terms_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(bm25_index, "HELD", 4)
+    monkeypatch.setattr(bm25_index, "ROWS", 2)
+    docs = [(1, "x", ["a", "b"]), (2, "y", []), (3, "z", None), (4, "u", ["b", None, "c"]), (5, "v", ["a"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d[0]], pa.int64()), pa.array([d[1]]), pa.array([d[2]], pa.list_(pa.string()))], names=["doc_id", "hash", "terms"]) for d in docs]
+    got = [b.to_pylist() for b in bm25_index._inverted(iter(batches))]
+    lists = [(r["term"], d, n) for b in got for r in b if r["term"] is not None for d, n in zip(r["doc_ids"], r["dls"])]
+    assert sorted(lists) == [("a", 1, 2), ("a", 5, 1), ("b", 1, 2), ("b", 4, 3), ("c", 4, 3)] and max(map(len, got)) == 2
+    assert [(r["doc_ids"], r["dls"], r["hashes"]) for b in got for r in b if r["term"] is None] == [([1, 2, 3, 4], [2, 0, 0, 3], ["x", "y", "z", "u"]), ([5], [1], ["v"])]
+
+
 def test_bm25_index_takes_another_tokenizer(spark, tmp_path):
     halves = lambda text: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ -]"), lambda w: w != ""))
     index = Bm25Index(spark, str(tmp_path / "i"), halves)
