@@ -12,6 +12,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LOG = "entry string, kind string, at bigint, folder string, covers array<string>, figures map<string,double>"
 
@@ -64,7 +65,8 @@ class Store:
         """One part of all live entries together."""
         paths = [f"{self.path}/{r['folder']}/{part}" for r in self.live()]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            # made by the JVM: createDataFrame would start a Python worker a core for no row
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
         out = None
         for path in paths:
             one = self.spark.read.schema(schema).parquet(path)

@@ -51,6 +51,12 @@ def test_store_reads_what_was_committed_and_purges_the_rest(spark, tmp_path):
     assert store.purge() == 3 and store.part("p", "x int").count() == 1
 
 
+def test_an_empty_store_is_read_without_python(spark, tmp_path):
+    empty = Store(spark, str(tmp_path / "s")).part("p", "hash string, vector array<double>")
+    assert empty.dtypes == [("hash", "string"), ("vector", "array<double>")] and empty.count() == 0
+    assert "RDD" not in empty._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snapshot_is_rewritten_after_a_crash_and_purged_when_spoilt(spark, tmp_path):
     path, df = str(tmp_path / "snap"), spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
     df.limit(1).write.parquet(f"{path}/rows")  # a save that ended before its manifest
