@@ -83,8 +83,8 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = snapshots.scratch(spark, "files")
     html = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.replace("html", F.lit("<h1>"), F.lit("<p>")))
     rows = table(spark, sf_dir, "pages").select(F.expr("page_id div 5").alias("file"), "page_id", html.alias("value"))
-    rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").text(path, lineSep="\f")
-    return pages.read_pages(spark, path, pages.html_pages, "*.txt").withColumn("file", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("bigint"))
+    rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", pages.ended(F.col("value")).alias("value")).write.partitionBy("file").text(path, lineSep="\f")
+    return pages.read_pages(spark, path, pages.ended_pages, "*.txt").withColumn("file", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("bigint"))
 
 
 _FILES = """h AS (SELECT page_id, page_id // 5 AS file, row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id) AS page, count(*) OVER (PARTITION BY page_id // 5) AS total_pages,

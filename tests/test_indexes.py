@@ -380,6 +380,21 @@ def test_pages_carry_sections_inside_a_file_only(spark, tmp_path):
     assert pages.read_pages(spark, str(tmp_path), fails, "*.html").count() == 0
 
 
+def test_page_files_keep_blank_pages_and_titles_as_the_sql_has_them(spark, tmp_path):
+    """References other than those of <, > and &, headings that are no plain <h1>, blank and missing pages, form feeds."""
+    import duckdb
+
+    from corpuscle.plans.catalog import oracle_sql, queries
+
+    h = "<html><h1>{}</h1><p>x</p></html>".format
+    html = [h("say &quot;a&quot; &amp;lt; b &#x27;c&#x27;"), None, "", h("two  words\t "), " ", "<h2>other</h2>", h(" \u00a0one\u3000"), "<h1>a<b>b</b></h1>" + h("plain"), "\n", h("cut\fhere \x1bf \x1b0"), "\f", None, h(""), "a\fb", "<h1 id='x'>no</h1>", h(" "), None]
+    spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate([x for t in html for x in (t, t, t)])], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries()["s1_page_files"](spark, str(tmp_path)).select("file", "page", "total_pages", "section").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(oracle_sql()["s1_page_files"]).project("file, page, total_pages, section").fetchall())
+
+
 def test_layout_tells_columns(spark):
     block = lambda x0, y0, x1: ("text", float(x0), float(y0), float(x1), float(y0 + 1), "t")
     two = [block(0, i, 4) for i in range(3)] + [block(6, i, 10) for i in range(3)]
