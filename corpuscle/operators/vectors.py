@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 BLOCK = 1024
 #: Scores of queries by rows that a task holds at a time.
@@ -177,6 +178,89 @@ def _block_pairs(corpus: DataFrame, queries: DataFrame, key: str, vector: str) -
     return c.join(q, "salt").drop("salt")
 
 
+def _tiles(df: DataFrame, key: str, vector: str) -> tuple[GroupedData, Callable]:
+    """Rows (asks, ids, rows) by tile: keys are cut into strips of neighbouring ones, each strip asks (asks) those before it and itself. And how their blocks are read:
+    ids and unit vectors of each. A strip is shuffled once for each strip; vectors that have no direction or no key are left out."""
+    kind = "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
+    size = norm(F.col(vector))
+    unit = df.where((size > 0) & (size < float("inf")) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast(f"array<{kind}>").alias("_v"))
+    n = unit.count()
+    strips = max(-(-n // STRIP), min(8, -(-n // BLOCK)), 1)
+    borders = np.array(unit.approxQuantile("_id", [i / strips for i in range(1, strips)], 0.1 / strips) if strips > 1 else [])
+    held = np.float32 if kind == "float" else np.float64
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for strip, rows in batch.groupby(np.searchsorted(borders, batch["_id"].to_numpy(), side="right"), sort=False):
+                yield pd.DataFrame({"strip": [np.int32(strip)], "ids": [rows["_id"].to_numpy().tobytes()], "rows": [np.stack(rows["_v"]).astype(held).tobytes()]})
+
+    blocks = unit.repartitionByRange(2 * strips, "_id").sortWithinPartitions("_id").mapInPandas(block, "strip int, ids binary, rows binary")
+    tiles = lambda asks: F.explode(F.sequence(F.lit(0), F.col("strip")) if asks else F.sequence(F.col("strip"), F.lit(strips - 1)))
+    asked = blocks.withColumn("other", tiles(True)).select(F.col("strip").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), "ids", "rows")
+    there = blocks.withColumn("other", tiles(False)).select(F.col("other").alias("q"), F.col("strip").alias("c"), F.lit(False).alias("asks"), "ids", "rows")
+
+    def parts(some: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, raw in zip(some["ids"], some["rows"], strict=True):
+            v = np.frombuffer(raw, held).reshape(len(ids) // 8, -1).astype(np.float64)
+            yield np.frombuffer(ids, np.int64), v / np.sqrt((v * v).sum(1, keepdims=True))
+
+    return asked.unionByName(there).repartition(strips * (strips + 1) // 2, "q", "c").groupBy("q", "c"), parts
+
+
+def _scores(tile: pd.DataFrame, parts: Callable, threshold: float) -> Iterator[tuple]:
+    """(ids, vectors) of some that ask and of some before them, their products in single precision (-2 where the key is not smaller), and by how much these may be off."""
+    known = list(parts(tile[~tile["asks"]]))
+    if not known:
+        return
+    ids, rows = (np.concatenate([k[i] for k in known]) for i in range(2))
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    low, slack = rows.astype(np.float32), 1e-6 + 1.5e-7 * (rows.shape[1] + 4)
+    for names, q in parts(tile[tile["asks"]]):
+        step = max(1, SCORES // len(q))
+        for at in range(0, np.searchsorted(ids, names.max()), step):
+            c = ids[at : at + step]
+            scores = q.astype(np.float32) @ low[at : at + step].T
+            if c[-1] >= names.min():
+                scores[c[None] >= names[:, None]] = -2.0
+            yield (names, q), (c, rows[at : at + step]), scores, slack
+
+
+def _pairs_in_tiles(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    met, parts = _tiles(df, key, vector)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (b, y), (a, x), scores, slack in _scores(pd.concat(list(batches)), parts, threshold):
+            near = np.flatnonzero(scores.ravel() >= max(threshold - slack, -1.5))
+            for at in range(0, len(near), PAIRS):
+                i, j = np.divmod(near[at : at + PAIRS], len(a))
+                exact = np.round((y[i] * x[j]).sum(1), 6)
+                keep = exact >= threshold
+                yield pd.DataFrame({"a": a[j[keep]], "b": b[i[keep]], "cosine": exact[keep]})
+
+    return met.applyInPandas(meet, "a bigint, b bigint, cosine double")
+
+
+def earlier_counts(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """b, earlier: how many rows with a smaller key have a cosine of the threshold or more (6 digits), where there is one.
+
+    Tiles as in nearest_earlier count where they are, so no list of pairs is made. Products in single precision tell most pairs; those too near to the
+    threshold are taken exactly.
+    """
+    met, parts = _tiles(df, key, vector)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (b, y), (a, x), scores, slack in _scores(pd.concat(list(batches)), parts, threshold):
+            sure = np.count_nonzero(scores >= max(threshold + slack, -1.5), axis=1)
+            open_ = np.flatnonzero((scores.ravel() >= max(threshold - slack, -1.5)) & (scores.ravel() < threshold + slack))
+            for at in range(0, len(open_), PAIRS):
+                i, j = np.divmod(open_[at : at + PAIRS], len(a))
+                sure = sure + np.bincount(i[np.round((y[i] * x[j]).sum(1), 6) >= threshold], minlength=len(b))
+            yield pd.DataFrame({"b": b[sure > 0], "earlier": sure[sure > 0]})
+
+    return met.applyInPandas(meet, "b bigint, earlier bigint").groupBy("b").agg(F.sum("earlier").alias("earlier"))
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells: int | None = None, seed: int = 7) -> DataFrame:
     """a < b with cosine of the threshold or more, and the cosine (6 digits). Vectors of length 0 are similar to none.
 
@@ -184,11 +268,14 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, cells:
     the centres (chosen by a hash of the key, a bounded number). A vector within r of one of another cell is no further than r
     from the plane between the two cells, so it visits the cells (of a higher number) whose plane is that near, and each pair
     meets in one cell. Within a cell, blocks of vectors meet as matrices; a large cell is many blocks. No pair is lost. At the
-    thresholds of near duplicates few vectors visit another cell; at low ones cells prune little.
+    thresholds of near duplicates few vectors visit another cell. No plane is further than 1 from a unit vector, so at thresholds of
+    a half or less each would visit every cell: there strips of keys meet as tiles instead, unless ``cells`` are given.
     """
     spark = df.sparkSession
     least = threshold - 5e-7  # cosines are compared after rounding
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    if cells is None and reach >= 1:
+        return _pairs_in_tiles(df, key, vector, threshold)
     unit = df.where(norm(F.col(vector)) > 0).select(F.col(key).cast("bigint").alias("_id"), normalise(F.col(vector)).alias("_v"))
     if cells is None:
         cells = int(min(1024, max(1, df.count() // (2 * BLOCK))))
@@ -244,28 +331,7 @@ def nearest_earlier(df: DataFrame, key: str, vector: str, threshold: float) -> D
     vector: no list of pairs is made, and copies cost no more than others. A task holds two strips and a bounded block of scores. Products
     grow with the square of the table, and shuffled rows with it over the size of a strip.
     """
-    kind = "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
-    size = norm(F.col(vector))
-    unit = df.where((size > 0) & (size < float("inf")) & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(vector).cast(f"array<{kind}>").alias("_v"))
-    n = unit.count()
-    strips = max(-(-n // STRIP), min(8, -(-n // BLOCK)), 1)
-    borders = np.array(unit.approxQuantile("_id", [i / strips for i in range(1, strips)], 0.1 / strips) if strips > 1 else [])
-    held = np.float32 if kind == "float" else np.float64
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for strip, rows in batch.groupby(np.searchsorted(borders, batch["_id"].to_numpy(), side="right"), sort=False):
-                yield pd.DataFrame({"strip": [np.int32(strip)], "ids": [rows["_id"].to_numpy().tobytes()], "rows": [np.stack(rows["_v"]).astype(held).tobytes()]})
-
-    blocks = unit.repartitionByRange(2 * strips, "_id").sortWithinPartitions("_id").mapInPandas(block, "strip int, ids binary, rows binary")
-    tiles = lambda asks: F.explode(F.sequence(F.lit(0), F.col("strip")) if asks else F.sequence(F.col("strip"), F.lit(strips - 1)))
-    asked = blocks.withColumn("other", tiles(True)).select(F.col("strip").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), "ids", "rows")
-    there = blocks.withColumn("other", tiles(False)).select(F.col("other").alias("q"), F.col("strip").alias("c"), F.lit(False).alias("asks"), "ids", "rows")
-
-    def parts(some: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for ids, raw in zip(some["ids"], some["rows"], strict=True):
-            v = np.frombuffer(raw, held).reshape(len(ids) // 8, -1).astype(np.float64)
-            yield np.frombuffer(ids, np.int64), v / np.sqrt((v * v).sum(1, keepdims=True))
+    met, parts = _tiles(df, key, vector)
 
     def meet(tile: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"b": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
@@ -294,7 +360,7 @@ def nearest_earlier(df: DataFrame, key: str, vector: str, threshold: float) -> D
                 out.append(pd.DataFrame({"b": names[found], "a": of[found], "cosine": best[found]}))
         return pd.concat(out)
 
-    met = asked.unionByName(there).repartition(strips * (strips + 1) // 2, "q", "c").groupBy("q", "c").applyInPandas(meet, "b bigint, a bigint, cosine double")
+    met = met.applyInPandas(meet, "b bigint, a bigint, cosine double")
     first = F.max(F.struct("cosine", (-F.col("a")).alias("n")))
     return met.groupBy("b").agg(first.alias("m")).select("b", (-F.col("m.n")).alias("a"), F.col("m.cosine").alias("cosine"))
 

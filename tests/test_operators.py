@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -296,6 +297,32 @@ def test_cells_are_scanned_as_matrices(spark, most_bytes):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_tiles_give_pairs_and_counts_at_low_thresholds(spark, monkeypatch, kind):
+    """Every pair at and beside the threshold, in several strips, without rows that visit cells; counts without a list of pairs."""
+    for name, value in (("STRIP", 40), ("BLOCK", 20), ("SCORES", 100), ("PAIRS", 7)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(160, 4)).astype(np.float32).astype(float)
+    v[100:120] = v[7]
+    v[120:140] = [[3e-7 * (i - 10), 1.0, 0.0, 0.0] for i in range(20)]
+    v[140] = [1.0, 0.0, 0.0, 0.0]
+    held = [(int(k), x.tolist()) for k, x in zip(rng.permutation(160), v, strict=True)]
+    odd = [(900, [0.0] * 4), (901, [float("nan")] * 4), (902, None), (None, [1.0] * 4)]
+    e = spark.createDataFrame(held + odd, f"vec_id long, embedding array<{kind}>")
+    u = {k: np.array(x, np.float32 if kind == "float" else float).astype(float) for k, x in held}
+    u = {k: x / np.linalg.norm(x) for k, x in u.items()}
+    for threshold in (-1.0, 0.0, 0.3, 0.5):
+        want = {(a, b): round(float(x @ y), 6) for b, y in u.items() for a, x in u.items() if a < b and round(float(x @ y), 6) >= threshold}
+        pairs = V.similar_pairs(e, "vec_id", "embedding", threshold)
+        assert "visits" not in pairs._jdf.queryExecution().analyzed().toString()
+        got = pairs.collect()
+        assert {(r.a, r.b): r.cosine for r in got} == want and len(got) == len(want)
+        counts = V.earlier_counts(e, "vec_id", "embedding", threshold).collect()
+        assert {r.b: r.earlier for r in counts} == Counter(b for _, b in want) and len(counts) == len({b for _, b in want})
+    assert V.similar_pairs(e.where("vec_id > 899"), "vec_id", "embedding", 0.3).count() == 0
+
+
 def test_an_ampersand_without_its_semicolon_is_text():
     from corpuscle.sources.pages import html_pages
 
