@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,21 @@ def test_broadcast_goes_out_in_packs(spark, monkeypatch, most):
     assert sum(a[1] != b[1] for a, b in zip(got, got[1:])) < len(got) / 20  # a pack at a time
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_a_pack_goes_to_some_clients_at_a_time(spark, monkeypatch, kind):
+    """Ids of any kind, missing ones too; no step makes a pack's rows for all clients of a channel before it hands on the first."""
+    for name, value in (("PACK", 8), ("GROUP", 5), ("HELD", 20)):
+        monkeypatch.setattr(V, name, value)
+    sent = spark.range(90).selectExpr(f"cast(if(id = 80, null, id) as {kind}) message_id", "id % 3 channel", f"cast(if(id % 7 = 0, null, id % 20) as {kind}) sender")
+    held = spark.range(61).selectExpr(f"cast(if(id = 60, null, id) as {kind}) client_id", "id % 4 channel")
+    got = V.broadcast_messages(sent, held)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    text = lambda x: None if x is None else str(x)
+    want = Counter((text(None if m == 80 else m), text(None if c == 60 else c)) for m in range(90) for c in range(61) if m % 3 == c % 4 and (None if c == 60 else c) != (None if m % 7 == 0 else m % 20))
+    assert Counter((text(r.message_id), text(r.client_id)) for r in got.collect()) == want and dict(got.dtypes) == {"message_id": kind, "client_id": kind}
+    assert V.broadcast_messages(sent, held.where("channel > 9")).count() == 0
+
+
 def test_tiers_promote_what_comes_from_below(spark):
     t = lambda *kv: spark.createDataFrame(list(kv), "key string, value string")
     asked = spark.createDataFrame([("a", False), ("b", False), ("c", False), ("a", True), ("c", True)], "key string, by_meaning boolean")
